@@ -104,3 +104,32 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         full[a] = sum((int(x) * int(odd[i]) for i, x in enumerate(mix(h[a:b] + U(b - a)))), int(b - a)) & 0xFFFFFFFFFFFFFFFF
     at = np.flatnonzero(keep)
     return mix(full[at]), at, np.searchsorted(at, first)
+
+
+def features(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, gaps: np.ndarray, sizes: tuple[int, ...], bits: int):
+    """(byte position, bucket) of every word of a chunk, then of its character n-grams of each size in bytes.
+
+    An n-gram may begin or end with the blank beside a word, and has no blank inside; it never leaves its document.
+    """
+    words = Words(data, offsets, table, gaps)
+    yield words.starts, (words.hashes >> U(64 - bits)).astype(np.uint32)
+    n, u32 = len(data), np.uint32
+    gap = gaps[data]
+    raw = np.where(gap, u32(1), table[data].astype(u32) + u32(2))
+    cut = np.zeros(n + 1, bool)
+    cut[offsets] = True
+    h = raw.copy()
+    inside, same = np.ones(n, bool), np.ones(n, bool)
+    for k in range(1, max(sizes)):
+        m = n - k
+        if m <= 0:
+            return
+        h = h[:m] * u32(0x01000193) ^ raw[k:]
+        same = same[:m] & ~cut[k : k + m]
+        if k + 1 in sizes:
+            at = np.flatnonzero(same & inside[:m] & ~(gap[:m] & gap[k:]))
+            x = h[at]
+            x = (x ^ (x >> u32(15))) * u32(0x2C1B3C6D + 2 * k)
+            x = (x ^ (x >> u32(12))) * u32(0x297A2D39)
+            yield at, (x ^ (x >> u32(15))) >> u32(32 - bits)
+        inside = inside[:m] & ~gap[k:]
