@@ -8,9 +8,10 @@ nothing. Documents link when 100 * intersection >= percent * union.
    of shingles, rarest first. A link's two sets then share a shingle in their prefixes; of it, sizes and
    positions bound the overlap.
 2. Documents with equal sets are one class and go on as one representative.
-3. Prefix postings meet by shingle. Lists of up to LIST_PAIRS members give the pairs whose bound reaches the
-   required overlap; longer lists, also while still on the map side, are linked in a star, which connects at
-   least as much. Components of these candidate edges are searched on their own.
+3. Prefix postings meet by shingle, and the shingles that two prefixes share are counted: what lies beyond the
+   prefix that ends first can add no more than the rest of its set, so a link needs about 7 % of the set's
+   size there. Lists of more than LIST_PAIRS members, also while still on the map side, are linked in a star, which
+   connects at least as much. Components of these candidate edges are searched on their own.
 4. Within a block of candidate components, inverted lists over the whole sets are searched for each document:
    DivideSkip merges the short lists by a heap and probes the long ones by bisection, and documents reaching
    the required overlap are linked. Leaders come first: what links to a leader is searched no further among its
@@ -38,7 +39,7 @@ from chromalith.llm._store import bound_batches, stored
 from chromalith.llm.components import connected_components
 
 SKETCH_BITS = 18
-LIST_PAIRS = 24
+LIST_PAIRS = 40
 BLOCK_POSTINGS = 1_000_000
 U = np.uint64
 
@@ -90,8 +91,8 @@ def set_rows(docs: DataFrame, rarity: np.ndarray, k: int, percent: int, id_col:
                 score = np.zeros(len(common), np.uint32)
                 for i in range(k):
                     score[: len(common) - i] += common[i:]
-                # 11 bits of rarity, 53 of the hash
-                key = (score[at].astype(U) << U(53)) | (h >> U(11))
+                # 10 bits of rarity, 53 of the hash: never negative
+                key = (np.minimum(score[at], 1023).astype(U) << U(53)) | (h >> U(11))
                 for d in range(len(offsets) - 1):
                     a, b = bounds[d], bounds[d + 1]
                     own, where = np.unique(h[a:b], return_index=True)
@@ -128,13 +129,13 @@ def _stars(order: np.ndarray, starts: np.ndarray, stops: np.ndarray, ids: np.nda
     return (np.concatenate(u), np.concatenate(v)) if u else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-POSTING = "key bigint, id bigint, n bigint, pos int, other bigint"
+POSTING = "key bigint, id bigint, n bigint, last bigint, other bigint"
 
 
 def postings(reps: DataFrame) -> DataFrame:
-    """(key, id, n, pos) of every prefix shingle. Where one map task holds more than LIST_PAIRS postings of a key,
-    only that of the smallest id goes on, with pos -1 as the star's centre, and the star's edges are given
-    out beside it as rows with a null key."""
+    """(key, id, n, last) of every prefix shingle, last being its document's last key. Where one map task holds more
+    than LIST_PAIRS postings of a key, only that of the smallest id goes on, with last -1 as the star's centre, and
+    the star's edges are given out beside it as rows with a null key."""
 
     def run(batches):
         ids, sizes, pre = [], [], []
@@ -143,9 +144,8 @@ def postings(reps: DataFrame) -> DataFrame:
         def flush():
             of = np.repeat(np.arange(len(ids)), [len(p) for p in pre])
             key = np.concatenate(pre)
-            pos = np.concatenate([np.arange(len(p), dtype=np.int32) for p in pre])
+            last = np.array([p[-1] if len(p) else 0 for p in pre], np.int64)[of]
             own, n = np.array(ids, np.int64)[of], np.array(sizes, np.int64)[of]
-            other = np.full(len(key), -1, np.int64)
             order = np.argsort(key, kind="stable")
             new = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
             stop = np.append(new[1:], len(key))
@@ -156,13 +156,15 @@ def postings(reps: DataFrame) -> DataFrame:
                 run_ = order[a:b]
                 keep[run_] = False
                 low = run_[np.argmin(own[run_])]
-                keep[low], pos[low] = True, -1
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, own, n, pos)] + [pa.array(other[keep])], ["key", "id", "n", "pos", "other"])
+                keep[low], last[low] = True, -1
+            names = ["key", "id", "n", "last", "other"]
+            m = int(keep.sum())
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in (key, own, n, last)), pa.nulls(m, pa.int64())], names)
             if len(u):
                 pairs = np.unique(np.stack([u, v]), axis=1)
                 pairs = pairs[:, pairs[0] != pairs[1]]
-                m = pairs.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(pairs[0]), pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m, np.int32)), pa.array(pairs[1])], ["key", "id", "n", "pos", "other"])
+                none = pa.nulls(pairs.shape[1], pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(pairs[0]), none, none, pa.array(pairs[1])], names)
 
         for batch in batches:
             lists = batch.column(2)
@@ -175,7 +177,7 @@ def postings(reps: DataFrame) -> DataFrame:
             if held > 2_000_000:  # the memory of a task, whatever its partition
                 yield from flush()
                 ids, sizes, pre, held = [], [], [], 0
-        if ids:
+        if held:
             yield from flush()
 
     return reps.select("id", "n", "prefix").mapInArrow(run, POSTING)
@@ -184,15 +186,20 @@ def postings(reps: DataFrame) -> DataFrame:
 def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) whose components hold every link. Lists are bounded: a map task gives each key LIST_PAIRS rows at most."""
     rows = stored(postings(reps), "join-postings")
-    near = rows.filter("key is not null").select("key", F.struct("n", "id", "pos").alias("m"))
-    lists = near.groupBy("key").agg(F.collect_list("m").alias("ms")).filter("size(ms) > 1")
-    star = (F.size("ms") > LIST_PAIRS) | F.exists("ms", lambda m: m["pos"] < 0)
+    near = rows.filter("key is not null").select("key", F.struct("n", "id", "last").alias("m"))
+    lists = stored(near.groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("ms")).filter("size(ms) > 1"), "join-lists")
+    star = (F.size("ms") > LIST_PAIRS) | F.exists("ms", lambda m: m["last"] < 0)
     low = F.array_min(F.transform("ms", lambda m: m["id"]))
     stars = lists.filter(star).select(low.alias("u"), F.explode(F.transform("ms", lambda m: m["id"])).alias("v"))
-    pair = lists.filter(~star).select(F.sort_array("ms").alias("ms")).select("ms", F.posexplode("ms").alias("i", "a"))
-    pair = pair.select("a", F.explode(F.expr("slice(ms, i + 2, size(ms))")).alias("b"))
-    bound = F.expr(f"1 + least(a.n - a.pos, b.n - b.pos) - 1 >= ceil({percent} * (a.n + b.n) / {100 + percent})")
-    pair = pair.filter(F.expr(f"100 * a.n >= {percent} * b.n") & bound).select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v"))
+    pair = lists.filter(~star).select("ms", F.posexplode("ms").alias("i", "a"))
+    # members are in the order of size: partners of one end where sizes differ too much
+    partners = F.expr(f"filter(slice(ms, i + 2, size(ms)), b -> 100 * a.n >= {percent} * b.n)")
+    pair = pair.select("a", F.explode(partners).alias("b"))
+    pair = pair.groupBy(F.col("a.id").alias("u"), F.col("b.id").alias("v"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv"), F.col("a.last").alias("lu"), F.col("b.last").alias("lv"))
+    pair = pair.agg(F.count(F.lit(1)).alias("shared"))
+    rest = lambda n: f"({percent} * {n} + 99) div 100 - 1"
+    bound = f"shared + case when lu < lv then {rest('nu')} when lu > lv then {rest('nv')} else least({rest('nu')}, {rest('nv')}) end"
+    pair = pair.filter(f"{bound} >= ({percent} * (nu + nv) + {99 + percent}) div {100 + percent}").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     local = rows.filter("key is null").select(F.col("id").alias("u"), F.col("other").alias("v"))
     return stars.unionByName(pair).unionByName(local).filter("u < v").distinct()
 
@@ -308,30 +315,19 @@ def search_block(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], per
 
 def verified_edges(docs: DataFrame, blocks: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Links among documents of a block. blocks: id, block, part."""
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).join(blocks.select("id").distinct(), "id", "left_semi")
-
-    def sets(batches):
-        for batch in batches:
-            out = []
-            for _, data, offsets in _text.chunks(batch.column(1)):
-                h, _, bounds = _text.shingles(_text.Words(data, offsets), k)
-                out += [np.unique(h[a:b]).view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            flat = np.concatenate(out) if out else np.zeros(0, np.int64)
-            bounds = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], ["id", "shingles"])
-
-    shingled = texts.mapInArrow(sets, "id bigint, shingles array<bigint>").join(blocks, "id")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).join(blocks, "id")
 
     def search(table: pa.Table) -> pa.Table:
         ids = table["id"].to_numpy()
+        sets = []
+        for _, data, offsets in _text.chunks(table["text"]):
+            h, _, bounds = _text.shingles(_text.Words(data, offsets), k)
+            sets += [np.unique(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         _, first = np.unique(ids, return_index=True)  # rows of one identifier are one document
-        lists = table["shingles"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        bounds, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(U)
-        edges = search_block(ids[first], table["part"].to_numpy()[first], [flat[bounds[i] : bounds[i + 1]] for i in first], percent)
+        edges = search_block(ids[first], table["part"].to_numpy()[first], [sets[i] for i in first], percent)
         return pa.table({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
 
-    return shingled.groupBy("block").applyInArrow(search, "u bigint, v bigint")
+    return texts.groupBy("block").applyInArrow(search, "u bigint, v bigint")
 
 
 def blocks_of(parts: DataFrame, sizes: DataFrame) -> DataFrame:
