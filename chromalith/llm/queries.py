@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromalith.llm import bpe, chat, exact_dedup, mixing, ngram_join, quality, toxicity
+from chromalith.llm import bpe, chat, exact_dedup, line_dedup, mixing, ngram_join, quality, spotsigs, token_counts, toxicity
 from chromalith.llm._store import bound_batches
 
+BYTE_VOCAB = "/opt/tokenizers/byte_bpe_50k.json"
 WORD_VOCAB = "/opt/tokenizers/word_bpe_49k.json"
 
 
@@ -29,10 +30,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(documents(spark, sf_dir))
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_pairs(documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -48,7 +57,12 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_quality, op5_ngram_join, op7_toxicity, op8_chat_format, op9_mix_sources)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return token_counts.count_tokens(documents(spark, sf_dir), BYTE_VOCAB)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_quality, op4_line_dedup, op5_ngram_join, op6_spotsigs, op7_toxicity, op8_chat_format, op9_mix_sources, op10_token_counts)}
 
 _WORD = "[^ \\t\\n\\x0B\\f\\r]"
 _BLANK = "[ \\t\\n\\x0B\\f\\r]"
