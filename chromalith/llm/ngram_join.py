@@ -366,4 +366,4 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, that with the smallest identifier, with all columns."""
     ids = ngram_components(docs, k, percent, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.dropDuplicates([id_col]).join(ids, id_col, "left_semi").select(docs.columns)
+    return docs.join(ids, id_col, "left_semi").select(docs.columns)
