@@ -27,6 +27,7 @@ from __future__ import annotations
 import bisect
 import heapq
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -38,27 +39,28 @@ from chromalith.llm import _text
 from chromalith.llm._store import bound_batches, stored
 from chromalith.llm.components import connected_components
 
-SKETCH_BITS = 18
-LIST_PAIRS = 40
+SKETCH_BITS = 22
+LIST_PAIRS = 64
 BLOCK_POSTINGS = 1_000_000
 U = np.uint64
 
 
 def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
-    """log2 of the number of words in each of 2**18 hash buckets, in eighths: a table of fixed size."""
+    """log2 of the number of words in each of 2**22 hash buckets, in eighths: a table of 4 MB for any corpus."""
     parts, width = 64, (1 << SKETCH_BITS) // 64
 
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for _, data, offsets in _text.chunks(batch.column(0)):
-                total += np.bincount((_text.Words(data, offsets).hashes >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([total[i * width : (i + 1) * width].tobytes() for i in range(parts)], pa.binary())], ["part", "counts"])
+                at, n = np.unique(_text.Words(data, offsets).hashes >> U(64 - SKETCH_BITS), return_counts=True)
+                total[at.astype(np.int64)] += n.astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([zlib.compress(total[i * width : (i + 1) * width].tobytes(), 1) for i in range(parts)], pa.binary())], ["part", "counts"])
 
     def add(key, rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(width, np.int64)
         for x in rows["counts"]:
-            total += np.frombuffer(x, np.int64)
+            total += np.frombuffer(zlib.decompress(x), np.int32)
         return pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
 
     sums = docs.select(text_col).mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
@@ -88,11 +90,14 @@ def set_rows(docs: DataFrame, rarity: np.ndarray, k: int, percent: int, id_col:
                 words = _text.Words(data, offsets)
                 h, at, bounds = _text.shingles(words, k)
                 common = rarity[(words.hashes >> U(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint32)
-                score = np.zeros(len(common), np.uint32)
-                for i in range(k):
-                    score[: len(common) - i] += common[i:]
+                # a shingle is as rare as its rarest word at least; then the product of its words' counts decides
+                low, total = common.copy(), common.copy()
+                for i in range(1, k):
+                    low[: len(common) - i] = np.minimum(low[: len(common) - i], common[i:])
+                    total[: len(common) - i] += common[i:]
+                score = low * np.uint32(4) + np.minimum(total // np.uint32(64 * k), np.uint32(3))
                 # 10 bits of rarity, 53 of the hash: never negative
-                key = (np.minimum(score[at], 1023).astype(U) << U(53)) | (h >> U(11))
+                key = (score[at].astype(U) << U(53)) | (h >> U(11))
                 for d in range(len(offsets) - 1):
                     a, b = bounds[d], bounds[d + 1]
                     own, where = np.unique(h[a:b], return_index=True)
