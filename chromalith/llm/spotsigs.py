@@ -1,7 +1,7 @@
 """Document fingerprints: SpotSigs, with DataFrame operations only.
 
-A signature is a common word (the anchor) with the two content words that follow it, common words between them
-skipped; the text's start is an anchor too. Words are what blanks and ASCII punctuation leave, lower-cased. A text
+A signature is a common word right before a content word (the anchor) with that word and the next one, common words
+between them skipped; the text's start is an anchor too. Words are what blanks and ASCII punctuation leave, lower-cased. A text
 without any chain has one signature, its words as a whole. A fingerprint is the sorted set of its signatures'
 32-bit hashes, written in hex; likeness is the Jaccard coefficient of two sets.
 
@@ -26,8 +26,9 @@ ANCHORS = (
     "der die das und den von zu mit im ist dem ein eine nicht auf für sich "
     "el los las y del por con una su para es al lo como más o"
 ).split()
-PUNCTUATION = "\t\n\x0b\x0c\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+PUNCTUATION = "\x01\t\n\x0b\x0c\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 START = "^"
+GLUE = "\x01"
 
 
 def flat_words(text: Column) -> Column:
@@ -36,15 +37,21 @@ def flat_words(text: Column) -> Column:
 
 
 def signatures(text: Column, anchors: tuple[str, ...] | list[str] = tuple(ANCHORS), chain: int = 2) -> Column:
-    """The sorted set of hashed signatures of a text."""
-    common = "(?:" + "|".join(sorted(set(anchors), key=lambda a: (-len(a), a))) + ")"
-    link = f" +(?:{common} +)*+[^ ]+"
-    # possessive steps over common words; the look-ahead lets chains overlap
-    pattern = f" (?=((?:{common}|\\^){link * chain} ))"
+    """The sorted set of hashed signatures of a text.
+
+    Common words are first glued to the word before them by GLUE, so that a word and the common words after it are
+    one run of other characters than the blank; the patterns then need no repeated groups, whose matching would
+    recurse in long texts.
+    """
+    common = "|".join(sorted(set(anchors), key=lambda a: (-len(a), a)))
     flat = flat_words(text)
-    found = F.regexp_extract_all(flat, F.lit(pattern), F.lit(1))
+    glued = F.regexp_replace(flat, f" ({common}|\\^)(?= )", f"{GLUE}$1")
+    word = f"([^{GLUE} ]+)"
+    # the look-ahead lets chains overlap
+    pattern = f"{GLUE}(?=({word} +{word}{f'[^ ]* +{word}' * (chain - 1)}[ {GLUE}]))"
+    found = F.regexp_extract_all(glued, F.lit(pattern), F.lit(1))
     low = lambda c: F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    hashed = F.transform(found, lambda s: low(F.regexp_replace(s, f"(?<= )(?:{common} +)+", "")))
+    hashed = F.transform(found, lambda s: low(F.regexp_replace(F.regexp_replace(s, f"{GLUE}[^ ]*", ""), " +", " ")))
     whole = F.array(low(F.regexp_replace(flat, " +", " ")))
     return F.sort_array(F.array_distinct(F.when(F.size(hashed) > 0, hashed).otherwise(whole)))
 
