@@ -12,6 +12,7 @@ repeated results; an empty table gives no rows. The vocabulary file is a paramet
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +69,8 @@ def count_tokens(docs: DataFrame, vocab_path: str, fields: list[str] | None = No
             totals, sections = [], []
             for i in range(0, len(rows), 64):
                 for at, e in enumerate(t.encode_batch(["".join(r) for r in rows[i : i + 64]], add_special_tokens=False), i):
-                    spans = np.array(e.offsets, np.int64).reshape(-1, 2)
+                    offsets = e.offsets
+                    spans = np.fromiter(chain.from_iterable(offsets), np.int64, 2 * len(offsets)).reshape(-1, 2)
                     totals.append(len(spans))
                     sections.append(attribute(spans, bounds[at]))
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sections]))).astype(np.int32)
