@@ -61,13 +61,14 @@ def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         total = np.zeros(width, np.int64)
         for x in rows["counts"]:
             total += np.frombuffer(zlib.decompress(x), np.int32)
-        return pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
-
-    sums = docs.select(text_col).mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    for part, counts in sums:
-        total[part * width : (part + 1) * width] = np.frombuffer(counts, np.int64)
-    return np.minimum(255, np.round(8 * np.log2(total + 1))).astype(np.uint8)
+        level = np.minimum(255, np.round(8 * np.log2(total + 1))).astype(np.uint8)
+        return pd.DataFrame({"part": [key[0]], "level": [level.tobytes()]})
+
+    levels = docs.select(text_col).mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, level binary").collect()
+    table = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for part, level in levels:
+        table[part * width : (part + 1) * width] = np.frombuffer(level, np.uint8)
+    return table
 
 
 def prefix_length(n: int, percent: int) -> int:
