@@ -14,8 +14,7 @@ from chromalith import schemas
 from chromalith.functions.columns import cell_name, with_chr
 from chromalith.operators.contacts import label_index
 
-PATH = F.col("_metadata.file_path")
-STEM = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
+PATH = "_metadata.file_path"
 
 
 def fends(spark: SparkSession, path: str) -> DataFrame:
@@ -28,7 +27,7 @@ def fends(spark: SparkSession, path: str) -> DataFrame:
 def raw_contacts(spark: SparkSession, pattern: str) -> DataFrame:
     """`<base>/<cell>/adj` files with a header; empty strings stay. cell_id is the folder."""
     df = spark.read.csv(pattern, sep="\t", header=True, nullValue="\u0000", emptyValue="", inferSchema=False)
-    return df.select(F.regexp_extract(PATH, r"([^/]+)/[^/]+$", 1).alias("cell_id"), "fend1", "fend2", "count")
+    return df.select(F.regexp_extract(F.col(PATH), r"([^/]+)/[^/]+$", 1).alias("cell_id"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("fend1", "fend2", "count")])
 
 
 def mcool_cell_id(name: Column) -> Column:
@@ -100,7 +99,7 @@ def reference_bedpe(spark: SparkSession, path: str) -> DataFrame:
 
 def predicted_loops(spark: SparkSession, path: str, ignore: tuple[str, ...] = ("f1", "score", "metric")) -> DataFrame:
     """Predictions with a header, from files whose names have none of the ignored words; cell_id is the file's stem."""
-    rows = spark.read.option("header", True).option("sep", ",").csv(path).withColumn("_name", STEM)
+    rows = spark.read.option("header", True).option("sep", ",").csv(path).withColumn("_name", F.regexp_extract(F.col(PATH), r"([^/]+)$", 1))
     for word in ignore:
         rows = rows.filter(~F.lower("_name").contains(word))
     return rows.select(F.regexp_replace("_name", r"\.[^.]*$", "").alias("cell_id"), "chrom1", F.col("x1").cast("long").alias("x1"), F.col("x2").cast("long").alias("x2"), "chrom2", F.col("y1").cast("long").alias("y1"), F.col("y2").cast("long").alias("y2"))
