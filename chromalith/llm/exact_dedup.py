@@ -42,7 +42,7 @@ def digest_rows(docs: DataFrame, id_col: str, text_col: str, digest=None) -> Dat
     )
 
 
-def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def located(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs itself if its rows have file locators, else a stored copy that has them."""
     try:
         docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
@@ -50,7 +50,7 @@ def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     except Exception as e:
         if "UNRESOLVED" not in str(e) and "cannot resolve" not in str(e).lower():
             raise
-        return stored(docs.select(id_col, text_col), "dedup-content")
+        return stored(docs.select(*[F.col(f"`{c}`") for c in columns]), "dedup-content")
 
 
 def rank(prefix: str = "") -> Column:
@@ -93,7 +93,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     digest: a function from the normalised text to the key of the state, SHA-256 by default.
     """
-    docs = located(docs, id_col, text_col)
+    docs = located(docs, [id_col, text_col])
     rows, state = stream_state(digest_rows(docs, id_col, text_col, digest), files_per_batch)
     state = stored(state, "dedup-final")
     # hits: all rows of groups of two or more; a group's rows are spread over parts of about HOT_PARTS rows
@@ -125,7 +125,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
     names = docs.columns
-    docs = located(docs, id_col, text_col) if id_col in names else docs
+    docs = located(docs, names)
     kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
     whole = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     return whole.join(kept, ["_file", "_row"], "left_semi").select(names)
