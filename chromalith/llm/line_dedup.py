@@ -4,13 +4,13 @@ A line's set holds its distinct words (runs of [^\\x20\\x09-\\x0D]). Lines are o
 a line goes if an earlier line's set has a Jaccard coefficient of at least the threshold with its own.
 Lines without words always stay.
 
-1. Words are ordered by rarity: by counts in 131,072 hash buckets over the whole corpus, then by hash. Any one order
+1. Words are ordered by rarity: by counts in 524,288 hash buckets over the whole corpus, then by hash. Any one order
    for all lines gives the same links, so buckets shared by several words cost nothing but time.
 2. Lines with equal sets are one class, known by its first line; the others of it go.
 3. Classes meet by the words of their prefixes, under length and positional filters. First each meets the earliest
    class of each list only, which settles groups of near copies in linear time; what has no match yet then
    meets all earlier members of its lists.
-4. Pairs are verified on the words themselves.
+4. What the prefixes of a pair share must leave room for a match; then it is verified on the words themselves.
 
 Null texts count as empty and have one empty line. Identifiers are non-negative integers, line numbers below 2**20
 of them; copies of an identifier are joined by text order. Empty tables give no rows. Further columns are ignored
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from chromalith.llm._store import stored
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 19
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 
 
@@ -74,6 +74,17 @@ def _meet(later: DataFrame, earlier: DataFrame, percent: int) -> DataFrame:
     return b.join(a, (F.col("a.code") == F.col("b.code")) & (F.col("a.at") < F.col("b.at")) & size & position).select(F.col("b.at").alias("b"), F.col("a.at").alias("a")).distinct()
 
 
+def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose shared prefix words leave room for a match: beyond the prefix that ends first, a set can add no more
+    than its rest."""
+    p = classes.select("at", "n", "prefix")
+    x = pairs.join(p.select(F.col("at").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a").join(p.select(F.col("at").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
+    rest = lambda n: f"({percent} * {n} + 99) div 100 - 1"
+    last = "element_at(pa, -1) {} element_at(pb, -1)"
+    room = f"case when {last.format('<')} then {rest('na')} when {last.format('>')} then {rest('nb')} else least({rest('na')}, {rest('nb')}) end"
+    return x.filter(f"size(array_intersect(pa, pb)) + {room} >= ({percent} * (na + nb) + {99 + percent}) div {100 + percent}").select("a", "b")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The classes b that match an a, by the words of their first lines."""
     need = pairs.select(F.col("b").alias("at")).unionByName(pairs.select(F.col("a").alias("at"))).distinct()
@@ -94,11 +105,11 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     lists = post.groupBy("code").agg(F.min(F.struct("at", "n", "pos")).alias("low"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     heads = lists.select("code", "low.at", "low.n", "low.pos")
     lists = stored(heads, "line-heads")
-    first = stored(_meet(post, lists, percent), "line-pairs")
+    first = stored(_bounded(_meet(post, lists, percent), classes, percent), "line-pairs")
     settled = stored(_verified(first, docs, percent, id_col, text_col), "line-settled")
     shared = post.join(lists.select("code"), "code", "left_semi")
     rest = shared.join(settled, "at", "left_anti")
-    second = stored(_meet(rest, shared, percent).join(first, ["a", "b"], "left_anti"), "line-pairs")
+    second = stored(_bounded(_meet(rest, shared, percent), classes, percent).join(first, ["a", "b"], "left_anti"), "line-pairs")
     matched = settled.unionByName(_verified(second, docs, percent, id_col, text_col))
     # of a matched class every line goes, of another all but its first
     heads = classes.select("n", "h1", "h2", F.col("at").alias("head")).join(matched.withColumnRenamed("at", "head").withColumn("gone", F.lit(True)), "head", "left")
