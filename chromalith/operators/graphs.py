@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAPH = ("cell_id", "chrom")
-# cell types of the three reference groups
+# fixed values: cell types of the three loop groups
 LOOP_GROUPS = {
     "Neuron": ("L23", "L4", "L5", "L6", "Ndnf", "Vip", "Pvalb", "Sst"),
     "MG": ("MG",),

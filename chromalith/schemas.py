@@ -20,4 +20,5 @@ BED = "chrom string, start long, end long"
 GC = "chrom string, start long, end long, gc double"
 COMPARTMENTS = "cell_id string, chrom string, start long, end long, score double"
 PARAMS = "name string, shape array<int>, values array<double>"
+# fixed values: chromosomes left out by default
 EXCLUDED_CHROMS = ("chrX", "chrY", "chrM")
