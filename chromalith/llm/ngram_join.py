@@ -13,8 +13,8 @@ nothing. Documents link when 100 * intersection >= percent * union.
    size there. Lists of more than LIST_PAIRS members, also while still on the map side, are linked in a star, which
    connects at least as much. Components of these candidate edges are searched on their own.
 4. Within a block of candidate components, inverted lists over the whole sets are searched for each document:
-   DivideSkip merges the short lists by a heap and probes the long ones by bisection, and documents reaching
-   the required overlap are linked. Leaders come first: what links to a leader is searched no further among its
+   DivideSkip merges the short lists by a heap (by array counts where they are many) and probes the long ones by
+   bisection, and documents reaching the required overlap are linked. Leaders come first: what links to a leader is searched no further among its
    like; then the smaller families of a component are searched against all others. A component too large for a
    block is cut into parts by hash, and every two parts meet in a block of their own.
 
@@ -28,6 +28,8 @@ import bisect
 import heapq
 import math
 import zlib
+from array import array
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -42,6 +44,7 @@ from chromalith.llm.components import connected_components
 SKETCH_BITS = 22
 LIST_PAIRS = 64
 BLOCK_POSTINGS = 1_000_000
+MANY = 2000
 U = np.uint64
 
 
@@ -210,36 +213,48 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
     return stars.unionByName(pair).unionByName(local).filter("u < v").distinct()
 
 
-def divide_skip(lists: list, least: int) -> dict[int, int]:
-    """T-occurrence: the numbers that occur in at least `least` of the sorted lists, with their counts."""
+def divide_skip(lists: list, least: int, skip=None, found=None) -> dict[int, int]:
+    """T-occurrence: the numbers that occur in at least `least` of the sorted lists, with their counts.
+
+    The short lists are merged by a heap, or, if they hold many numbers, counted in one array pass; what occurs
+    often enough there is probed in the long lists. skip(x) drops a number unseen, found(x, count) hears of each result.
+    """
     lists = sorted(lists, key=len)
     longest = len(lists[-1]) if lists else 0
     n_long = min(len(lists), least - 1, int(least / (0.0085 * math.log2(max(2, longest)) + 1))) if longest > 8 else 0
     short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    found: dict[int, int] = {}
-    last, count = None, 0
-    for x in heapq.merge(*short):
-        if x == last:
-            count += 1
-            continue
-        if last is not None and count >= least - n_long:
-            found[last] = count
-        last, count = x, 1
-    if last is not None and count >= least - n_long:
-        found[last] = count
-    if not long:
-        return found
+    enough = least - n_long
+    if sum(map(len, short)) > MANY:
+        counts = np.bincount(np.concatenate([np.asarray(a) for a in short]))
+        at = np.flatnonzero(counts >= enough)
+        merged = zip(at.tolist(), counts[at].tolist(), strict=True)
+    else:
+        merged = ((x, n) for x, n in ((x, sum(1 for _ in same)) for x, same in groupby(heapq.merge(*short))) if n >= enough)
+    merged = list(merged)
+    if len(merged) > 64 and long:  # many numbers probe a list at once
+        at, counts = np.array([x for x, _ in merged]), np.array([n for _, n in merged])
+        for left, probe in zip(range(n_long - 1, -1, -1), map(np.asarray, long), strict=True):
+            place = np.minimum(np.searchsorted(probe, at), len(probe) - 1)
+            counts = counts + (probe[place] == at)
+            if left % 8 == 0:
+                keep = counts + left >= least
+                at, counts = at[keep], counts[keep]
+        merged, long, n_long = zip(at.tolist(), counts.tolist(), strict=True), [], 0
     out = {}
-    for x, count in found.items():
+    for x, count in merged:
+        if skip and skip(x):
+            continue
         left = n_long
         for probe in long:
+            if count + left < least:
+                break
             i = bisect.bisect_left(probe, x)
             count += i < len(probe) and probe[i] == x
             left -= 1
-            if count + left < least:
-                break
         if count >= least:
-            out[x] = count
+            out[int(x)] = int(count)
+            if found:
+                found(int(x), int(count))
     return out
 
 
@@ -276,23 +291,25 @@ def search_block(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], per
             edges.append((int(ids[x]), int(ids[y])))
 
     def search(x, lists):
-        lists = [a for a in lists if a]
+        """Links x, unless it is linked by way of others already."""
+        lists = [a for a in lists if len(a)]
         least = -(-percent * int(size[x]) // 100)
         if len(lists) < least:
             return
-        for y, overlap in divide_skip(lists, least).items():
-            if y != x and overlap >= needed(int(size[x]), int(size[y]), percent):
-                link(x, y)
+        near = lambda y, overlap: overlap >= needed(int(size[x]), int(size[y]), percent) and link(x, y)
+        divide_skip(lists, least, lambda y: find(int(y)) == find(x), near)
 
     # leaders: a document that links to a leader joins it and is not indexed itself
-    index: dict[int, list[int]] = {}
+    index: dict[int, array] = {}
+    leader = np.zeros(m, bool)
     for x in range(m):
         runs = run_of[starts[x] : starts[x + 1]][shared[starts[x] : starts[x + 1]]].tolist()
         before = len(edges)
         search(x, [index[r] for r in runs if r in index])
         if len(edges) == before:
+            leader[x] = True
             for r in runs:
-                index.setdefault(r, []).append(x)
+                index.setdefault(r, array("q")).append(x)
     # families of one candidate component: the smaller ones against all documents
     roots = np.array([find(x) for x in range(m)])
     family = np.bincount(roots, minlength=m)
@@ -304,18 +321,17 @@ def search_block(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], per
     members = doc[by]
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(flat))
+    # leaders have met each other: they meet the others only
+    others = members[~leader[members]]
+    upto = np.concatenate(([0], np.cumsum(~leader[members])))
     for x in range(m):
         if roots[x] == largest[int(parts[x])]:
             continue
         runs = run_of[starts[x] : starts[x + 1]][shared[starts[x] : starts[x + 1]]]
-        lists = [members[begin[r] : end[r]] for r in runs]
-        if lists:
-            mine = find(x)
-            # documents already joined with this one need no search
-            near = np.unique(np.concatenate(lists))
-            near = near[[find(int(y)) != mine for y in near]]
-            if len(near):
-                search(x, [a[np.isin(a, near, assume_unique=True)].tolist() for a in lists])
+        if leader[x]:
+            search(x, [others[upto[begin[r]] : upto[end[r]]] for r in runs])
+        else:
+            search(x, [members[begin[r] : end[r]] for r in runs])
     return edges
 
 
