@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 
 def auc(scores: DataFrame, key: str = "graph") -> DataFrame:
-    """ROC-AUC of each group with half credit for ties: scores are first counted by value, so equal scores shuffle once."""
+    """ROC-AUC of each group with half credit for ties, NaN for a group of one class: scores are first counted by value, so equal scores shuffle once."""
     c = scores.groupBy(key, "score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("p"))
     w = W.partitionBy(key).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
     c = c.withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("p")).over(w), F.lit(0)))
     s = c.groupBy(key).agg(F.sum(F.col("p") * (F.col("below") + (F.col("n") - F.col("p")) / 2)).alias("u"), F.sum("p").alias("pos"), F.sum(F.col("n") - F.col("p")).alias("neg"))
-    return s.select(key, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("u") / (F.col("pos") * F.col("neg"))).alias("auc"))
+    return s.select(key, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("u") / (F.col("pos") * F.col("neg"))).otherwise(F.lit(float("nan"))).alias("auc"))
 
 
 def average_precision(scores: DataFrame, key: str = "graph") -> DataFrame:
