@@ -1,7 +1,7 @@
 """Document fingerprints: SpotSigs, with DataFrame operations only.
 
-A signature is a common word right before a content word (the anchor) with that word and the next one, common words
-between them skipped; the text's start is an anchor too. Words are what blanks and ASCII punctuation leave, lower-cased. A text
+A signature is a common word (the anchor) with the two content words that follow it, common words between them
+skipped; every common word of a run is an anchor, and the text's start is one too. Words are what blanks and ASCII punctuation leave, lower-cased. A text
 without any chain has one signature, its words as a whole. A fingerprint is the sorted set of its signatures'
 32-bit hashes, written in hex; likeness is the Jaccard coefficient of two sets.
 
@@ -41,19 +41,26 @@ def signatures(text: Column, anchors: tuple[str, ...] | list[str] = tuple(ANCHOR
 
     Common words are first glued to the word before them by GLUE, so that a word and the common words after it are
     one run of other characters than the blank; the patterns then need no repeated groups, whose matching would
-    recurse in long texts.
+    recurse in long texts. Runs of blanks are one blank by then, as a pattern must not meet GLUE after a blank.
     """
     common = "|".join(sorted(set(anchors), key=lambda a: (-len(a), a)))
-    flat = flat_words(text)
-    glued = F.regexp_replace(flat, f" ({common}|\\^)(?= )", f"{GLUE}$1")
-    word = f"([^{GLUE} ]+)"
-    # the look-ahead lets chains overlap
-    pattern = f"{GLUE}(?=({word} +{word}{f'[^ ]* +{word}' * (chain - 1)}[ {GLUE}]))"
+    flat = F.regexp_replace(flat_words(text), " +", " ")
+    glued = F.concat(F.lit(" "), F.regexp_replace(flat, f" ({common}|\\^)(?= )", f"{GLUE}$1"))
+    word = f"[^{GLUE} ]++"
+    # a word, the common words after it and the next content words; the look-ahead lets chains overlap, and every
+    # run of common words is met once, from the word before it
+    pattern = f" [^{GLUE} ]*+(?=({GLUE}[^ ]++ {word}{f'[^ ]*+ {word}' * (chain - 1)}))"
     found = F.regexp_extract_all(glued, F.lit(pattern), F.lit(1))
     low = lambda c: F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    hashed = F.transform(found, lambda s: low(F.regexp_replace(F.regexp_replace(s, f"{GLUE}[^ ]*", ""), " +", " ")))
-    whole = F.array(low(F.regexp_replace(flat, " +", " ")))
-    return F.sort_array(F.array_distinct(F.when(F.size(hashed) > 0, hashed).otherwise(whole)))
+
+    def chains(s: Column) -> Column:
+        """The hashed chain of each common word of a run."""
+        run = F.substring_index(s, " ", 1)
+        content = F.regexp_replace(F.substring(s, F.length(run) + 1, F.length(s)), f"{GLUE}[^ ]*", "")
+        return F.transform(F.array_distinct(F.array_remove(F.split(run, GLUE), "")), lambda a: low(F.concat(a, content)))
+
+    hashed = F.flatten(F.transform(found, chains))
+    return F.sort_array(F.array_distinct(F.when(F.size(hashed) > 0, hashed).otherwise(F.array(low(flat)))))
 
 
 def fingerprint(sigs: Column) -> Column:

@@ -262,6 +262,41 @@ def test_spotsigs(spark):
     assert spotsigs.edited_pairs(corpus(spark, EDGE).limit(0)).count() == 0
 
 
+SPOTS = ["of cat, the dog", "In of, the  cat -- and, the (dog) house; a bird", "the of " * 50 + "cat, of the dog", "one, two. The three", "cat the", "x  the\ty of\n\nthe z"]
+
+
+def spot_tokens(text):
+    """The text's start and every content word, each with the common words that follow it."""
+    out = [("", ["^"])]
+    for w in "".join(" " if c in spotsigs.PUNCTUATION else c for c in text or "").lower().split(" "):
+        if w in spotsigs.ANCHORS:
+            out[-1][1].append(w)
+        elif w:
+            out.append((w, []))
+    return out
+
+
+def spot_chains(text):
+    t = spot_tokens(text)
+    return {f"{a} {t[i + 1][0]} {t[i + 2][0]}" for i in range(len(t) - 2) for a in t[i][1]}
+
+
+def spot_hashes(spark, strings):
+    rows = spark.createDataFrame([(x,) for x in sorted(strings)], "s string").select("s", F.xxhash64("s").bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"))
+    return {x.s: x.h for x in rows.collect()}
+
+
+def test_spotsigs_keep_every_chain(spark):
+    r = random.Random(5)
+    bits = ["the", "of", "a", "cat", "Dog", "bird", "x", ", ", ". ", "  ", "\n", "-", "("]
+    texts = SPOTS + [" ".join(r.choice(bits) for _ in range(r.randrange(40))) for _ in range(60)]
+    got = {x.doc_id: set(x.sigs) for x in corpus(spark, texts).select("doc_id", spotsigs.signatures(F.col("text")).alias("sigs")).collect()}
+    code = spot_hashes(spark, set().union(*map(spot_chains, texts)))
+    assert {"of cat dog", "^ cat dog"} <= spot_chains(texts[0])
+    for i, t in enumerate(texts):
+        assert {code[c] for c in spot_chains(t)} <= got[i], t
+
+
 def test_chat_round_trip(spark):
     r = random.Random(6)
     bits = ["</s>", "<s>[ROLE]", "[TEXT]", "[NEXT]", "\\", "\\(", "\\{", "[", "<", "\n", "é😀", "hi"]
