@@ -1,9 +1,11 @@
 """Document fingerprints: SpotSigs, with DataFrame operations only.
 
 A signature is a common word (the anchor) with the two content words that follow it, common words between them
-skipped; every common word of a run is an anchor, and the text's start is one too. Words are what blanks and ASCII punctuation leave, lower-cased. A text
-without any chain has one signature, its words as a whole. A fingerprint is the sorted set of its signatures'
-32-bit hashes, written in hex; likeness is the Jaccard coefficient of two sets.
+skipped; every common word of a run is an anchor, and the text's start is one too; "$" stands for words beyond the
+text's end. A content word that no common word's chain reaches ends a chain of its own, with the two words before it, so
+that every word is read. Words are what blanks and ASCII punctuation leave, lower-cased. A text without common words has
+its words as a whole as a further signature, one of fewer than two content words has no other. A fingerprint is the
+sorted set of its signatures' 32-bit hashes, written in hex; likeness is the Jaccard coefficient of two sets.
 
 `near_duplicates` partitions fingerprints by set length, so that only sets whose lengths allow the threshold meet,
 and prunes by prefix and position before it computes a Jaccard coefficient.
@@ -28,6 +30,7 @@ ANCHORS = (
 ).split()
 PUNCTUATION = "\x01\t\n\x0b\x0c\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 START = "^"
+END = "$"
 GLUE = "\x01"
 
 
@@ -47,20 +50,26 @@ def signatures(text: Column, anchors: tuple[str, ...] | list[str] = tuple(ANCHOR
     flat = F.regexp_replace(flat_words(text), " +", " ")
     glued = F.concat(F.lit(" "), F.regexp_replace(flat, f" ({common}|\\^)(?= )", f"{GLUE}$1"))
     word = f"[^{GLUE} ]++"
-    # a word, the common words after it and the next content words; the look-ahead lets chains overlap, and every
-    # run of common words is met once, from the word before it
-    pattern = f" [^{GLUE} ]*+(?=({GLUE}[^ ]++ {word}{f'[^ ]*+ {word}' * (chain - 1)}))"
-    found = F.regexp_extract_all(glued, F.lit(pattern), F.lit(1))
+    # a word, the common words after it and the next content words, or adjacent content words only; the look-ahead
+    # lets chains overlap, and every run of common words is met once, from the word before it
+    after = f"[^{GLUE} ]*+{GLUE}[^ ]++ {word}{f'[^ ]*+ {word}' * (chain - 1)}"
+    pattern = f" (?=({after}|{f'{word} ' * chain}(?!\\{END}){word}))"
+    found = F.regexp_extract_all(F.concat(glued, F.lit(f"{END} " * chain)), F.lit(pattern), F.lit(1))
     low = lambda c: F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF))
 
     def chains(s: Column) -> Column:
-        """The hashed chain of each common word of a run."""
+        """The hashed chain of each common word of a run, or of the content words themselves."""
         run = F.substring_index(s, " ", 1)
         content = F.regexp_replace(F.substring(s, F.length(run) + 1, F.length(s)), f"{GLUE}[^ ]*", "")
-        return F.transform(F.array_distinct(F.array_remove(F.split(run, GLUE), "")), lambda a: low(F.concat(a, content)))
+        parts = F.split(run, GLUE)
+        heads = F.when(F.size(parts) > 1, F.array_distinct(F.slice(parts, 2, F.size(parts)))).otherwise(parts)
+        return F.transform(heads, lambda a: low(F.concat(a, content)))
 
+    whole = F.array(low(flat))
     hashed = F.flatten(F.transform(found, chains))
-    return F.sort_array(F.array_distinct(F.when(F.size(hashed) > 0, hashed).otherwise(F.array(low(flat)))))
+    few = ~glued.rlike(f" {word}" + f"[^ ]*+ {word}" * (chain - 1))
+    free = ~glued.rlike(f"{GLUE}[^\\^]")
+    return F.sort_array(F.array_distinct(F.when(few, whole).when(free, F.concat(hashed, whole)).otherwise(hashed)))
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -89,7 +98,8 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tops = tops.withColumn("into", F.coalesce(F.lead("block").over(every), F.first("block").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
     guests = rows.join(F.broadcast(tops), rows["id"].eqNullSafe(tops["top"])).select("id", "text", F.col("into").alias("block"), F.lit(1).alias("guest"))
     rows = rows.select("id", "text", block.alias("block"), F.lit(0).alias("guest")).unionByName(guests)
-    rows = rows.withColumn("sigs", signatures(F.col("text")))
+    # signatures are found behind the shuffle, which so moves texts only
+    rows = rows.repartition("block").withColumn("sigs", signatures(F.col("text")))
     order = W.partitionBy("block").orderBy("guest", F.col("id").desc_nulls_last(), F.col("text").desc())
     rows = rows.withColumn("next", F.lead(F.struct("text", "sigs")).over(order)).filter("guest = 0")
     n_chars = F.length("text")

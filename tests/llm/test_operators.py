@@ -297,6 +297,30 @@ def test_spotsigs_keep_every_chain(spark):
         assert {code[c] for c in spot_chains(t)} <= got[i], t
 
 
+def spot_all(text):
+    t = spot_tokens(text)
+    flat = " ^ " + "".join(" " if c in spotsigs.PUNCTUATION else c for c in text or "").lower() + " "
+    whole = re.sub(" +", " ", flat)
+    if len(t) < 3:
+        return {whole}
+    far = [*t, ("$", []), ("$", [])]
+    out = {f"{a} {far[i + 1][0]} {far[i + 2][0]}" for i in range(len(t)) for a in t[i][1]}
+    out |= {f"{t[i - 2][0]} {t[i - 1][0]} {t[i][0]}" for i in range(3, len(t)) if not t[i - 1][1] and not t[i - 2][1]}
+    return out | ({whole} if not any(c != "^" for _, cs in t for c in cs) else set())
+
+
+def test_spotsigs_read_every_word(spark):
+    r = random.Random(6)
+    opening = "The and attion to thanedble, anea."
+    texts = [opening + " hant" * 3 + " onwhly anes", opening + " th erly, ofthedenha", "red | green | blue | " + " | ".join(words(60, 1)), "red | green | blue | " + " | ".join(words(60, 2)), "cat", "the", "", "cat of the", "x y", "the x y z the", *EDGE]
+    texts += [" ".join(r.choice(["the", "of", *"uvwxyz", ", "]) for _ in range(r.randrange(25))) for _ in range(80)]
+    got = {x.doc_id: set(x.sigs) for x in corpus(spark, texts).select("doc_id", spotsigs.signatures(F.col("text")).alias("sigs")).collect()}
+    code = spot_hashes(spark, set().union(*map(spot_all, texts)))
+    for i, t in enumerate(texts):
+        assert got[i] == {code[c] for c in spot_all(t)}, t
+    assert got[0] != got[1] and not got[2] & got[3] - {code["^ red green"], code["red green blue"]}
+
+
 def test_chat_round_trip(spark):
     r = random.Random(6)
     bits = ["</s>", "<s>[ROLE]", "[TEXT]", "[NEXT]", "\\", "\\(", "\\{", "[", "<", "\n", "é😀", "hi"]
