@@ -35,11 +35,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chromalith.llm import _text
 from chromalith.llm._store import bound_batches, stored
 from chromalith.llm.components import connected_components
+from chromalith.llm.exact_dedup import located
 
 SKETCH_BITS = 22
 LIST_PAIRS = 64
@@ -385,7 +387,24 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """doc (a struct of all columns) and key, a number of the row's own; docs must have file locators. Rows are
+    numbered through, file after file."""
+    rows = docs.select(F.struct("*").alias("doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    sizes = rows.groupBy("file").agg((F.max("row") + 1).alias("n"))
+    before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    offsets = stored(sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "join-offsets")
+    return rows.join(F.broadcast(offsets), "file").select("doc", (F.col("before") + F.col("row")).alias("key"))
+
+
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest identifier, with all columns."""
-    ids = ngram_components(docs, k, percent, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(ids, id_col, "left_semi").select(docs.columns)
+    """One row of each component, that with the smallest identifier, with all columns.
+
+    Rows are known by keys of their own, so identifiers may be null or repeated: every row is a document with its own
+    text. Null identifiers sort first; of equal ones the first row stays.
+    """
+    rows = row_keys(located(docs, docs.columns))
+    texts = rows.select("key", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").alias("text"))
+    comps = ngram_components(texts.select("key", "text"), k, percent, "key", "text")
+    first = comps.join(texts.select("key", "id"), "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first"))
+    return rows.join(first.select("first.key"), "key", "left_semi").select("doc.*")

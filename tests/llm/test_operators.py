@@ -211,6 +211,20 @@ def test_ngram_large_component_is_cut(spark, monkeypatch):
     assert ngram_join.ngram_components(corpus(spark, texts).limit(0)).count() == 0
 
 
+def test_keep_one_null_and_repeated_identifiers(spark, tmp_path):
+    a, b, c, d, e = (words(60, i, 5000) for i in range(5))
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    rows = [
+        (None, " ".join(a)), (None, " ".join(b)), (4, near(b)), (None, None),  # null identifiers: unique, linked, empty
+        (7, " ".join(c)), (7, " ".join(d)), (2, near(d)), (9, near(c)), (7, " ".join(e)), (7, " ".join(e)),  # one identifier, three texts
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([rows[0], rows[1], rows[3], rows[4], rows[6], rows[8]], key=str)
+    assert sorted(map(tuple, ngram_join.keep_one(docs.coalesce(1)).collect()), key=str) == want
+    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    assert sorted(map(tuple, ngram_join.keep_one(spark.read.parquet(str(tmp_path / "docs"))).collect()), key=str) == want
+
+
 def test_divide_skip_brute_force():
     r = random.Random(4)
     for _ in range(300):
