@@ -12,9 +12,9 @@ Lines without words always stay.
    meets all earlier members of its lists.
 4. What the prefixes of a pair share must leave room for a match; then it is verified on the words themselves.
 
-Null texts count as empty and have one empty line. Identifiers are non-negative integers, line numbers below 2**20
-of them; copies of an identifier are joined by text order. Empty tables give no rows. Further columns are ignored
-by `line_report` and kept by `without_lines`.
+Null texts count as empty and have one empty line. Identifiers may be null (these come first) or repeated: rows are
+known by keys of their own, and of rows of one identifier the first in the files comes first. Empty tables give no
+rows. Further columns are ignored by `line_report` and kept by `without_lines`.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromalith.llm._store import stored
+from chromalith.llm.exact_dedup import located
+from chromalith.llm.ngram_join import row_keys
 
 BUCKETS = 1 << 19
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
@@ -50,14 +52,18 @@ def rarity_levels(docs: DataFrame, text_col: str) -> Column:
     return F.lit(table)
 
 
-def line_sets(docs: DataFrame, levels: Column, id_col: str, text_col: str) -> DataFrame:
-    """at (identifier and line number), n and the ordered codes of the words of every line that has words."""
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(lines_of(F.col(text_col))).alias("line", "text"))
+def lines_at(texts: DataFrame) -> DataFrame:
+    """at (identifier, key of the row and line number, in the order of lines) and text of every line of texts (key, id, text)."""
+    lines = texts.select("id", "key", F.posexplode(lines_of(F.col("text"))).alias("line", "text"))
+    return lines.select(F.struct("id", "key", "line").alias("at"), "text")
+
+
+def line_sets(texts: DataFrame, levels: Column) -> DataFrame:
+    """at, n and the ordered codes of the words of every line that has words."""
     rarity = lambda w: F.ascii(F.substring(levels, _bucket(w) + 1, F.lit(1)).cast("string")).cast("long")
     code = lambda w: F.shiftleft(rarity(w), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
     codes = F.sort_array(F.array_distinct(F.transform(words_of(F.col("text")), code)))
-    at = F.shiftleft(F.col("id"), 20) + F.col("line")
-    return lines.select(at.alias("at"), codes.alias("codes")).select("at", F.size("codes").alias("n"), "codes").filter("n > 0")
+    return lines_at(texts).select("at", codes.alias("codes")).select("at", F.size("codes").alias("n"), "codes").filter("n > 0")
 
 
 def class_rows(sets: DataFrame, percent: int) -> DataFrame:
@@ -85,20 +91,23 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return x.filter(f"size(array_intersect(pa, pb)) + {room} >= ({percent} * (na + nb) + {99 + percent}) div {100 + percent}").select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The classes b that match an a, by the words of their first lines."""
     need = pairs.select(F.col("b").alias("at")).unionByName(pairs.select(F.col("a").alias("at"))).distinct()
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(lines_of(F.col(text_col))).alias("line", "text"))
-    lines = lines.select((F.shiftleft(F.col("id"), 20) + F.col("line")).alias("at"), "text").join(need, "at", "left_semi").dropDuplicates(["at"])
+    lines = lines_at(texts).join(need, "at", "left_semi")
     words = stored(lines.select("at", F.array_distinct(words_of(F.col("text"))).alias("w")), "line-words")
     x = pairs.join(words.select(F.col("at").alias("b"), F.col("w").alias("wb")), "b").join(words.select(F.col("at").alias("a"), F.col("w").alias("wa")), "a")
     both = F.size(F.array_intersect("wa", "wb"))
     return x.filter(100 * both >= percent * (F.size("wa") + F.size("wb") - both)).select(F.col("b").alias("at")).distinct()
 
 
-def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, line (from 0) of every line that goes."""
-    rows = class_rows(line_sets(docs, rarity_levels(docs, text_col), id_col, text_col), percent)
+def texts_of(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return rows.select("key", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").alias("text"))
+
+
+def _gone(texts: DataFrame, percent: int) -> DataFrame:
+    """id, key, line (from 0) of every line of texts (key, id, text) that goes."""
+    rows = class_rows(line_sets(texts, rarity_levels(texts, "text")), percent)
     # rows of one class in one task are merged there before anything is shuffled
     classes = stored(rows.groupBy("n", "h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("lines"), F.first("prefix").alias("prefix")), "line-classes")
     post = classes.select("at", "n", F.posexplode("prefix").alias("pos", "code"))
@@ -106,30 +115,39 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     heads = lists.select("code", "low.at", "low.n", "low.pos")
     lists = stored(heads, "line-heads")
     first = stored(_bounded(_meet(post, lists, percent), classes, percent), "line-pairs")
-    settled = stored(_verified(first, docs, percent, id_col, text_col), "line-settled")
+    settled = stored(_verified(first, texts, percent), "line-settled")
     shared = post.join(lists.select("code"), "code", "left_semi")
     rest = shared.join(settled, "at", "left_anti")
     second = stored(_bounded(_meet(rest, shared, percent), classes, percent).join(first, ["a", "b"], "left_anti"), "line-pairs")
-    matched = settled.unionByName(_verified(second, docs, percent, id_col, text_col))
+    matched = settled.unionByName(_verified(second, texts, percent))
     # of a matched class every line goes, of another all but its first
     heads = classes.select("n", "h1", "h2", F.col("at").alias("head")).join(matched.withColumnRenamed("at", "head").withColumn("gone", F.lit(True)), "head", "left")
     heads = stored(heads.select("n", "h1", "h2", "head", F.coalesce("gone", F.lit(False)).alias("gone")), "line-verdicts")
     out = rows.drop("prefix").join(heads, ["n", "h1", "h2"]).filter("gone or at != head")
-    return out.select(F.shiftright("at", 20).alias(id_col), F.expr("cast(at & 1048575 as int)").alias("line"))
+    return out.select("at.id", "at.key", "at.line")
+
+
+def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, line (from 0) of every line that goes."""
+    rows = row_keys(located(docs, [id_col, text_col]))
+    return _gone(texts_of(rows, id_col, text_col), percent).select(F.col("id").alias(id_col), "line")
 
 
 def line_report(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_lines, n_removed and the numbers of the removed lines for every document."""
-    gone = removed_lines(docs, percent, id_col, text_col).groupBy(id_col).agg(F.sort_array(F.collect_set("line")).alias("removed"))
-    out = docs.select(F.col(id_col), F.size(lines_of(F.col(text_col))).cast("long").alias("n_lines")).join(gone, id_col, "left")
+    texts = texts_of(row_keys(located(docs, [id_col, text_col])), id_col, text_col)
+    gone = _gone(texts, percent).groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    out = texts.select("key", F.col("id").alias(id_col), F.size(lines_of(F.col("text"))).cast("long").alias("n_lines")).join(gone, "key", "left")
     none = F.expr("cast(array() as array<int>)")
     return out.select(id_col, "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"))
 
 
 def without_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all columns, their texts without the lines that go."""
-    gone = removed_lines(docs, percent, id_col, text_col).groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("line").alias("_gone"))
-    out = docs.join(gone, F.col(id_col) == F.col("_id"), "left")
-    kept = F.array_join(F.filter(lines_of(F.col(text_col)), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
-    return out.select(*[(text if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    rows = row_keys(located(docs, docs.columns))
+    gone = _gone(texts_of(rows, id_col, text_col), percent).groupBy("key").agg(F.collect_set("line").alias("gone"))
+    out = rows.join(gone, "key", "left")
+    old = F.col(f"doc.`{text_col}`")
+    kept = F.array_join(F.filter(lines_of(old), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNull(), old).otherwise(kept)
+    return out.select(*[(text if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

@@ -159,6 +159,17 @@ def test_line_dedup(spark):
     assert line_dedup.line_report(corpus(spark, texts).limit(0)).count() == 0
 
 
+def test_line_dedup_long_texts_and_any_identifiers(spark):
+    """The old keys held 2**20 lines and identifiers below 2**43, and none for null."""
+    long = "\n" * (2**20 + 1) + "one two three four five"  # line 2**20 + 1, which was line 1 of the next document
+    rows = [(5, long), (6, "own line here\nanother clean line\none two three four five"), (2**43 + 5, "own line here\nkept"), (None, "nulls come first\nagain"), (None, "nulls come first\nmore"), (9, "again\nnine"), (9, "more\nnine\nten")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(((x.doc_id, x.n_lines, list(x.removed)) for x in line_dedup.line_report(docs).collect()), key=str)
+    assert got == sorted([(5, 2**20 + 2, []), (6, 3, [2]), (2**43 + 5, 2, [0]), (None, 2, []), (None, 2, [0]), (9, 2, [0]), (9, 3, [0, 1])], key=str)
+    texts = {(x.doc_id, x.text) for x in line_dedup.without_lines(docs).collect()}
+    assert texts == {(5, long), (6, "own line here\nanother clean line"), (2**43 + 5, "kept"), (None, "nulls come first\nagain"), (None, "more"), (9, "nine"), (9, "ten")}
+
+
 def brute_components(texts, k, percent):
     sets = []
     for t in texts:
