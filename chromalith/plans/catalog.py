@@ -589,8 +589,7 @@ def hmm_posterior(spark, d):
 
 @query()
 def train_step(spark, d):
-    g = _graphs(spark, d).filter(F.col("cell_id").isin("C1", "C2", "C3", "C4") & (F.col("chrom") == "chr1"))
-    t = training.train(g, _PARAMS, training.TrainConfig(epochs=2))
+    t = training.train(_graphs(spark, d), _PARAMS, training.TrainConfig())
     return spark.createDataFrame([(h["epoch"], float(h["train"])) for h in t.history], "epoch int, loss double")
 
 

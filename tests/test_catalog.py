@@ -31,3 +31,19 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_train_step_takes_every_graph(spark, monkeypatch):
+    from chromalith.operators import training
+    from chromalith.plans import catalog
+
+    seen, train = [], training.train
+
+    def short(graphs, params, cfg):
+        seen.append((graphs.select("cell_id", "chrom").collect(), cfg))
+        return train(graphs.limit(2), params, training.TrainConfig(epochs=1))
+
+    monkeypatch.setattr(training, "train", short)
+    assert catalog.QUERIES["train_step"](spark, SF).count() == 1
+    graphs, cfg = seen[0]
+    assert sorted(graphs) == sorted(catalog._graphs(spark, SF).select("cell_id", "chrom").collect()) and cfg == training.TrainConfig()
