@@ -584,7 +584,7 @@ def tad_pipeline(spark, d):
 @query()
 def hmm_posterior(spark, d):
     z = view(spark, d, "v_z")
-    return segments.hmm_posterior(z, segments.fit_hmm(z, n_iter=5, pca_dim=4))
+    return segments.hmm_posterior(z, segments.fit_hmm(z, pca_dim=4))
 
 
 @query()

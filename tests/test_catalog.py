@@ -47,3 +47,14 @@ def test_train_step_takes_every_graph(spark, monkeypatch):
     assert catalog.QUERIES["train_step"](spark, SF).count() == 1
     graphs, cfg = seen[0]
     assert sorted(graphs) == sorted(catalog._graphs(spark, SF).select("cell_id", "chrom").collect()) and cfg == training.TrainConfig()
+
+
+def test_hmm_posterior_is_of_a_model_that_settled(spark, monkeypatch):
+    from chromalith.operators import segments
+    from chromalith.plans import catalog
+
+    models, fit = [], segments.fit_hmm
+    monkeypatch.setattr(segments, "fit_hmm", lambda *a, **k: models.append(fit(*a, **k)) or models[-1])
+    assert catalog.QUERIES["hmm_posterior"](spark, SF).count() > 0
+    h = models[0].history
+    assert len(h) == 100 or h[-1] - h[-2] < 1e-2
