@@ -491,6 +491,12 @@ def consensus_intervals(spark, d):
     return intervals.consensus_intervals(peaks, n, 10_000)
 
 
+@query()
+def vote_consensus_intervals(spark, d):
+    _, _, n = _votes(spark, d)
+    return intervals.consensus_intervals(nms_consensus(spark, d), n, 10_000)
+
+
 _CTCF = "mid as (select concat('chr', cast(l_linenumber as string)) as chrom, (l_extendedprice::bigint * 37) % 3000000 as mid from lineitem), ctr as (select distinct chrom1 as chrom, x1 as center from v_ref_loops)"
 
 

@@ -58,3 +58,24 @@ def test_hmm_posterior_is_of_a_model_that_settled(spark, monkeypatch):
     assert catalog.QUERIES["hmm_posterior"](spark, SF).count() > 0
     h = models[0].history
     assert len(h) == 100 or h[-1] - h[-2] < 1e-2
+
+
+def test_consensus_intervals_of_real_peaks(spark):
+    from chromalith.plans import catalog
+    from chromalith.plans.views import view
+
+    votes, cells, n_bins = {}, {}, {}
+    for r in view(spark, SF, "v_votes").collect():
+        votes.setdefault((r.chrom, r.b), set()).add(r.cell_id)
+        cells.setdefault(r.chrom, set()).add(r.cell_id)
+        n_bins[r.chrom] = max(n_bins.get(r.chrom, 0), r.b + 1)
+    want = []
+    for chrom, n in n_bins.items():
+        peaks = []
+        for frac, b in sorted(((len(v) / len(cells[chrom]), b) for (c, b), v in votes.items() if c == chrom and 0 <= b < n - 1), reverse=True):
+            if frac >= 0.04 and all(abs(b - x) >= 3 for x in peaks):
+                peaks.append(b)
+        ends = sorted(peaks) + [n - 1] * (not peaks or max(peaks) < n - 1)
+        want += [(chrom, (a + 1) * 10_000, (b + 1) * 10_000) for a, b in zip([-1, *ends], ends)]
+    got = catalog.QUERIES["vote_consensus_intervals"](spark, SF).select("chrom", "start", "end").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > len(n_bins)
