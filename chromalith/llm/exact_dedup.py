@@ -9,8 +9,7 @@ of the staying row points to. Digests whose texts differ are regrouped by the wh
 The normalised text has every character of [\\x20\\x09-\\x0D] deleted; a null text counts as empty. Of equal
 texts the one with the most code points in the original stays, then the smallest identifier, then the first
 locator. Null identifiers sort first; rows repeated in full are still rows of their own. An empty table gives
-no rows; further columns of the input are ignored, and dropped names may clash freely as only the identifier
-and the text are read.
+no rows. `exact_dedup` reads the identifier and the text only, `keep_first` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,10 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromalith.llm._store import scratch_path, stored
+from chromalith.llm._store import delete, scratch_path, settings, stored, write
 
 BLANKS = " \t\n\x0b\x0c\r"
 HOT_PARTS = 1000
+BATCH_BYTES = 1 << 28
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,12 +31,12 @@ def normalised(text: Column) -> Column:
 
 def digest_rows(docs: DataFrame, id_col: str, text_col: str, digest=None) -> DataFrame:
     """One row per document: digest, id, n_chars and the locator (file, row in it) of its text."""
-    norm = normalised(F.col(text_col))
+    norm = normalised(F.col(f"`{text_col}`"))
     return docs.select(
-        F.col(id_col).alias("id"),
+        F.col(f"`{id_col}`").alias("id"),
         (digest or (lambda c: F.sha2(c, 256)))(norm).alias("digest"),
-        F.sha2(norm, 256).alias("text_sha256"),
-        F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"),
+        *([F.sha2(norm, 256).alias("text_sha256")] if digest else []),
+        F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("long").alias("n_chars"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.row_index").alias("row"),
     )
@@ -58,16 +58,19 @@ def rank(prefix: str = "") -> Column:
     return F.struct((-F.col(f"{prefix}n_chars")).alias("less"), F.col(f"{prefix}id").alias("id"), F.col(f"{prefix}file").alias("file"), F.col(f"{prefix}row").alias("row"))
 
 
-def stream_state(rows: DataFrame, files_per_batch: int) -> DataFrame:
-    """The final keyed state over a stored table of digest rows: digest, keep (id, file, row), group_size."""
+def stream_state(rows: DataFrame, batch_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """A stored table of digest rows, and the final keyed state over it: digest, keep (id, file, row), group_size.
+
+    Micro-batches take files of digest rows up to batch_bytes. State partitions are many and mostly small, so RocksDB must
+    not allocate its files ahead: with 211 partitions that alone took some 850 MB of local disk.
+    """
     spark = rows.sparkSession
     source = scratch_path(spark, "dedup-rows")
-    rows.write.parquet(source)
+    write(rows, source)
     target, at = scratch_path(spark, "dedup-state"), scratch_path(spark, "dedup-stream")
-    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    try:
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    state_store = {"spark__sql__streaming__stateStore__providerClass": ROCKSDB, "spark__sql__streaming__stateStore__rocksdb__allowFAllocate": "false"}
+    with settings(spark, **state_store):
+        stream = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", batch_bytes).parquet(source)
         state = stream.groupBy("digest").agg(F.min(rank()).alias("keep"), F.count(F.lit(1)).alias("group_size"))
         query = (
             state.writeStream.outputMode("update")
@@ -78,30 +81,33 @@ def stream_state(rows: DataFrame, files_per_batch: int) -> DataFrame:
             .start()
         )
         query.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", held)
+    table = spark.read.schema(rows.schema).parquet(source)
+    table._scratch = source
     empty = spark.createDataFrame([], state.schema)
     if not query.lastProgress:
-        return spark.read.schema(rows.schema).parquet(source), empty
+        return table, empty
     batches = spark.read.schema(state.schema).parquet(f"{target}/batch=*")
     last = batches.groupBy("digest").agg(F.max(F.struct("group_size", "keep")).alias("s"))
-    return spark.read.schema(rows.schema).parquet(source), last.select("digest", "s.keep", "s.group_size")
+    final = stored(last.select("digest", "s.keep", "s.group_size"), "dedup-final")
+    for path in (target, at):
+        delete(spark, path)
+    return table, final
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 10_000, digest=None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, digest=None) -> DataFrame:
     """One row per document: id_col, keep_id, group_size, kept, text_sha256, file, row.
 
     digest: a function from the normalised text to the key of the state, SHA-256 by default.
     """
     docs = located(docs, [id_col, text_col])
-    rows, state = stream_state(digest_rows(docs, id_col, text_col, digest), files_per_batch)
-    state = stored(state, "dedup-final")
+    rows, state = stream_state(digest_rows(docs, id_col, text_col, digest), batch_bytes)
+    rows = rows if digest else rows.withColumn("text_sha256", F.col("digest"))
     # hits: all rows of groups of two or more; a group's rows are spread over parts of about HOT_PARTS rows
     parts = lambda size: F.ceil(size / HOT_PARTS).cast("int")
     groups = state.filter("group_size > 1")
     marked = rows.join(state, "digest")
     hit = marked.filter("group_size > 1").select("file", "row", "digest", F.pmod(F.xxhash64("file", "row"), parts(F.col("group_size"))).cast("int").alias("part"))
-    texts = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), normalised(F.col(text_col)).alias("norm"))
+    texts = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), normalised(F.col(f"`{text_col}`")).alias("norm"))
     mine = texts.join(hit, ["file", "row"])
     kept_text = texts.join(groups.select(F.col("keep.file").alias("file"), F.col("keep.row").alias("row"), "digest", parts(F.col("group_size")).alias("parts")), ["file", "row"])
     kept_text = kept_text.select("digest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("norm").alias("kept_norm"))
@@ -124,8 +130,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    names = docs.columns
-    docs = located(docs, names)
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-    whole = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return whole.join(kept, ["_file", "_row"], "left_semi").select(names)
+    docs = located(docs, docs.columns)
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select("file", "row")
+    whole = docs.select(F.struct("*").alias("doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return whole.join(kept, ["file", "row"], "left_semi").select("doc.*")
