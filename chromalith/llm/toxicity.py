@@ -11,6 +11,7 @@ Repeated rows score alike; an empty table gives no rows; without usable labels a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,9 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromalith.llm import _text
-from chromalith.llm._train import fold, training_sample
+from chromalith.llm._train import fold, learn_from, training_sample
 
 BITS = 18
+NARROW, WIDE = 14, 40  # bits of a sentence's number beside a bucket
 GAPS = _text.SPACE.copy()
 GAPS[[b for b in range(128) if not chr(b).isalnum()]] = True
 ENDS = np.zeros(256, bool)
@@ -55,32 +57,45 @@ class Sentences:
         return np.bincount(pairs >> BITS, model.weights[pairs & ((1 << BITS) - 1)], len(self.begin)) + model.bias
 
 
-def train(texts: pa.Array, y: np.ndarray, epochs: int = 6, rate: float = 0.4, decay: float = 1e-5, min_docs: int = 4, seed: int = 0) -> Model:
-    docs = []
+def _pairs(texts: pa.Array) -> Iterator[np.ndarray]:
+    """For each document its distinct pairs of bucket and sentence (numbered from 0), as bucket << shift | sentence with
+    shift NARROW, in 32 bits; a document of more sentences than that holds has 64 bits and the shift WIDE."""
     for _, data, offsets in _text.chunks(texts):
         s = Sentences(data, offsets)
         at, bucket = (np.concatenate(x) for x in zip(*s.features, strict=True))
         of = np.searchsorted(s.begin, at, "right") - 1
-        pairs = np.unique(of.astype(np.int64) << BITS | bucket)
-        of, bucket = pairs >> BITS, pairs & ((1 << BITS) - 1)
-        bounds = np.searchsorted(of, s.first)
-        docs += [(bucket[a:b], of[a:b] - f) for a, b, f in zip(bounds[:-1], bounds[1:], s.first[:-1], strict=True)]
-    # buckets of few documents say nothing about others
+        doc = np.searchsorted(s.first, of, "right") - 1
+        order = np.argsort(doc, kind="stable")
+        of, bucket, doc = of[order], bucket[order], doc[order]
+        bounds = np.searchsorted(doc, np.arange(len(offsets)))
+        for d, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            kind, shift = (np.uint32, NARROW) if s.first[d + 1] - s.first[d] <= 1 << NARROW else (np.uint64, WIDE)
+            yield np.unique(bucket[a:b].astype(kind) << kind(shift) | (of[a:b] - s.first[d]).astype(kind))
+
+
+def _apart(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets in order, sentences) of a document's pairs."""
+    kind = pairs.dtype.type
+    shift = NARROW if kind is np.uint32 else WIDE
+    return (pairs >> kind(shift)).astype(np.int64), (pairs & kind((1 << shift) - 1)).astype(np.int64)
+
+
+def train(texts: pa.Array, y: np.ndarray, epochs: int = 6, rate: float = 0.4, decay: float = 1e-5, min_docs: int = 4, seed: int = 0) -> Model:
+    # buckets of few documents say nothing about others: they are counted first, so that only the others are held
     df = np.zeros(1 << BITS, np.int64)
-    for bucket, _ in docs:
-        df[np.unique(bucket)] += 1
-    for i, (bucket, of) in enumerate(docs):
-        keep = df[bucket] >= min_docs
-        u, inverse = np.unique(bucket[keep], return_inverse=True)
-        docs[i] = u, inverse, of[keep]
+    for pairs in _pairs(texts):
+        df[np.unique(_apart(pairs)[0])] += 1
+    docs = [pairs[df[_apart(pairs)[0]] >= min_docs] for pairs in _pairs(texts)]
     balance = max(1.0, float(np.sum(y == 0)) / max(1, np.sum(y == 1)))  # both classes weigh alike
     weights, seen, bias, seen_bias = np.zeros(1 << BITS), np.full(1 << BITS, 1e-3), -4.0, 1.0
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for d in rng.permutation(len(docs)):
-            u, inverse, of = docs[d]
-            if not len(u):
+            if not len(docs[d]):
                 continue
+            bucket, of = _apart(docs[d])
+            new = np.concatenate(([True], bucket[1:] != bucket[:-1]))
+            u, inverse = bucket[new], np.cumsum(new) - 1
             w = weights[u]
             z = np.bincount(of, w[inverse]) + bias
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -98,10 +113,15 @@ def train(texts: pa.Array, y: np.ndarray, epochs: int = 6, rate: float = 0.4, de
     return Model(weights.astype(np.float32), float(bias))
 
 
+def _weights(texts: pa.Array, y: np.ndarray) -> dict:
+    model = train(texts, y)
+    return {"weights": model.weights.tobytes(), "bias": model.bias}
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", max_docs: int = 5000, max_bytes: int = 40_000_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Train on at most max_docs labelled documents with at most max_bytes of text that `learn` allows."""
-    sample = training_sample(docs, labels, label, learn, max_docs, max_bytes, id_col, text_col)
-    return train(sample["text"], np.array(sample["y"].to_pylist(), np.int64))
+    found = learn_from(training_sample(docs, labels, label, learn, max_docs, max_bytes, id_col, text_col), _weights, "weights binary, bias double")
+    return Model(np.frombuffer(found["weights"], np.float32), found["bias"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", sentence_threshold: float = 0.5) -> DataFrame:
