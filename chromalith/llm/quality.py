@@ -14,6 +14,7 @@ all scores are 0.5.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +22,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromalith.llm import _text
-from chromalith.llm._train import fold, training_sample
+from chromalith.llm._train import fold, learn_from, training_sample
 
 BITS = 18
+COUNT_BITS = 13
+MOST = (1 << COUNT_BITS) - 1
 U32 = np.uint32
 IDENTITY = np.arange(256, dtype=np.uint8)
 
 
+class Folded(NamedTuple):
+    """Vectors and softmax weights in one number for each bucket, and the difference of the biases."""
+
+    table: np.ndarray
+    bias: float
+
+
 @dataclass
 class Model:
     vectors: np.ndarray  # buckets + 1 (the document's own feature) x dim
     weights: np.ndarray  # 2 x dim
     bias: np.ndarray  # 2
 
-    def folded(self) -> tuple[np.ndarray, float]:
-        return (self.vectors @ (self.weights[1] - self.weights[0])).astype(np.float32), float(self.bias[1] - self.bias[0])
+    def folded(self) -> Folded:
+        return Folded((self.vectors @ (self.weights[1] - self.weights[0])).astype(np.float32), float(self.bias[1] - self.bias[0]))
 
 
 def buckets(data: np.ndarray, offsets: np.ndarray):
@@ -70,31 +80,40 @@ def scores_of(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
+def packed_features(texts: pa.Array) -> list[np.ndarray]:
+    """For each document its distinct buckets and how often each occurs, in 32 bits: bucket << 13 | count."""
+    out = []
+    for _, data, offsets in _text.chunks(texts):
+        found = [(bucket, np.searchsorted(at, offsets)) for at, bucket in buckets(data, offsets)]
+        for d in range(len(offsets) - 1):
+            own = np.concatenate([*(bucket[b[d] : b[d + 1]] for bucket, b in found), [1 << BITS]]).astype(np.uint32)
+            u, c = np.unique(own, return_counts=True)
+            out.append(u << U32(COUNT_BITS) | np.minimum(c, MOST).astype(np.uint32))
+    return out
+
+
 def train(texts: pa.Array, y: np.ndarray, dim: int = 12, epochs: int = 4, rate: float = 4.0, seed: int = 0) -> Model:
+    """A feature counts MOST times in a document at most."""
     rng = np.random.default_rng(seed)
     rows = (1 << BITS) + 1
     vectors = rng.uniform(-1 / dim, 1 / dim, (rows, dim)).astype(np.float32)
     weights, bias = np.zeros((2, dim)), np.zeros(2)
-    features = []
-    for _, data, offsets in _text.chunks(texts):
-        parts = [[] for _ in range(len(offsets) - 1)]
-        for at, bucket in buckets(data, offsets):
-            bounds = np.searchsorted(at, offsets)
-            for d, p in enumerate(parts):
-                p.append(bucket[bounds[d] : bounds[d + 1]])
-        for p in parts:
-            u, c = np.unique(np.concatenate([*p, [rows - 1]]).astype(np.int64), return_counts=True)
-            features.append((u.astype(np.int32), (c / c.sum()).astype(np.float32)))
+    features = packed_features(texts)
     # buckets of one document only say nothing about others
-    seen = np.bincount(np.concatenate([u for u, _ in features]), minlength=rows) if features else np.zeros(rows, int)
+    seen = np.zeros(rows, np.int64)
+    for f in features:
+        seen[f >> U32(COUNT_BITS)] += 1
     vectors[seen < 2] = 0
-    features = [(u[seen[u] >= 2], c[seen[u] >= 2]) for u, c in features]
     steps, done = max(1, epochs * len(features)), 0
     for _ in range(epochs):
         for d in rng.permutation(len(features)):
             lr = rate * (1 - done / steps)
             done += 1
-            u, share = features[d]
+            u = features[d] >> U32(COUNT_BITS)
+            share = (features[d] & U32(MOST)).astype(np.float32)
+            share /= share.sum()
+            known = seen[u] >= 2
+            u, share = u[known], share[known]
             mean = share @ vectors[u]
             z = weights @ mean + bias
             p = np.exp(z - z.max())
@@ -107,16 +126,24 @@ def train(texts: pa.Array, y: np.ndarray, dim: int = 12, epochs: int = 4, rate:
     return Model(vectors, weights, bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", max_docs: int = 5000, max_bytes: int = 40_000_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def _fold_in(texts: pa.Array, y: np.ndarray) -> dict:
+    table, bias = train(texts, y).folded()
+    return {"scores": table.tobytes(), "bias": bias}
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", max_docs: int = 5000, max_bytes: int = 40_000_000, id_col: str = "doc_id", text_col: str = "text") -> Folded:
     """Train on at most max_docs labelled documents with at most max_bytes of text that `learn` allows."""
-    sample = training_sample(docs, labels, label, learn, max_docs, max_bytes, id_col, text_col)
-    return train(sample["text"], np.array(sample["y"].to_pylist(), np.int64))
+    found = learn_from(training_sample(docs, labels, label, learn, max_docs, max_bytes, id_col, text_col), _fold_in, "scores binary, bias double")
+    return Folded(np.frombuffer(found["scores"], np.float32), found["bias"])
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all by default) with score, the likelihood of class 1. The model is a table of 2**18 numbers."""
-    table, bias = model.folded()
+def score(docs: DataFrame, model: Folded, text_col: str = "text", keep: list[str] | None = None, into: str = "score") -> DataFrame:
+    """The columns `keep` (all by default) and `into`, the likelihood of class 1; `into` must be none of them. The model
+    is a table of 2**18 numbers."""
+    table, bias = model
     names = docs.columns if keep is None else keep
+    if into in names:
+        raise ValueError(f"{into} is a column of the table; name another with `into`")
     schema = docs.select(*[F.col(f"`{n}`") for n in names]).schema
 
     def run(batches):
@@ -126,7 +153,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
 
     kinds = ", ".join(f"`_{i}` {f.dataType.simpleString()}" for i, f in enumerate(schema))
     out = docs.select(F.col(f"`{text_col}`").alias("_t"), *[F.col(f"`{n}`").alias(f"_{i}") for i, n in enumerate(names)]).mapInArrow(run, f"{kinds}, score double")
-    return out.select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)], "score")
+    return out.select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)], F.col("score").alias(into))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, folds: int = 5, out_fold: int = 0) -> DataFrame:
