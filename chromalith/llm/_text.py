@@ -94,7 +94,7 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.arange(n)
     whole = at + k <= doc_end
     full = np.zeros(n, U)
-    for i in range(k):
+    for i in range(min(k, n)):
         full[: n - i] += mix(h[i:] + odd[i]) * odd[i]
     short = np.flatnonzero((counts > 0) & (counts < k))
     keep = whole.copy()

@@ -98,7 +98,7 @@ def set_rows(docs: DataFrame, rarity: np.ndarray, k: int, percent: int, id_col:
                 common = rarity[(words.hashes >> U(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint32)
                 # a shingle is as rare as its rarest word at least; then the product of its words' counts decides
                 low, total = common.copy(), common.copy()
-                for i in range(1, k):
+                for i in range(1, min(k, len(common))):
                     low[: len(common) - i] = np.minimum(low[: len(common) - i], common[i:])
                     total[: len(common) - i] += common[i:]
                 score = low * np.uint32(4) + np.minimum(total // np.uint32(64 * k), np.uint32(3))

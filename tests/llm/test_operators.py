@@ -7,7 +7,6 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,10 +52,10 @@ def test_bpe_equals_the_library(spark):
         assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, e)).encode()).hexdigest() and got[i].decoded_sha256 == hashlib.sha256(d.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("files_per_batch", [1, 10_000])
-def test_exact_dedup(spark, files_per_batch):
+@pytest.mark.parametrize("batch_bytes", [1, 1 << 28])
+def test_exact_dedup(spark, batch_bytes):
     texts = [*EDGE, "a ", "  a", "b", " b", "sametexthere today", *["hot text"] * 40]
-    out = exact_dedup.exact_dedup(corpus(spark, texts).repartition(3), files_per_batch=files_per_batch).collect()
+    out = exact_dedup.exact_dedup(corpus(spark, texts).repartition(3), batch_bytes=batch_bytes).collect()
     groups = defaultdict(list)
     for i, t in enumerate(texts):
         groups[BLANK.sub("", t or "")].append(i)
@@ -84,6 +83,47 @@ def test_exact_dedup_ties_and_empty(spark):
     assert exact_dedup.exact_dedup(corpus(spark, EDGE).limit(0)).count() == 0
 
 
+def test_exact_dedup_state_is_small_on_disk(spark, monkeypatch):
+    """Every state partition used to allocate about 4 MB ahead; after the query only what it returns and needs is left."""
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    left = []
+    delete = exact_dedup.delete
+    size = lambda path: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs)
+    monkeypatch.setattr(exact_dedup, "delete", lambda s, path: left.append(size(path.removeprefix("file://"))) or delete(s, path))
+    try:
+        assert exact_dedup.exact_dedup(corpus(spark, [f"text {i % 500}" for i in range(2000)])).filter("kept").count() == 500
+        assert len(left) == 2 and sum(left) < 5_000_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", None) is None
+
+
+@pytest.mark.parametrize("clash", ["_file", "_row", "file", "row", "doc", "key", "digest", "id", "text_sha256"])
+def test_clashing_names_stay(spark, clash):
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, "ab", "y"), (3, "c", None)], f"doc_id long, text string, `{clash}` string")
+    assert sorted(map(tuple, exact_dedup.keep_first(docs).collect())) == [(1, "a b", "x"), (3, "c", None)]
+    if clash in ("_file", "doc", "key", "id"):
+        both = mixing.mixed_documents(docs.withColumn("source", F.lit("s")).withColumn("size", F.lit(0)))
+        assert both.columns == ["doc_id", "text", clash, "source", "size"] and both.count() == 3
+        assert sorted(map(tuple, line_dedup.without_lines(docs).collect())) == [(1, "a b", "x"), (2, "ab", "y"), (3, "c", None)]
+        assert len(ngram_join.keep_one(docs).collect()) == 3
+
+
+def test_training_sample_is_bounded_and_labels_agree(spark):
+    """Whole texts in hash order within both bounds; identifiers labelled both ways aren't learnt from, in any layout."""
+    from chromalith.llm._train import training_sample
+
+    docs = corpus(spark, ["x" * (10 + i) for i in range(60)] + ["y" * 900])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(61)] + [(5, 0), (6, 0), (6, 0), (7, None)], "doc_id long, toxic int")
+    every = training_sample(docs, labels, "toxic", F.lit(True), 1000, 10_000, "doc_id", "text").collect()
+    assert {r.text for r in every} == {"x" * (10 + i) for i in range(60) if i != 5} | {"y" * 900}
+    for n, size in ((20, 10_000), (1000, 700), (1000, 300)):
+        took = [sorted(map(tuple, training_sample(d, x, "toxic", F.lit(True), n, size, "doc_id", "text").collect())) for d, x in ((docs, labels), (docs.repartition(5), labels.orderBy(F.desc("toxic"))))]
+        assert took[0] == took[1] and 0 < len(took[0]) <= n and sum(len(t) for _, t, _ in took[0]) <= size
+        assert all(len(t) <= size / 10 for _, t, _ in took[0])
+    assert training_sample(docs, labels.limit(0), "toxic", F.lit(True), 5, 500, "doc_id", "text").count() == 0
+
+
 def test_quality_held_out(spark):
     r = random.Random(1)
     texts, y = [], []
@@ -407,20 +447,59 @@ def test_mixing(spark):
         got[x.doc_id] += len(BLANK.split((x.text or "").strip(" \t")))
     assert got == Counter({x.doc_id: x.taken for x in out if x.taken})
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_mixing_repeated_rows_hit_the_target(spark, tmp_path):
+    """Equal rows at the cut take the whole size one after the other, one of them a part, the rest nothing."""
+    rows = [(7, "w " * 10, "a", "x")] * 50 + [(7, "w " * 4, "a", "x")] * 9 + [(None, "v " * 6, "b", "x")] * 120 + [(3, None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, file string")
+    docs.repartition(5).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    out = mixing.mix(docs).collect()
+    assert len(out) == len(rows) and sorted(out, key=str) == sorted(mixing.mix(docs).collect(), key=str)
+    for target in {x.target for x in out}:
+        mine = [x for x in out if x.target == target]
+        assert abs(sum(x.taken for x in mine) - target) <= 0.5 and all(0 <= x.taken <= 3 * x.size for x in mine)
+    assert len({x.target for x in out}) == 3 and sum(x.taken for x in out) == 536 + 720
+    mixed = mixing.mixed_documents(docs).collect()
+    assert sum(len((x.text or "").split()) for x in mixed) == 536 + 720
+
+
+def test_mixing_empty_texts(spark):
     assert [x.taken for x in mixing.mix(corpus(spark, [None, ""])).collect()] == [0, 0]
 
 
+def brute_sections(spans, bounds):
+    out = [0] * (len(bounds) - 1)
+    for a, b in spans:
+        out[max(range(len(out)), key=lambda k: (min(b, bounds[k + 1]) - max(a, bounds[k]), -k))] += 1
+    return out
+
+
 @needs_vocab
-def test_token_counts(spark):
-    texts = [*EDGE, "a\n\nb c\n", "\n\n\n", "é\n한국\n" * 3]
+def test_token_counts(spark, monkeypatch):
+    """Against the library's offsets, token by token, for lines and for fields."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BYTE)
+    t.encode_special_tokens = True
+    r = random.Random(8)
+    bits = ["a", "Zé", " ", "  ", "\n", "\n\n", "\r\n", "\t", "'s", "'LL", "9", "²", "½", "한국", "😀", "\x00", "\x1c", "\x85", "\xa0", "\u3000", "µ", "the", "<|endoftext|>", "!"]
+    texts = [*EDGE, "a\n\nb c\n", "\n\n\n", "é\n한국\n" * 3, *("".join(r.choice(bits) for _ in range(r.randrange(40))) for _ in range(300))]
+    monkeypatch.setattr(token_counts, "MEMO_CHARS", 40)
     out = {x.doc_id: x for x in token_counts.count_tokens(corpus(spark, texts), BYTE).collect()}
-    t = token_counts.load(BYTE)
     for i, x in enumerate(texts):
         e = t.encode(x or "", add_special_tokens=False)
-        starts = np.concatenate(([0], np.cumsum([len(s) + 1 for s in (x or "").split("\n")])))[:-1]
-        assert out[i].n_tokens == len(e.ids) == sum(out[i].section_tokens) and out[i].n_sections == len(starts)
-    f = token_counts.count_tokens(corpus(spark, ["one two", None]), BYTE, fields=["lang", "text", "source"]).collect()
-    assert all(x.n_sections == 3 and sum(x.section_tokens) == x.n_tokens for x in f)
+        bounds = token_counts.line_bounds(x or "").tolist()
+        assert out[i].n_tokens == len(e.ids) and out[i].section_tokens == brute_sections(e.offsets, bounds) and out[i].n_sections == len(bounds) - 1
+    some = texts[-200:]
+    rows = [(i, some[i], None if i % 5 == 0 else some[i - 1], some[i - 2]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, a string, b string, c string")
+    for x in token_counts.count_tokens(docs, BYTE, fields=["a", "b", "c"]).collect():
+        parts = [v or "" for v in rows[x.doc_id][1:]]
+        e = t.encode("".join(parts), add_special_tokens=False)
+        bounds = [0, *np.cumsum([len(v) for v in parts]).tolist()]
+        assert x.n_tokens == len(e.ids) and x.section_tokens == brute_sections(e.offsets, bounds)
     # a token of four characters, three of them in the second section; a tie goes to the first
     assert token_counts.attribute(np.array([[0, 4], [4, 6]]), np.array([0, 1, 5, 9])).tolist() == [0, 2, 0]
-    assert pa.array([1]) is not None
+    assert token_counts.count_tokens(docs.limit(0), BYTE, fields=["a"]).count() == 0
