@@ -18,6 +18,7 @@ import unicodedata
 from collections.abc import Iterable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 LATIN_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
 BEYOND_LATIN = re.compile(f"[^\\x00-\\x1b!-~ {LATIN_LETTERS}]").search
 CACHE_WORDS = 250_000
+LONGEST_KEPT = 64
 
 
 def byte_symbols() -> list[str]:
@@ -84,7 +86,9 @@ class _Memo(dict):
         self.make = make
 
     def __missing__(self, word):
-        self[word] = found = self.make(word)
+        found = self.make(word)
+        if len(word) <= LONGEST_KEPT:  # so that the number of words bounds the bytes
+            self[word] = found
         return found
 
 
@@ -138,6 +142,11 @@ class WordBpe:
             self.old = dict(self.memo)
             self.memo.clear()
 
+    def forget(self) -> None:
+        """Empty the memo: workers live on after a task, and other operators need their memory."""
+        self.old = {}
+        self.memo.clear()
+
     def words(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
         # character by character, as a final sigma has no rule of its own here
@@ -164,11 +173,11 @@ class WordBpe:
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join([self.strings[i] for i in ids])
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of tokens, SHA-256 of the ids joined by spaces, SHA-256 of the decoded text."""
+    def digest(self, text: str | None) -> tuple[int, str, str, str, str]:
+        """Number of tokens, SHA-256 of the ids joined by spaces, SHA-256 of the decoded text, and both of these."""
         coded, shown = map(" ".join, self.pieces(text or ""))
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        return coded.count(" ") + bool(coded), sha(coded), sha(shown)
+        return coded.count(" ") + bool(coded), sha(coded), sha(shown), coded, shown
 
 
 @lru_cache(maxsize=2)
@@ -176,23 +185,25 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode_table(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
-    """id_col, n_tokens, ids_sha256, decoded_sha256 for every row; with ids=True also the ids and the decoded text."""
+def encode_table(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, decoded: bool = False) -> DataFrame:
+    """id_col, n_tokens, ids_sha256, decoded_sha256 for every row; with ids or decoded also the ids or the decoded text."""
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32())} if ids else {}) | ({"decoded": pa.string()} if decoded else {})
 
     def run(batches):
         bpe = load(vocab_path)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            rows = [bpe.digest(t.as_py()) for t in texts]
-            cols = [keys, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.int64(), pa.string(), pa.string()), strict=True))]
-            names = ["k", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if ids:
-                coded = [bpe.encode(t.as_py()) for t in texts]
-                cols += [pa.array(coded, pa.list_(pa.int32())), pa.array([bpe.decode(c) for c in coded], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+            cols = {k: [] for k in kinds}
+            for t in batch.column(1):
+                n, coded_sha, shown_sha, coded, shown = bpe.digest(t.as_py())
+                found = {"n_tokens": n, "ids_sha256": coded_sha, "decoded_sha256": shown_sha, "decoded": shown}
+                if ids:
+                    found["ids"] = np.fromstring(coded, np.int32, sep=" ")
+                for k, c in cols.items():
+                    c.append(found[k])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, kinds[k]) for k, c in cols.items())], ["k", *kinds])
+        bpe.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"k {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
+    schema = f"k {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
     out = docs.selectExpr(f"`{id_col}` as k", f"`{text_col}` as t").mapInArrow(run, schema)
     return out.withColumnRenamed("k", id_col)
