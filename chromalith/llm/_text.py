@@ -40,6 +40,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, b, U)
             p[0] = 1
             out.append(np.cumprod(p, dtype=U))
+        if size > 1 << 22:  # of one very long text: not kept
+            return out[0], out[1]
         _powers.clear()
         _powers[size] = (out[0], out[1])
     return _powers[size]

@@ -32,27 +32,33 @@ from array import array
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chromalith.llm import _text
-from chromalith.llm._store import bound_batches, stored
+from chromalith.llm._store import bound_batches, release, stored
 from chromalith.llm.components import connected_components
 from chromalith.llm.exact_dedup import located
 
 SKETCH_BITS = 22
 LIST_PAIRS = 64
-BLOCK_POSTINGS = 1_000_000
+BLOCK_POSTINGS = 500_000
 MANY = 2000
 U = np.uint64
 
 
 def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
-    """log2 of the number of words in each of 2**22 hash buckets, in eighths: a table of 4 MB for any corpus."""
+    """log2 of the number of words in each of 2**22 hash buckets, in eighths: a table of 4 MB for any corpus.
+
+    Each task counts into 64 parts of the table; parts are summed as they stream by, first over groups of tasks.
+    """
     parts, width = 64, (1 << SKETCH_BITS) // 64
+    names = ["part", "counts"]
+
+    def rows(totals):
+        return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([zlib.compress(t.astype(np.int64).tobytes(), 1) for t in totals.values()], pa.binary())], names)
 
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int32)
@@ -60,19 +66,24 @@ def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
             for _, data, offsets in _text.chunks(batch.column(0)):
                 at, n = np.unique(_text.Words(data, offsets).hashes >> U(64 - SKETCH_BITS), return_counts=True)
                 total[at.astype(np.int64)] += n.astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([zlib.compress(total[i * width : (i + 1) * width].tobytes(), 1) for i in range(parts)], pa.binary())], ["part", "counts"])
+        yield rows({i: total[i * width : (i + 1) * width] for i in range(parts)})
 
-    def add(key, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width, np.int64)
-        for x in rows["counts"]:
-            total += np.frombuffer(zlib.decompress(x), np.int32)
-        level = np.minimum(255, np.round(8 * np.log2(total + 1))).astype(np.uint8)
-        return pd.DataFrame({"part": [key[0]], "level": [level.tobytes()]})
-
-    levels = docs.select(text_col).mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, level binary").collect()
+    def add(batches):
+        totals = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = totals.setdefault(part, np.zeros(width, np.int64))
+                own += np.frombuffer(zlib.decompress(counts.as_py()), np.int64)
+        if totals:
+            yield rows(totals)
+
+    kind = "part int, counts binary"
+    some = docs.select(F.col(f"`{text_col}`")).mapInArrow(count, kind).select("part", "counts", (F.spark_partition_id() % 16).alias("group"))
+    sums = some.repartition("part", "group").select("part", "counts").mapInArrow(add, kind).repartition("part").mapInArrow(add, kind)
     table = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for part, level in levels:
-        table[part * width : (part + 1) * width] = np.frombuffer(level, np.uint8)
+    for part, counts in sums.collect():  # 64 rows
+        own = np.frombuffer(zlib.decompress(counts), np.int64)
+        table[part * width : (part + 1) * width] = np.minimum(255, np.round(8 * np.log2(own + 1)))
     return table
 
 
@@ -185,7 +196,7 @@ def postings(reps: DataFrame) -> DataFrame:
             sizes += batch.column(1).to_pylist()
             pre += [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             held += len(flat)
-            if held > 2_000_000:  # the memory of a task, whatever its partition
+            if held > 500_000:  # the memory of a task, whatever its partition
                 yield from flush()
                 ids, sizes, pre, held = [], [], [], 0
         if held:
@@ -194,9 +205,10 @@ def postings(reps: DataFrame) -> DataFrame:
     return reps.select("id", "n", "prefix").mapInArrow(run, POSTING)
 
 
-def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) whose components hold every link. Lists are bounded: a map task gives each key LIST_PAIRS rows at most."""
-    rows = stored(postings(reps), "join-postings")
+def candidate_edges(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) whose components hold every link, and the stored lists that they are read from. Lists are bounded: a map
+    task gives each key LIST_PAIRS rows at most."""
+    rows = postings
     near = rows.filter("key is not null").select("key", F.struct("n", "id", "last").alias("m"))
     lists = stored(near.groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("ms")).filter("size(ms) > 1"), "join-lists")
     star = (F.size("ms") > LIST_PAIRS) | F.exists("ms", lambda m: m["last"] < 0)
@@ -212,7 +224,7 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
     bound = f"shared + case when lu < lv then {rest('nu')} when lu > lv then {rest('nv')} else least({rest('nu')}, {rest('nv')}) end"
     pair = pair.filter(f"{bound} >= ({percent} * (nu + nv) + {99 + percent}) div {100 + percent}").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     local = rows.filter("key is null").select(F.col("id").alias("u"), F.col("other").alias("v"))
-    return stars.unionByName(pair).unionByName(local).filter("u < v").distinct()
+    return stars.unionByName(pair).unionByName(local).filter("u < v").distinct(), lists
 
 
 def divide_skip(lists: list, least: int, skip=None, found=None) -> dict[int, int]:
@@ -377,8 +389,12 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     meta = sets.select("id", "n", "sig_a", "sig_b")
     classes = stored(meta.filter("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min("id").alias("rep")), "join-classes")
     reps = sets.join(classes.select(F.col("rep").alias("id"), "n", "sig_a", "sig_b"), ["id", "n", "sig_a", "sig_b"], "left_semi").dropDuplicates(["id"])
-    parts = stored(connected_components(candidate_edges(reps, percent)), "join-parts")
+    posts = stored(postings(reps), "join-postings")
+    edges, lists = candidate_edges(posts, percent)
+    parts = stored(connected_components(edges), "join-parts")
+    release(posts, lists)
     blocks = stored(blocks_of(parts, meta.select("id", "n").dropDuplicates(["id"])), "join-blocks")
+    release(parts)
     links = verified_edges(docs, blocks, k, percent, id_col, text_col)
     comps = connected_components(links)
     joined = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
