@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 from chromalith.llm import bpe, chat, exact_dedup, line_dedup, mixing, ngram_join, quality, spotsigs, token_counts, toxicity
 from chromalith.llm._store import bound_batches
 
-BYTE_VOCAB = "/opt/tokenizers/byte_bpe_50k.json"
-WORD_VOCAB = "/opt/tokenizers/word_bpe_49k.json"
+
+
+def vocab(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+BYTE_VOCAB, WORD_VOCAB = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +26,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
-    return bpe.encode_table(documents(spark, sf_dir), WORD_VOCAB)
+    return bpe.encode_table(documents(spark, sf_dir), vocab(WORD_VOCAB))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +67,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
-    return token_counts.count_tokens(documents(spark, sf_dir), BYTE_VOCAB)
+    return token_counts.count_tokens(documents(spark, sf_dir), vocab(BYTE_VOCAB))
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_quality, op4_line_dedup, op5_ngram_join, op6_spotsigs, op7_toxicity, op8_chat_format, op9_mix_sources, op10_token_counts)}

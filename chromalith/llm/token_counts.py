@@ -59,6 +59,11 @@ class _Memo(dict):
             self.clear()
             self.held = 0
 
+    def forget(self) -> None:
+        """Workers live on after a task, and other operators need their memory."""
+        self.old, self.held = {}, 0
+        self.clear()
+
 
 class ByteBpe:
     """Byte-level BPE as described by a tokenizer JSON file: tokens of words, and the bytes of each token."""
@@ -162,6 +167,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, fields: list[str] | None = No
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sections]))).astype(np.int32)
             flat = np.concatenate(sections) if sections else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))], ["k", "n_tokens", "n_sections", "section_tokens"])
+        bpe.memo.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("k"), *[F.col(f"`{c}`").cast("string").alias(f"f{i}") for i, c in enumerate(names)])
