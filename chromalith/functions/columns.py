@@ -53,7 +53,17 @@ def edge_of_key(key: Column, n: Column) -> tuple[Column, Column]:
     return F.floor(key / n).cast("int"), F.pmod(key, n.cast("long")).cast("int")
 
 
-def chrom_presets(name: str) -> list[str]:
-    """Autosomes of an assembly, with the chr prefix."""
+def chrom_presets(name: str, prefix: bool = True) -> list[str]:
+    """Autosomes of an assembly, with or without the chr prefix."""
     last = {"hg19": 22, "hg38": 22, "mm9": 19, "mm10": 19}[name]
-    return [f"chr{k}" for k in range(1, last + 1)]
+    return [f"{'chr' * prefix}{k}" for k in range(1, last + 1)]
+
+
+def parse_chroms(text: str, prefix: bool = True) -> list[str]:
+    """A preset's name, or chromosomes parted by commas or blanks; prefix: chr is put before names without it."""
+    if text in ("hg19", "hg38", "mm9", "mm10"):
+        return chrom_presets(text, prefix)
+    names = [n for n in text.replace(",", " ").split() if n]
+    if not names:
+        raise ValueError("no chromosome is named")
+    return list(dict.fromkeys(n if not prefix or n.startswith("chr") else f"chr{n}" for n in names))

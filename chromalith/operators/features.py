@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chromalith.functions.columns import with_chr
+
 PROFILE = ("deg", "nb_mean", "nb_min", "nb_max", "nb_std")
 
 
@@ -54,6 +56,17 @@ def dna_bins(sequences: DataFrame, bin_size: int) -> DataFrame:
     return rows.select("chrom", (F.col("k") + 1).alias("bin"), F.substring(F.col("sequence"), (start + 1).cast("int"), F.lit(bin_size)).alias("sequence"), start.alias("start"), F.least(start + bin_size, F.col("n")).alias("end"))
 
 
+def sequences_by_chrom(records: DataFrame, include: list[str] | None = None, exclude: tuple[str, ...] = ("chrX", "chrY", "chrM")) -> DataFrame:
+    """chrom (chr prefix) and the sequences of its records (chrom, position, sequence) in the order of position, chromosomes
+    in the order of their names."""
+    named = records.select(with_chr(F.col("chrom")).alias("chrom"), "position", "sequence")
+    plain = lambda names: [n if n.startswith("chr") else f"chr{n}" for n in names]
+    named = named.filter(~F.col("chrom").isin(*plain(exclude))) if exclude else named
+    named = named.filter(F.col("chrom").isin(*plain(include))) if include else named
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("position", "sequence"))), lambda s: s["sequence"])
+    return named.groupBy("chrom").agg(listed.alias("sequences")).orderBy("chrom")
+
+
 def gc_content(bins: DataFrame) -> DataFrame:
     """Share of G and C among A, C, G, T; 0 without any."""
     letters = lambda s: F.length(F.col("sequence")) - F.length(F.translate("sequence", s, ""))

@@ -62,8 +62,19 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(with_chr(head).alias("chrom"), F.upper(body).alias("sequence"))
 
 
+def pick_chroms(sequences: DataFrame, names: list[str]) -> DataFrame:
+    """The sequences (chrom with prefix) of the named chromosomes, `1` and `chr1` naming the same; an unknown one is an error."""
+    asked = sequences.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "asked string").select("asked", with_chr(F.col("asked")).alias("chrom"))
+    found = asked.join(sequences, "chrom", "left")
+    lost = F.raise_error(F.concat(F.lit("no sequence of "), F.col("asked")))
+    return found.select(F.when(F.col("sequence").isNull(), lost).otherwise(F.col("chrom")).alias("chrom"), "sequence")
+
+
 def dna_bin_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema(schemas.DNA_BINS).json(path)
+    """Bin records: files of one JSON array each, in one line or many, or of one record a line."""
+    first = spark.read.text(path).filter(F.trim("value") != "").select(F.substring(F.ltrim("value"), 1, 1)).first()
+    records = spark.read.option("mode", "FAILFAST").schema(schemas.DNA_BINS)
+    return records.option("multiLine", first is not None and first[0] == "[").json(path)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -71,6 +82,21 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("file")).filter("file != '' and not startswith(file, '#')")
 
 
+def graph_files(spark: SparkSession, present: DataFrame, names: DataFrame | None = None, manifest_path: str | None = None) -> DataFrame:
+    """The files to use, sorted: those of a list or of a manifest (not both), else the graph files that are present. One that
+    isn't present, or none at all, is an error."""
+    if names is not None and manifest_path is not None:
+        raise ValueError("a list of files and a manifest exclude each other")
+    wanted = names if names is not None else manifest(spark, manifest_path) if manifest_path else present.filter(F.endswith("file", F.lit(".pt")))
+    wanted = wanted.select("file")
+    if wanted.isEmpty():
+        raise ValueError("no graph files are found or selected")
+    lost = [r[0] for r in missing_files(wanted, present).orderBy("file").limit(5).collect()]
+    if lost:
+        raise FileNotFoundError(f"missing files, for example {lost}")
+    return wanted.orderBy("file")
+
+
 def missing_files(names: DataFrame, present: DataFrame) -> DataFrame:
     return names.join(present, "file", "left_anti")
 
@@ -97,12 +123,30 @@ def reference_bedpe(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[(F.col("p")[i] if n.startswith("chrom") else F.col("p")[i].cast("long")).alias(n) for i, n in enumerate(names)])
 
 
+def _headed(spark: SparkSession, path: str, need: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(rows with fields p, header h and file, headers) of text files parted by blanks or commas; the line that has all names
+    of `need` is a file's header, and a file without one is an error."""
+    rows = spark.read.text(path).filter(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+|,").alias("p"), F.col(PATH).alias("file"))
+    head = F.forall(F.array(*[F.lit(n) for n in need]), lambda n: F.array_contains("p", n))
+    heads = rows.filter(head).groupBy("file").agg(F.first("p").alias("h"))
+    lost = F.raise_error(F.concat(F.lit(f"columns {', '.join(need)} are missing in "), F.col("file")))
+    rows = rows.filter(~head).join(heads, "file", "left").select("file", "p", F.when(F.col("h").isNull(), lost).otherwise(F.col("h")).alias("h"))
+    return rows, heads
+
+
+def _field(name: str) -> Column:
+    return F.get("p", (F.array_position("h", name) - 1).cast("int"))
+
+
 def predicted_loops(spark: SparkSession, path: str, ignore: tuple[str, ...] = ("f1", "score", "metric")) -> DataFrame:
-    """Predictions with a header, from files whose names have none of the ignored words; cell_id is the file's stem."""
-    rows = spark.read.option("header", True).option("sep", ",").csv(path).withColumn("_name", F.regexp_extract(F.col(PATH), r"([^/]+)$", 1))
+    """Predictions with a header, parted by blanks or commas, from files whose names have none of the ignored words; cell_id is
+    the file's stem."""
+    names = ("chrom1", "x1", "x2", "chrom2", "y1", "y2")
+    rows, _ = _headed(spark, path, names)
+    rows = rows.withColumn("name", F.regexp_extract("file", r"([^/]+)$", 1))
     for word in ignore:
-        rows = rows.filter(~F.lower("_name").contains(word))
-    return rows.select(F.regexp_replace("_name", r"\.[^.]*$", "").alias("cell_id"), "chrom1", F.col("x1").cast("long").alias("x1"), F.col("x2").cast("long").alias("x2"), "chrom2", F.col("y1").cast("long").alias("y1"), F.col("y2").cast("long").alias("y2"))
+        rows = rows.filter(~F.lower("name").contains(word))
+    return rows.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("cell_id"), *[(_field(n) if n.startswith("chrom") else _field(n).cast("long")).alias(n) for n in names])
 
 
 def bed(spark: SparkSession, path: str) -> DataFrame:
@@ -111,10 +155,44 @@ def bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gc_table(spark: SparkSession, path: str) -> DataFrame:
-    """chrom, start, end, gc from Parquet or text; without a gc column the last one is taken."""
-    df = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.csv(path, header=True, inferSchema=True, sep="," if path.endswith(".csv") else "\t")
-    gc = "gc" if "gc" in df.columns else df.columns[-1]
-    return df.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col(gc).cast("double").alias("gc"))
+    """chrom, start, end, gc in that order, from Parquet or from text parted by blanks or commas; without a gc column the last one
+    is taken."""
+    need = ("chrom", "start", "end")
+    if path.endswith(".parquet"):
+        df = spark.read.parquet(path)
+        if lost := set(need) - set(df.columns):
+            raise ValueError(f"GC table without {sorted(lost)}")
+        df = df.select("chrom", "start", "end", F.col("gc" if "gc" in df.columns else df.columns[-1]).alias("gc"))
+    else:
+        rows, _ = _headed(spark, path, need)
+        df = rows.select(*[_field(n).alias(n) for n in need], F.when(F.array_contains("h", "gc"), _field("gc")).otherwise(F.get("p", F.size("h") - 1)).alias("gc"))
+    return df.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("gc").cast("double").alias("gc")).orderBy("chrom", "start", "end")
+
+
+def target_embeddings(spark: SparkSession, names_path: str, array_path: str) -> DataFrame:
+    """cell_id, position and emb of a file of cell names and an .npy array with a row for each. Names are a line each, blank
+    lines and those that begin with cell_name aside; in .csv and .tsv files they are the column cell_name, else the first,
+    below a header. Another number of names than of rows is an error."""
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    kind = names_path.rsplit(".", 1)[-1]
+    if kind in ("csv", "tsv"):
+        mark = "," if kind == "csv" else "\t"
+        at = F.greatest(F.array_position(F.split(F.get(lines, F.lit(0)), mark), "cell_name").cast("int"), F.lit(1))
+        cells = F.transform(F.slice(lines, 2, F.size(lines)), lambda x: F.split_part(x, F.lit(mark), at))
+    else:
+        cells = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: ~F.lower(x).startswith("cell_name"))
+    names = spark.read.text(names_path, wholetext=True).select(F.posexplode(cells).alias("position", "cell_id"))
+
+    def run(batches):
+        for pdf in batches:
+            for content in pdf["content"]:
+                a = np.load(io.BytesIO(content), allow_pickle=False).astype("float32")
+                yield pd.DataFrame({"position": np.arange(len(a), dtype="int32"), "emb": list(a)})
+
+    rows = spark.read.format("binaryFile").load(array_path).select("content").mapInPandas(run, "position int, emb array<float>")
+    differ = F.raise_error(F.lit("the numbers of names and of embeddings differ"))
+    both = names.join(rows, "position", "full_outer")
+    return both.select(F.when(F.col("cell_id").isNull() | F.col("emb").isNull(), differ).otherwise(F.col("cell_id")).alias("cell_id"), "position", "emb")
 
 
 def matrices_npz(spark: SparkSession, path: str) -> DataFrame:
@@ -169,13 +247,12 @@ def graph_keys(name: Column, dots: bool = False, strict: bool = True) -> tuple[C
 
 
 def z_keys(name: Column) -> tuple[Column, Column]:
-    """(cell, chrom) of `<cell>.chr<k>.z.npz` or `<cell>_chr<k>.npz`; dots and blanks of the cell become underscores."""
-    stem = F.regexp_replace(name, r"(\.z)?\.npz$", "")
-    pattern = r"^(.*)[._](chr[^.]*)$"
-    other = r"^(.*)\.([^.]*)$"
-    cell = F.when(stem.rlike(pattern), F.regexp_extract(stem, pattern, 1)).otherwise(F.regexp_extract(stem, other, 1))
-    chrom = F.when(stem.rlike(pattern), F.regexp_extract(stem, pattern, 2)).otherwise(F.regexp_extract(stem, other, 2))
-    return cell_name(cell), chrom
+    """(cell, chrom) of `<cell>.chr<k>.z.npz` or `<cell>_chr<k>.npz`; dots and blanks of the cell become underscores, and another
+    name is an error."""
+    pattern = r"^(.+)[._](chr[^.]+)(?:\.z)?\.npz$"
+    lost = F.raise_error(F.concat(F.lit("no cell and chromosome in "), name))
+    part = lambda k: F.when(name.rlike(pattern), F.regexp_extract(name, pattern, k)).otherwise(lost)
+    return cell_name(part(1)), part(2)
 
 
 def cells_in_both(a: DataFrame, b: DataFrame) -> DataFrame:

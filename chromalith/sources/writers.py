@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,8 +39,24 @@ def write_loops(loops: DataFrame, path: str) -> None:
     write_by_cell(loops, path)
 
 
-def write_dna_bins(bins: DataFrame, path: str) -> None:
-    bins.write.mode("overwrite").partitionBy("chrom").json(path)
+def write_dna_bins(bins: DataFrame, path: str, array: bool = False) -> None:
+    """Bin records, one a line; array: one JSON array a chromosome, whose length then bounds a row."""
+    if not array:
+        bins.write.mode("overwrite").json(path)
+        return
+    names = sorted(bins.columns, key=lambda c: c != "bin")
+    whole = bins.groupBy("chrom").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("records"))
+    whole.select("chrom", F.to_json("records").alias("value")).write.mode("overwrite").partitionBy("chrom").text(path)
+
+
+def write_table(df: DataFrame, path: str, order: tuple[str, ...]) -> None:
+    """A tab-separated table with a header, in order: metadata, metrics, logs of cells."""
+    df.orderBy(*order).write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def write_config(spark: SparkSession, path: str, **values) -> None:
+    """Settings as one JSON object."""
+    spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_manifest(names: DataFrame, path: str) -> None:

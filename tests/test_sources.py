@@ -18,7 +18,7 @@ def test_text_readers(spark, tmp_path):
     with pytest.raises(Exception, match="six columns"):
         readers.reference_bedpe(spark, str(tmp_path / "bad.bedpe")).collect()
     (tmp_path / "l.tsv").write_text("cell_nm\tcell_type\na\tB\nb\tA\na\tC\n")
-    assert sorted(tuple(r) for r in readers.labels(spark, str(tmp_path / "l.tsv"), "cell_nm").collect()) == [("a", "C", 1), ("b", "A", 0)]
+    assert sorted(tuple(r) for r in readers.labels(spark, str(tmp_path / "l.tsv"), "cell_nm").collect()) == [("a", "C", 2), ("b", "A", 0)]
     (tmp_path / "fends").write_text("f1\t1\t10\nf2\tX\t20\nf1\t2\t30\n")
     assert sorted(tuple(r) for r in readers.fends(spark, str(tmp_path / "fends")).collect()) == [("f1", "chr2", 30), ("f2", "chrX", 20)]
     cell = tmp_path / "base" / "cell1"
@@ -74,3 +74,86 @@ def test_streams(spark, tmp_path):
     assert sorted(tuple(r) for r in symmetric(spark.table("m")).collect()) == want
     ev = spark.createDataFrame([("a", 1.0, i * 600) for i in range(12)], "event_type string, value double, s long").select(F.timestamp_seconds("s").alias("ts"), "event_type", "value")
     assert sorted(r.n for r in windowed_votes(ev).collect()) == [6, 6]
+
+
+def test_bin_records_come_back(spark, tmp_path):
+    rows = [("chr1", i, "ACGT", 4 * i, 4 * i + 4) for i in (1, 2, 3)] + [("chr2", 1, "AA", 0, 2)]
+    bins = spark.createDataFrame(rows, "chrom string, bin int, sequence string, start long, end long")
+    for array in (False, True):
+        writers.write_dna_bins(bins.repartition(3), str(tmp_path / f"b{array}"), array)
+        back = readers.dna_bin_json(spark, str(tmp_path / f"b{array}")).select(bins.columns)
+        assert sorted(map(tuple, back.collect())) == sorted(rows)
+    (tmp_path / "pretty.json").write_text('[\n {"chrom": "chr1", "bin": 1,\n "sequence": "A", "start": 0, "end": 1}\n]\n')
+    assert readers.dna_bin_json(spark, str(tmp_path / "pretty.json")).count() == 1
+    (tmp_path / "bad.json").write_text('{\n"chrom": 1}')
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        readers.dna_bin_json(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_blank_or_comma_separated_tables(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "c1.csv").write_text("chrom1,x1,x2,chrom2,y1,y2,score\nchr1,1,2,chr1,5,6,0.9\n")
+    (tmp_path / "p" / "c2.csv").write_text("x1 x2 chrom1 chrom2\ty1 y2\n3 4 chr2 chr2\t7 8\n")
+    (tmp_path / "p" / "c2.F1.csv").write_text("nothing\n1\n")
+    got = sorted(map(tuple, readers.predicted_loops(spark, str(tmp_path / "p")).collect()))
+    assert got == [("c1", "chr1", 1, 2, "chr1", 5, 6), ("c2", "chr2", 3, 4, "chr2", 7, 8)]
+    (tmp_path / "p" / "c3.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(Exception, match="missing in"):
+        readers.predicted_loops(spark, str(tmp_path / "p")).collect()
+    (tmp_path / "gc.tsv").write_text("chrom start end gc x\nchr1 10 20 0.5 9\nchr1 0 10 0.25 9\n")
+    assert [tuple(r) for r in readers.gc_table(spark, str(tmp_path / "gc.tsv")).collect()] == [("chr1", 0, 10, 0.25), ("chr1", 10, 20, 0.5)]
+    (tmp_path / "last.csv").write_text("chrom,start,end,share\nchr1,0,10,0.75\n")
+    assert readers.gc_table(spark, str(tmp_path / "last.csv")).first()["gc"] == 0.75
+    (tmp_path / "x.bed").write_text("chr1\t10\t20\tpeak\nchr2\t5\t6\n")
+    assert sorted(map(tuple, readers.bed(spark, str(tmp_path / "x.bed")).collect())) == [("chr1", 10, 20), ("chr2", 5, 6)]
+
+
+def test_files_names_and_chromosomes(spark, tmp_path):
+    from chromalith.functions.columns import parse_chroms
+
+    present = spark.createDataFrame([("b.pt",), ("a.pt",), ("x.txt",)], "file string")
+    assert [r[0] for r in readers.graph_files(spark, present).collect()] == ["a.pt", "b.pt"]
+    names = spark.createDataFrame([("b.pt",)], "file string")
+    assert [r[0] for r in readers.graph_files(spark, present, names).collect()] == ["b.pt"]
+    writers.write_manifest(present, str(tmp_path / "m"))
+    assert [r[0] for r in readers.graph_files(spark, present, manifest_path=str(tmp_path / "m")).collect()] == ["a.pt", "b.pt", "x.txt"]
+    with pytest.raises(ValueError, match="exclude each other"):
+        readers.graph_files(spark, present, names, "m")
+    with pytest.raises(FileNotFoundError, match="z.pt"):
+        readers.graph_files(spark, present, spark.createDataFrame([("z.pt",)], "file string"))
+    with pytest.raises(ValueError, match="no graph files"):
+        readers.graph_files(spark, present.limit(0))
+    with pytest.raises(Exception, match="no cell and chromosome"):
+        spark.createDataFrame([("plain.npz",)], "n string").select(*readers.z_keys(F.col("n"))).collect()
+    seq = spark.createDataFrame([("chr1", "AC"), ("chrX", "GG")], "chrom string, sequence string")
+    assert sorted(map(tuple, readers.pick_chroms(seq, ["1", "chrX"]).collect())) == [("chr1", "AC"), ("chrX", "GG")]
+    with pytest.raises(Exception, match="no sequence of 7"):
+        readers.pick_chroms(seq, ["7"]).collect()
+    assert parse_chroms("mm9")[-1] == "chr19" and parse_chroms("hg19", prefix=False)[0] == "1" and parse_chroms("1, chrX 1") == ["chr1", "chrX"]
+
+
+def test_target_embeddings(spark, tmp_path):
+    np.save(tmp_path / "e.npy", np.arange(6.0).reshape(3, 2))
+    (tmp_path / "n.txt").write_text("cell_name\nb\n\na\nc\n")
+    (tmp_path / "n.csv").write_text("k,cell_name\n0,b\n1,a\n2,c\n")
+    for name in ("n.txt", "n.csv"):
+        got = sorted(readers.target_embeddings(spark, str(tmp_path / name), str(tmp_path / "e.npy")).collect(), key=lambda r: r.position)
+        assert [(r.cell_id, list(r.emb)) for r in got] == [("b", [0, 1]), ("a", [2, 3]), ("c", [4, 5])]
+    (tmp_path / "n.txt").write_text("b\na\n")
+    with pytest.raises(Exception, match="differ"):
+        readers.target_embeddings(spark, str(tmp_path / "n.txt"), str(tmp_path / "e.npy")).collect()
+
+
+def test_table_writers(spark, tmp_path):
+    track = spark.createDataFrame([("chr2", 0, 10, 0.5), ("chr1", 10, 20, 0.25), ("chr1", 0, 10, 1.0)], "chrom string, start long, end long, value double")
+    writers.write_bedgraph(track, str(tmp_path / "bg"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "bg")).collect()] == ["chr1\t0\t10\t1.0", "chr1\t10\t20\t0.25", "chr2\t0\t10\t0.5"]
+    scores = spark.createDataFrame([("c", "chr1", 0, 10, 1 / 3)], "cell_id string, chrom string, start long, end long, score double")
+    writers.write_compartments(scores, str(tmp_path / "co"))
+    assert spark.read.csv(str(tmp_path / "co"), sep="\t", header=True).first()["score"] == "0.33333"
+    writers.write_loops(scores, str(tmp_path / "lo"))
+    assert spark.read.parquet(str(tmp_path / "lo")).count() == 1
+    writers.write_table(track, str(tmp_path / "t"), ("chrom", "start"))
+    assert [r.start for r in spark.read.csv(str(tmp_path / "t"), sep="\t", header=True).collect()] == ["0", "10", "0"]
+    writers.write_config(spark, str(tmp_path / "cfg"), binsize=10, vote=0.5)
+    assert spark.read.json(str(tmp_path / "cfg")).first().asDict() == {"binsize": 10, "vote": 0.5}
