@@ -103,16 +103,37 @@ def dims(matrix: DataFrame, sizes: DataFrame, bin_size: int) -> DataFrame:
     return matrix.select("cell_id", "chrom").distinct().join(sizes.select("chrom", n_bins(F.col("size"), bin_size).alias("n_bins")), "chrom").select("cell_id", "chrom", "n_bins")
 
 
+def matrix_shapes(matrix: DataFrame, dims: DataFrame) -> DataFrame:
+    """n_rows, n_cols and stored entries of each matrix of dims (cell_id, chrom, n_bins), also of those without entries."""
+    nnz = matrix.groupBy("cell_id", "chrom").agg(F.count(F.lit(1)).alias("nnz"))
+    return dims.join(nnz, ["cell_id", "chrom"], "left").select("cell_id", "chrom", F.col("n_bins").alias("n_rows"), F.col("n_bins").alias("n_cols"), F.coalesce("nnz", F.lit(0)).alias("nnz"))
+
+
 def inspect_matrix(matrix: DataFrame) -> DataFrame:
     """Stored entries, total and diagonal of each matrix."""
     return matrix.groupBy("cell_id", "chrom").agg(F.count(F.lit(1)).alias("nnz"), F.sum("v").alias("total"), F.sum(F.when(F.col("i") == F.col("j"), F.col("v")).otherwise(0)).alias("diagonal"))
 
 
 def label_index(labels: DataFrame) -> DataFrame:
-    """y: the place of the cell type among the sorted types; the last row of a cell wins if `position` is given."""
+    """y: the place of the cell type among all sorted types of the table, also those that no cell keeps; the last row of a
+    cell wins if `position` is given."""
+    types = labels.select("cell_type").distinct().withColumn("y", F.row_number().over(W.orderBy("cell_type")) - 1)
     rows = last_wins(labels, "cell_id", "position") if "position" in labels.columns else labels
-    types = rows.select("cell_type").distinct().withColumn("y", F.row_number().over(W.orderBy("cell_type")) - 1)
-    return rows.join(F.broadcast(types), "cell_type").select("cell_id", "cell_type", "y")
+    return rows.join(types, "cell_type").select("cell_id", "cell_type", "y")
+
+
+def label_counts(labels: DataFrame) -> DataFrame:
+    """Cells of each type."""
+    return labels.groupBy("cell_type").agg(F.countDistinct("cell_id").alias("n_cells"))
+
+
+def embeddings_with_labels(embeddings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Embeddings (cell_id, position, ...) that have a label, with cell_type and y, in the order of position; none is an
+    error."""
+    out = embeddings.join(label_index(labels), "cell_id")
+    if out.isEmpty():
+        raise ValueError("no embedding has a label: do the cells' names agree?")
+    return out.orderBy("position")
 
 
 def attach_labels(cells: DataFrame, labels: DataFrame) -> DataFrame:

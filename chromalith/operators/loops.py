@@ -35,11 +35,20 @@ def slack_expand(points: DataFrame, slack_bins: int, resolution: int) -> DataFra
     return moved.select(*keys, "x1", (F.col("y1") + F.col("dy") * resolution).alias("y1")).filter("x1 >= 0 and y1 >= 0").distinct()
 
 
-def evaluate(pred: DataFrame, refs: DataFrame, resolution: int = 10_000, slack: int = 20_000) -> DataFrame:
+def loop_coverage(graphs: DataFrame, found: DataFrame) -> DataFrame:
+    """n_graphs, n_used (with a reference loop at least) and their share, 0 without graphs; both by (cell_id, chrom)."""
+    key = ["cell_id", "chrom"]
+    hit = found.select(*key).distinct().withColumn("_h", F.lit(1))
+    out = graphs.select(*key).distinct().join(hit, key, "left").agg(F.count(F.lit(1)).alias("n_graphs"), F.count("_h").alias("n_used"))
+    return out.withColumn("coverage", F.col("n_used") / F.greatest("n_graphs", F.lit(1)))
+
+
+def evaluate(pred: DataFrame, refs: DataFrame, resolution: int = 10_000, slack: int = 20_000, cells: DataFrame | None = None) -> DataFrame:
     """Precision, recall and F1 of every cell against shared references (chrom1, x1, y1), all cells at once.
 
     The few references are expanded for precision; for recall each cell's predictions are. Points off the grid of the
-    other side never match. Without predictions, or references, the figures are 0.
+    other side never match. Without references the figures are 0, and so they are for the cells of `cells` (cell_id)
+    that have no predictions.
     """
     sb = round(slack / resolution)
     point = ["chrom1", "x1", "y1"]
@@ -49,7 +58,9 @@ def evaluate(pred: DataFrame, refs: DataFrame, resolution: int = 10_000, slack:
     near = slack_expand(refs, sb, resolution)
     hit = pred.join(near.withColumn("_h", F.lit(1)), point, "left").groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_pred"), F.count("_h").alias("hit_pred"))
     found = slack_expand(pred, sb, resolution).join(refs, point, "left_semi").groupBy("cell_id").agg(F.count(F.lit(1)).alias("hit_ref"))
-    out = hit.join(found, "cell_id", "left").join(F.broadcast(n_ref), how="cross").na.fill(0, ["hit_ref"])
+    if cells is not None:
+        hit = cells.select("cell_id").unionByName(pred.select("cell_id")).distinct().join(hit, "cell_id", "left").na.fill(0, ["n_pred", "hit_pred"])
+    out = hit.join(found, "cell_id", "left").join(n_ref, how="cross").na.fill(0, ["hit_ref"])
     p = F.when(F.col("n_pred") > 0, F.col("hit_pred") / F.col("n_pred")).otherwise(F.lit(0.0))
     r = F.when(F.col("n_ref") > 0, F.col("hit_ref") / F.col("n_ref")).otherwise(F.lit(0.0))
     out = out.withColumns({"precision": p, "recall": r})

@@ -24,19 +24,25 @@ def scale_to_target(matrix: DataFrame) -> DataFrame:
     return out.select(*GRAPH, "i", "j", F.when(F.col("_t") > 0, F.col("v") / F.col("_t") * F.col("target")).otherwise(F.col("v")).alias("v"))
 
 
-def sqrt_vc(matrix: DataFrame) -> DataFrame:
-    """E = A + A', then v / sqrt(d_i d_j), sums of 0 as 1."""
-    both = matrix.select(*GRAPH, "i", "j", F.col("v").cast("double").alias("v")).unionByName(matrix.select(*GRAPH, F.col("j").alias("i"), F.col("i").alias("j"), F.col("v").cast("double").alias("v")))
-    e = both.groupBy(*GRAPH, "i", "j").agg(F.sum("v").alias("v"))
+def sqrt_vc(matrix: DataFrame, symmetric: bool = False) -> DataFrame:
+    """E = A + A', then v / sqrt(d_i d_j), sums of 0 as 1. symmetric: A is known to be so and has each entry once, then E is
+    twice A without a sum; else both orientations come from one scan."""
+    v = F.col("v").cast("double")
+    if symmetric:
+        e = matrix.select(*GRAPH, "i", "j", (2 * v).alias("v"))
+    else:
+        ends = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+        both = matrix.select(*GRAPH, v.alias("v"), F.explode(ends).alias("e")).select(*GRAPH, "e.i", "e.j", "v")
+        e = both.groupBy(*GRAPH, "i", "j").agg(F.sum("v").alias("v"))
     d = e.groupBy(*GRAPH, "i").agg(F.sum("v").alias("d")).withColumn("d", F.when(F.col("d") == 0, 1.0).otherwise(F.col("d")))
     out = e.join(d, [*GRAPH, "i"]).join(d.select(*GRAPH, F.col("i").alias("j"), F.col("d").alias("dj")), [*GRAPH, "j"])
     return out.select(*GRAPH, "i", "j", (F.col("v") / F.sqrt(F.col("d") * F.col("dj"))).alias("v"))
 
 
-def normalized(matrix: DataFrame, scale: bool = True, remove_diagonal: bool = True, vc: bool = True) -> DataFrame:
+def normalized(matrix: DataFrame, scale: bool = True, remove_diagonal: bool = True, vc: bool = True, symmetric: bool = False) -> DataFrame:
     out = scale_to_target(matrix) if scale else matrix
     out = out.filter("i != j and v != 0") if remove_diagonal else out
-    return sqrt_vc(out) if vc else out
+    return sqrt_vc(out, symmetric) if vc else out
 
 
 def upper_features(matrix: DataFrame) -> DataFrame:
@@ -44,12 +50,16 @@ def upper_features(matrix: DataFrame) -> DataFrame:
     return matrix.filter("i < j").select(*GRAPH, "i", "j", F.col("v").cast("double").alias("v"))
 
 
-def cell_status(cells: DataFrame, matrix: DataFrame, chroms: list[str], allow_missing: bool = False) -> DataFrame:
-    """ok, skip_missing_chrom or skip_empty_or_broken for every cell, with its total and used chromosomes."""
+def cell_status(cells: DataFrame, matrix: DataFrame, chroms: list[str], allow_missing: bool = False, masked: list[str] | None = None) -> DataFrame:
+    """ok, skip_missing_chrom, skip_empty_or_broken or skip_mask_missing for every cell, with its total and used chromosomes.
+    masked: the chromosomes that have a feature mask; all by default."""
     have = matrix.filter(F.col("chrom").isin(*chroms)).groupBy(*GRAPH).agg(F.sum("v").alias("t"))
     s = have.groupBy("cell_id").agg(F.sum("t").alias("total_contacts"), F.array_join(F.sort_array(F.collect_set("chrom")), ",").alias("used_chroms"), F.countDistinct("chrom").alias("n"))
     out = cells.select("cell_id").distinct().join(s, "cell_id", "left")
-    status = F.when(F.coalesce("total_contacts", F.lit(0)) <= 0, "skip_empty_or_broken").when((F.col("n") < len(chroms)) & F.lit(not allow_missing), "skip_missing_chrom").otherwise("ok")
+    status = F.when(F.coalesce("total_contacts", F.lit(0)) <= 0, "skip_empty_or_broken").when((F.col("n") < len(chroms)) & F.lit(not allow_missing), "skip_missing_chrom")
+    if masked is not None:
+        status = status.when(F.exists(F.split("used_chroms", ","), lambda c: ~c.isin(*masked)) if masked else F.lit(True), "skip_mask_missing")
+    status = status.otherwise("ok")
     return out.select("cell_id", status.alias("status"), F.coalesce("total_contacts", F.lit(0)).alias("total_contacts"), F.coalesce("used_chroms", F.lit("")).alias("used_chroms"))
 
 

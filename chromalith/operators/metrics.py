@@ -21,11 +21,11 @@ def auc(scores: DataFrame, key: str = "graph") -> DataFrame:
 
 
 def average_precision(scores: DataFrame, key: str = "graph") -> DataFrame:
-    """Sum of precision times the step in recall over distinct thresholds, without interpolation."""
+    """Sum of precision times the step in recall over distinct thresholds, without interpolation; 0 without positives."""
     c = scores.groupBy(key, "score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("p"))
     w = W.partitionBy(key).orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
     c = c.withColumns({"tp": F.sum("p").over(w), "seen": F.sum("n").over(w)})
-    return c.groupBy(key).agg((F.sum(F.col("p") * F.col("tp") / F.col("seen")) / F.sum("p")).alias("ap"))
+    return c.groupBy(key).agg(F.coalesce(F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("seen")), F.sum("p")), F.lit(0.0)).alias("ap"))
 
 
 def mean_summary(per_graph: DataFrame, columns: tuple[str, ...] = ("auc", "ap")) -> DataFrame:
@@ -49,12 +49,13 @@ def _margins(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def ari(pairs: DataFrame) -> DataFrame:
+    """Adjusted Rand index, 1 where chance leaves no room: one row, one class on either side, all rows apart."""
     c, a, b = _margins(pairs)
     pairs2 = lambda d, name: d.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(name), F.sum("n").alias(f"t{name}"))
     s = pairs2(c, "ij").join(pairs2(a, "a"), how="cross").join(pairs2(b, "b"), how="cross")
-    expected = F.col("a") * F.col("b") / (F.col("tij") * (F.col("tij") - 1) / 2)
+    expected = F.coalesce(F.try_divide(F.col("a") * F.col("b"), F.col("tij") * (F.col("tij") - 1) / 2), F.lit(0.0))
     top = (F.col("a") + F.col("b")) / 2
-    return s.select(F.when(top == expected, F.lit(1.0)).otherwise((F.col("ij") - expected) / (top - expected)).alias("ari"))
+    return s.select(F.coalesce(F.try_divide(F.col("ij") - expected, top - expected), F.lit(1.0)).alias("ari"))
 
 
 def information(pairs: DataFrame) -> DataFrame:
@@ -79,21 +80,31 @@ def contingency(pairs: DataFrame) -> np.ndarray:
     return m
 
 
+def expected_information(x: int, y: int, n: int) -> float:
+    """What classes of x and y of n rows add to the mutual information by chance (hypergeometric). Overlaps further than 40
+    standard deviations from the mean add nothing that a double can hold, so the work grows with the root of n."""
+    mean = x * y / n
+    reach = 40 * math.sqrt(mean * (n - x) * (n - y) / (n * max(1, n - 1))) + 40
+    low, high = max(1, x + y - n, math.floor(mean - reach)), min(x, y, math.ceil(mean + reach))
+    if low > high:
+        return 0.0
+    lg = math.lgamma
+    first = lg(x + 1) + lg(y + 1) + lg(n - x + 1) + lg(n - y + 1) - lg(n + 1) - lg(low + 1) - lg(x - low + 1) - lg(y - low + 1) - lg(n - x - y + low + 1)
+    k = np.arange(low, high + 1, dtype=float)
+    step = np.log((x - k[:-1]) * (y - k[:-1])) - np.log(k[1:] * (n - x - y + k[1:]))
+    log_p = first + np.concatenate(([0.0], np.cumsum(step)))
+    return float((k / n * np.log(n * k / (x * y)) * np.exp(log_p)).sum())
+
+
 def ami(pairs: DataFrame) -> float:
-    """Adjusted for the mutual information expected by chance (hypergeometric)."""
+    """Adjusted for the mutual information expected by chance."""
     m = contingency(pairs)
     n, a, b = int(m.sum()), m.sum(1), m.sum(0)
     if len(a) == len(b) == 1 or n == 0:
         return 1.0
-    lg = math.lgamma
     h = lambda x: -sum(v / n * math.log(v / n) for v in x if v)
     mi = sum(m[i, j] / n * math.log(n * m[i, j] / (a[i] * b[j])) for i in range(len(a)) for j in range(len(b)) if m[i, j])
-    emi = 0.0
-    for x in map(int, a):
-        for y in map(int, b):
-            for k in range(max(1, x + y - n), min(x, y) + 1):
-                log_p = lg(x + 1) + lg(y + 1) + lg(n - x + 1) + lg(n - y + 1) - lg(n + 1) - lg(k + 1) - lg(x - k + 1) - lg(y - k + 1) - lg(n - x - y + k + 1)
-                emi += k / n * math.log(n * k / (x * y)) * math.exp(log_p)
+    emi = sum(expected_information(int(x), int(y), n) for x in a for y in b)
     gap = (h(a) + h(b)) / 2 - emi
     return (mi - emi) / (gap if abs(gap) > 1e-15 else math.copysign(1e-15, gap))
 

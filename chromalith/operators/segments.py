@@ -166,7 +166,9 @@ def fit_hmm(z: DataFrame, n_states: int = 2, n_iter: int = 100, tol: float = 1e-
     At most max_seqs sequences, by hash, are learnt from. States start on either side of the first axis.
     """
     keys = z.select("cell_id", "chrom").distinct().orderBy(F.xxhash64("cell_id", "chrom", F.lit(seed)), "cell_id", "chrom").limit(max_seqs)
-    rows = z.select("cell_id", "chrom", "bin", "z").join(keys, ["cell_id", "chrom"], "left_semi").persist()
+    rows = z.select("cell_id", "chrom", "bin", "z").join(keys, ["cell_id", "chrom"], "left_semi")
+    # laid out by sequence once: the cached layout spares every E step its shuffle and sort
+    rows = rows.repartition("cell_id", "chrom").sortWithinPartitions("cell_id", "chrom", "bin").persist()
     dim = len(rows.first()["z"])
     _, mean, cov = moments(rows, dim)
     sd = np.sqrt(np.maximum(np.diag(cov), 0))
