@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,30 +94,6 @@ def mixed_negatives(positives: DataFrame, dims: DataFrame, ratio: float = 1.0, s
     return near.select(*key).unionByName(far)
 
 
-def split_cells(cells: list[str], types: dict[str, str] | None = None, val_ratio: float = 0.2, seed: int = 42, stratified: bool = True) -> tuple[list[str], list[str]]:
-    """(train, validation) cells. Stratified: each known type in order of first sight is sorted and shuffled on its own;
-    cells of unknown type train. Halves of counts round to even."""
-    rng = np.random.default_rng(seed)
-    known = [c for c in cells if types and c in types] if stratified else []
-    if not known:
-        order = sorted(cells)
-        rng.shuffle(order)
-        n = int(round(len(order) * val_ratio))
-        return order[n:], order[:n]
-    groups: dict[str, list[str]] = {}
-    for c in cells:
-        if c in types:
-            groups.setdefault(types[c], []).append(c)
-    train, val = [c for c in cells if c not in types], []
-    for members in groups.values():
-        members = sorted(members)
-        rng.shuffle(members)
-        n = int(round(len(members) * val_ratio))
-        val += members[:n]
-        train += members[n:]
-    return train, val
-
-
 def split_by_hash(labels: DataFrame, val_ratio: float = 0.2, seed: int = 42) -> DataFrame:
     """The declarative variant: within each type the first round(n * ratio) cells by hash validate."""
     from pyspark.sql import Window as W
@@ -129,5 +104,33 @@ def split_by_hash(labels: DataFrame, val_ratio: float = 0.2, seed: int = 42) ->
     return labels.select("cell_id", "cell_type", F.when(rank <= F.bround(n * val_ratio), "val").otherwise("train").alias("split"))
 
 
+def split_files(files: DataFrame, labels: DataFrame | None = None, val_ratio: float = 0.2, seed: int = 42) -> DataFrame:
+    """file, cell_id, split: all files of a cell go the same way. With labels each type is split on its own and cells of
+    unknown type train; without known cells all are split as one."""
+    cells = files.select("cell_id").distinct()
+    if labels is not None:
+        cells = cells.join(labels.select("cell_id", "cell_type").distinct(), "cell_id", "left")
+    if labels is None or cells.filter("cell_type is not null").isEmpty():
+        cells = cells.select("cell_id").withColumn("cell_type", F.lit(""))
+    known = split_by_hash(cells.filter("cell_type is not null"), val_ratio, seed).select("cell_id", "split")
+    return files.join(known, "cell_id", "left").select("file", "cell_id", F.coalesce("split", F.lit("train")).alias("split"))
+
+
+def split_counts(split: DataFrame) -> DataFrame:
+    """One row: files and cells in all and in each part of a split (file, cell_id, split)."""
+    part = lambda p: F.col("split") == p
+    files = [F.count(F.lit(1)).alias("n_total_files"), *[F.count(F.when(part(p), 1)).alias(f"n_{p}_files") for p in ("train", "val")]]
+    cells = [F.countDistinct("cell_id").alias("n_total_cells"), *[F.countDistinct(F.when(part(p), F.col("cell_id"))).alias(f"n_{p}_cells") for p in ("train", "val")]]
+    return split.agg(*files, *cells)
+
+
+def negatives_for(part: str, positives: DataFrame, dims: DataFrame, stored: DataFrame | None = None, **sampling) -> DataFrame:
+    """Negatives of the graphs of a part of the split: in training drawn anew, elsewhere the stored ones, if there are any,
+    whose ends lie in the graph."""
+    if part != "train" and stored is not None:
+        return within_nodes(stored.select(*GRAPH, "src", "dst"), dims)
+    return within_nodes(mixed_negatives(positives, dims, **sampling), dims)
+
+
 def in_split(graphs: DataFrame, split: DataFrame, part: str) -> DataFrame:
     return graphs.join(split.filter(F.col("split") == part).select("cell_id"), "cell_id", "left_semi")

@@ -178,6 +178,25 @@ def score_pairs(graphs: DataFrame, params: Params, head: str = "loop", mode: str
     return graphs.mapInPandas(run, "cell_id string, chrom string, src int, dst int, logit double")
 
 
+def score_edges(graphs: DataFrame, params: Params, negatives: DataFrame) -> DataFrame:
+    """Reconstruction logits of the graphs' own edges (y = 1) and of given negatives (y = 0); graphs without negatives are
+    left out."""
+    neg = negatives.groupBy(*GRAPH).agg(F.sort_array(F.collect_list(F.struct("src", "dst"))).alias("n"))
+    rows = graphs.join(neg, list(GRAPH)).select("*", F.transform("n", lambda s: s["src"]).alias("neg_src"), F.transform("n", lambda s: s["dst"]).alias("neg_dst")).drop("n")
+
+    def run(batches):
+        net = Net(params)
+        for pdf in batches:
+            for _, r in pdf.iterrows():
+                x, src, dst = _graph(r)
+                a, b = np.concatenate((src, np.asarray(r["neg_src"], int))), np.concatenate((dst, np.asarray(r["neg_dst"], int)))
+                z, _ = net.encode(x, src, dst)
+                y = (np.arange(len(a)) < len(src)).astype("int32")
+                yield pd.DataFrame({"cell_id": r["cell_id"], "chrom": r["chrom"], "src": a.astype("int32"), "dst": b.astype("int32"), "y": y, "logit": net.recon(z, a, b).value})
+
+    return rows.mapInPandas(run, "cell_id string, chrom string, src int, dst int, y int, logit double")
+
+
 def gcn_one_hop(nodes: DataFrame, edges: DataFrame, value: str = "x") -> DataFrame:
     """One propagation step without weights, declared: sum over in-neighbours and self of x / sqrt(d_in(u) d_in(v))."""
     key = [*GRAPH, "bin"]

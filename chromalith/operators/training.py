@@ -3,6 +3,7 @@ the driver. Parameters and gradients have a fixed size, whatever the number of g
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -54,31 +55,40 @@ def _bce(pos: Var, neg: Var) -> Var:
 
 
 def _negatives(rng, n: int, taken: set[tuple[int, int]], want: int, low: int = 5, high: int = 100, share: float = 0.7) -> tuple[np.ndarray, np.ndarray]:
-    """Near and far pairs i < j that are not taken, fewer if there is no room."""
+    """Pairs i < j that are not taken: int(want * share) at a distance of low..high, then others drawn uniformly; four
+    rounds of each, and fewer pairs if there is no room."""
     out: set[tuple[int, int]] = set()
-    near = int(want * share)
     top = min(high, n - 1)
-    for _ in range(4):
-        need = want - len(out)
-        if need <= 0 or n < 2:
-            break
-        k = max(3 * need, 200)
-        if len(out) < near and low <= top:
-            a = rng.integers(0, n, k)
-            b = a + rng.integers(low, top + 1, k)
-        else:
-            a, b = rng.integers(0, n, k), rng.integers(0, n, k)
-        for i, j in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True):
-            if i < j < n and (i, j) not in taken and len(out) < want:
-                out.add((i, j))
+    for near, quota in ((True, int(want * share)), (False, want)):
+        if n < 2 or (near and low > top):
+            continue
+        for _ in range(4):
+            need = quota - len(out)
+            if need <= 0:
+                break
+            a = rng.integers(0, n, max(3 * need, 200))
+            b = a + rng.integers(low, top + 1, len(a)) if near else rng.integers(0, n, len(a))
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                if i < j < n and (i, j) not in taken and len(out) < quota:
+                    out.add((i, j))
     pairs = np.array(sorted(out), int).reshape(-1, 2)
     return pairs[:, 0], pairs[:, 1]
 
 
-def graph_loss(net: Net, row, cfg: TrainConfig, rng, dropout: float) -> Var:
+def _drawn(row, name: str, learn: bool, rng, n: int, src: np.ndarray, dst: np.ndarray, cfg: TrainConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Negatives for positive pairs: in validation those stored with the graph (columns <name>_src and <name>_dst, ends
+    below n), else drawn."""
+    if not learn and row.get(f"{name}_src") is not None:
+        a, b = np.asarray(row[f"{name}_src"], int), np.asarray(row[f"{name}_dst"], int)
+        ok = (a < n) & (b < n)
+        return a[ok], b[ok]
+    return _negatives(rng, n, set(zip(src.tolist(), dst.tolist(), strict=True)), int(len(src) * cfg.neg_ratio))
+
+
+def graph_loss(net: Net, row, cfg: TrainConfig, rng, dropout: float, learn: bool = True) -> Var:
     x, src, dst = _graph(row)
     z, g = net.encode(x, src, dst, dropout, rng)
-    a, b = _negatives(rng, len(x), set(zip(src.tolist(), dst.tolist(), strict=True)), int(len(src) * cfg.neg_ratio))
+    a, b = _drawn(row, "neg", learn, rng, len(x), src, dst, cfg)
     loss = _bce(net.recon(z, src, dst), net.recon(z, a, b)) * cfg.w_recon
     target = row.get("target")
     if target is not None and len(target):
@@ -92,7 +102,7 @@ def graph_loss(net: Net, row, cfg: TrainConfig, rng, dropout: float) -> Var:
         ok = (i < len(x)) & (j < len(x))
         i, j = i[ok], j[ok]
         if len(i):
-            a, b = _negatives(rng, len(x), set(zip(i.tolist(), j.tolist(), strict=True)), int(len(i) * cfg.neg_ratio))
+            a, b = _drawn(row, "loop_neg", learn, rng, len(x), i, j, cfg)
             loss = loss + _bce(net.loop(z, i, j), net.loop(z, a, b)) * cfg.w_loop
     return loss
 
@@ -105,6 +115,19 @@ class Trained:
     moments: tuple[Params, Params] | None = None
 
 
+def dump_trained(t: Trained) -> str:
+    """A checkpoint as JSON: last and best parameters, the optimizer's moments, the history."""
+    flat = lambda p: {k: {"shape": list(v.shape), "values": v.ravel().tolist()} for k, v in p.items()}
+    return json.dumps({"model_state": flat(t.params), "best": flat(t.best), "moments": [flat(m) for m in t.moments] if t.moments else None, "history": t.history})
+
+
+def load_trained(text: str) -> Trained:
+    """What dump_trained wrote, to go on from by train(..., resume=...)."""
+    d = json.loads(text)
+    full = lambda p: {k: np.array(v["values"]).reshape(v["shape"]) for k, v in p.items()}
+    return Trained(full(d["model_state"]), full(d["best"]), d["history"], tuple(full(m) for m in d["moments"]) if d["moments"] else None)
+
+
 def _pass(graphs: DataFrame, params: Params, cfg: TrainConfig, epoch: int, learn: bool) -> tuple[float, int, Params]:
     names = sorted(params)
 
@@ -113,10 +136,9 @@ def _pass(graphs: DataFrame, params: Params, cfg: TrainConfig, epoch: int, learn
         total = {k: np.zeros_like(params[k]) for k in names}
         for pdf in batches:
             for _, r in pdf.iterrows():
-                seed = abs(hash((cfg.seed, epoch if learn else -1))) % 2**31
-                rng = np.random.default_rng([seed, *map(ord, f"{r['cell_id']}/{r['chrom']}")])
+                rng = np.random.default_rng([cfg.seed, epoch + 1 if learn else 0, *map(ord, f"{r['cell_id']}/{r['chrom']}")])
                 net = Net(params)
-                loss = graph_loss(net, r, cfg, rng, cfg.dropout if learn else 0.0)
+                loss = graph_loss(net, r, cfg, rng, cfg.dropout if learn else 0.0, learn)
                 loss_sum, n = loss_sum + float(loss.value), n + 1
                 if learn:
                     gradients(loss)
@@ -143,7 +165,8 @@ def _pass(graphs: DataFrame, params: Params, cfg: TrainConfig, epoch: int, learn
 
 
 def train(graphs: DataFrame, params: Params, cfg: TrainConfig, validation: DataFrame | None = None, resume: Trained | None = None) -> Trained:
-    """Adam over graphs (cell_id, chrom, x, src, dst[, target, loop_src, loop_dst]); keeps the last and the best parameters."""
+    """Adam over graphs (cell_id, chrom, x, src, dst[, target, loop_src, loop_dst]); keeps the last and the best parameters.
+    Validation graphs may bring stored negatives (neg_src, neg_dst, loop_neg_src, loop_neg_dst)."""
     params = {k: v.copy() for k, v in (resume.params if resume else params).items()}
     m, v = resume.moments if resume and resume.moments else ({k: np.zeros_like(x) for k, x in params.items()}, {k: np.zeros_like(x) for k, x in params.items()})
     out = resume or Trained(params, params)
