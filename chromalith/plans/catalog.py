@@ -99,6 +99,26 @@ def matrix_inspect(spark, d):
     return contacts.inspect_matrix(_matrix(spark, d))
 
 
+@query(f"with {MATRIX} select cell_id, chrom, n_bins as n_rows, n_bins as n_cols, count(*) as nnz from m join dims using (cell_id, chrom) group by all")
+def matrix_shapes(spark, d):
+    m = _matrix(spark, d)
+    return contacts.matrix_shapes(m, _dims(spark, d, m))
+
+
+@query(f"with {MATRIX} select distinct cell_id, chrom from m semi join (select cell_id, chr1 as chrom from v_contacts where cnt > 49) x using (cell_id, chrom)")
+def cells_in_both(spark, d):
+    from chromalith.sources.readers import cells_in_both as both
+
+    return both(_matrix(spark, d), _contacts(spark, d).filter("count > 49").select("cell_id", F.col("chr1").alias("chrom")))
+
+
+@query(f"with {EDGES} select cell_id, chrom, src::int as src, dst::int as dst, src::bigint * 101 + dst as key from pos")
+def edge_keys(spark, d):
+    e = graphs.canonical_edges(_edges(spark, d)).withColumn("key", C.edge_key(F.col("src"), F.col("dst"), F.lit(101)))
+    src, dst = C.edge_of_key(F.col("key"), F.lit(101))
+    return e.select("cell_id", "chrom", src.cast("int").alias("src"), dst.cast("int").alias("dst"), "key")
+
+
 @query("""with f as (select fend, concat('chr', chr) as chr, coord from v_fends), a as (select cell_id, fend1, fend2, cast(cnt as bigint) as cnt from v_adj where regexp_full_match(cnt, '[0-9]+')),
     j as (select cell_id, x.chr as chr1, x.coord as c1, y.chr as chr2, y.coord as c2, cnt from a join f x on fend1 = x.fend join f y on fend2 = y.fend)
     select cell_id, chr1 as chrom, sum(cnt)::bigint as total, count(*) as n from j where chr1 = chr2 and chr1 not in ('chrX', 'chrY') and c1 <> c2 group by all""")
@@ -162,6 +182,13 @@ def gc_content(spark, d):
     return r6(features.gc_content(features.dna_bins(view(spark, d, "v_seq"), 500)).select("chrom", "bin", "gc"), "gc")
 
 
+@query(f"with {_BINS.replace('500', '5000')} select chrom, count(*) as n, md5(string_agg(sequence, '|' order by bin)) as digest from b group by chrom")
+def sequences_by_chrom(spark, d):
+    bins = features.dna_bins(view(spark, d, "v_seq"), 5000)
+    got = features.sequences_by_chrom(bins.select("chrom", F.col("bin").alias("position"), "sequence"), exclude=())
+    return got.select(F.substring("chrom", 4, 99).alias("chrom"), F.size("sequences").cast("long").alias("n"), F.md5(F.array_join("sequences", "|")).alias("digest"))
+
+
 @query()
 def kmer_embedding(spark, d):
     return features.kmer_embedding(features.dna_bins(view(spark, d, "v_seq"), 5000), 2)
@@ -201,11 +228,72 @@ def ref_loop_lookup(spark, d):
     return graphs.reference_loops(_dims(spark, d), r)
 
 
+_REFS_BY_GROUP = f"r as (select distinct chrom1 as chrom, case when x1 % 20000 = 0 then 'Neuron' else 'ODC' end as grp, x1 // {BIN} as i, y1 // {BIN} as j from v_ref_loops), g as (select cell_id, chrom, n_bins, case when cast(substr(cell_id, 2) as int) % 2 = 0 then 'Neuron' else 'ODC' end as grp from dims)"
+
+
+def _ref_loops_by_group(spark, d):
+    dims = _dims(spark, d)
+    r = view(spark, d, "v_ref_loops").select(F.col("chrom1").alias("chrom"), graphs.loop_group(F.when(F.col("x1") % 20000 == 0, "Sst").otherwise("ODC")).alias("group"), F.floor(F.col("x1") / BIN).cast("int").alias("i"), F.floor(F.col("y1") / BIN).cast("int").alias("j")).distinct()
+    g = dims.withColumn("group", graphs.loop_group(F.when(F.substring("cell_id", 2, 9).cast("int") % 2 == 0, "Vip").otherwise("ODC")))
+    return dims, graphs.reference_loops(g, r)
+
+
+@query(f"with {MATRIX}, {_REFS_BY_GROUP} select cell_id, chrom, i::int as i, j::int as j from g join r using (chrom, grp) where i < n_bins and j < n_bins")
+def ref_loops_by_group(spark, d):
+    return _ref_loops_by_group(spark, d)[1]
+
+
+@query(f"""with {MATRIX}, {_REFS_BY_GROUP}, u as (select distinct cell_id, chrom from g join r using (chrom, grp) where i < n_bins and j < n_bins)
+    select (select count(*) from dims) as n_graphs, (select count(*) from u) as n_used, round((select count(*) from u) / (select count(*) from dims), 6) as coverage""")
+def loop_coverage(spark, d):
+    return r6(loops.loop_coverage(*_ref_loops_by_group(spark, d)), "coverage")
+
+
 @query("with t as (select cell_type, row_number() over (order by cell_type) - 1 as y from (select distinct cell_type from v_labels)) select cell_id, cell_type, y::int as y from v_labels join t using (cell_type)")
 def label_index(spark, d):
     return contacts.label_index(view(spark, d, "v_labels"))
 
 
+@query("""with t as (select cell_type, row_number() over (order by cell_type) - 1 as y from (select distinct cell_type from v_label_lines)),
+    k as (select cell_id, arg_max(cell_type, position) as cell_type from v_label_lines group by 1)
+    select cell_id, cell_type, y::int as y from k join t using (cell_type)""")
+def label_index_last_wins(spark, d):
+    return contacts.label_index(view(spark, d, "v_label_lines"))
+
+
+@query("select cell_type, count(distinct cell_id) as n_cells from v_label_lines group by 1")
+def label_counts(spark, d):
+    return contacts.label_counts(view(spark, d, "v_label_lines"))
+
+
+@query("""with t as (select cell_type, row_number() over (order by cell_type) - 1 as y from (select distinct cell_type from v_labels)), e as (select concat('C', cast(vec_id as string)) as cell_id, vec_id as position, embedding[1]::double as x from embeddings)
+    select cell_id, position, round(x, 6) + 0.0 as x, cell_type, y::int as y from e join v_labels using (cell_id) join t using (cell_type)""")
+def embeddings_with_labels(spark, d):
+    e = table(spark, d, "embeddings").select(F.concat(F.lit("C"), F.col("vec_id").cast("string")).alias("cell_id"), F.col("vec_id").alias("position"), F.element_at("embedding", 1).cast("double").alias("x"))
+    return r6(contacts.embeddings_with_labels(e, view(spark, d, "v_labels")), "x")
+
+
+_FILES = "f as (select distinct cell_id || '_' || chr1 || '.pt' as file, cell_id from v_contacts)"
+_SPLIT = f"""{_FILES}, c as (select distinct cell_id from f), k as (select cell_id, cell_type, row_number() over (partition by cell_type order by md5(cell_id || ':42'), cell_id) as rk, count(*) over (partition by cell_type) as n from c join v_labels using (cell_id)),
+    s as (select file, f.cell_id, case when rk <= round_even(n * 0.2, 0) then 'val' else 'train' end as split from f left join k on f.cell_id = k.cell_id)"""
+
+
+def _split_files(spark, d):
+    files = _contacts(spark, d).select(F.concat("cell_id", F.lit("_"), "chr1", F.lit(".pt")).alias("file"), "cell_id").distinct()
+    return graphs.split_files(files, view(spark, d, "v_labels"))
+
+
+@query(f"with {_SPLIT} select file, cell_id, split from s")
+def split_files(spark, d):
+    return _split_files(spark, d)
+
+
+@query(f"""with {_SPLIT} select count(*) as n_total_files, count(*) filter (split = 'train') as n_train_files, count(*) filter (split = 'val') as n_val_files,
+    count(distinct cell_id) as n_total_cells, count(distinct cell_id) filter (split = 'train') as n_train_cells, count(distinct cell_id) filter (split = 'val') as n_val_cells from s""")
+def split_counts(spark, d):
+    return graphs.split_counts(_split_files(spark, d))
+
+
 @query("""with t as (select cell_type, row_number() over (order by cell_type) - 1 as y from (select distinct cell_type from v_labels)), c as (select distinct cell_id from v_contacts)
     select cell_id, coalesce(cell_type, 'unknown') as cell_type, coalesce(y, -1)::int as y from c left join (select * from v_labels join t using (cell_type)) using (cell_id)""")
 def label_attach(spark, d):
@@ -252,7 +340,7 @@ def anti_missing(spark, d):
 @query(f"""with {MATRIX}, z as (select cell_id, chrom, i, sum(v) as r from m group by all)
     select m.cell_id, m.chrom, m.i::int as i, m.j::int as j, {_round('m.v / sqrt(a.r * b.r)', 'v')} from m join z a on m.cell_id = a.cell_id and m.chrom = a.chrom and m.i = a.i join z b on m.cell_id = b.cell_id and m.chrom = b.chrom and m.j = b.i""")
 def sqrtvc(spark, d):
-    return r6(matrices.sqrt_vc(_matrix(spark, d)).select("cell_id", "chrom", "i", "j", "v"), "v")
+    return r6(matrices.sqrt_vc(_matrix(spark, d), symmetric=True).select("cell_id", "chrom", "i", "j", "v"), "v")
 
 
 @query(f"""with {MATRIX}, t as (select avg(t) as target from (select sum(v) as t from m group by cell_id))
@@ -278,6 +366,13 @@ def cell_status(spark, d):
     return matrices.cell_status(_contacts(spark, d), _matrix(spark, d), ["chr1", "chr2", "chr3"])
 
 
+@query(f"""with {MATRIX}, s as (select cell_id, sum(t) as total_contacts, string_agg(chrom, ',' order by chrom) as used_chroms, count(*) as n, bool_or(chrom = 'chr3') as unmasked from (select cell_id, chrom, sum(v) as t from m where chrom in ('chr1', 'chr2', 'chr3') group by all) group by 1)
+    select cell_id, case when coalesce(total_contacts, 0) <= 0 then 'skip_empty_or_broken' when unmasked then 'skip_mask_missing' else 'ok' end as status, coalesce(total_contacts, 0)::bigint as total_contacts, coalesce(used_chroms, '') as used_chroms
+    from (select distinct cell_id from v_contacts) left join s using (cell_id)""")
+def cell_status_masked(spark, d):
+    return matrices.cell_status(_contacts(spark, d), _matrix(spark, d), ["chr1", "chr2", "chr3"], allow_missing=True, masked=["chr1", "chr2"])
+
+
 @query("select cell_id, k::int as k, round(avg(z[k + 1]::double), 6) + 0.0 as v from (select cell_id, z, unnest(range(0, 64)) as k from v_z) group by cell_id, k")
 def cell_embedding_mean(spark, d):
     e = view(spark, d, "v_z").select("cell_id", F.concat(F.lit("chr"), "bin").alias("chrom"), F.transform("z", lambda x: x.cast("double")).alias("g"))
@@ -294,7 +389,7 @@ def scaler(spark, d):
 
 @query()
 def svd_embedding(spark, d):
-    return matrices.svd_embedding(matrices.upper_features(matrices.normalized(_matrix(spark, d))), 10, 10)
+    return matrices.svd_embedding(matrices.upper_features(matrices.normalized(_matrix(spark, d), symmetric=True)), 10, 10)
 
 
 @query()
@@ -359,12 +454,28 @@ def loop_predict(spark, d):
 
 @query()
 def recon_auc(spark, d):
+    """Positives against as many mixed negatives, stored as validation has them."""
+    s = model.score_edges(_graphs(spark, d), _PARAMS, neg_mixed(spark, d))
+    s = s.select(F.concat_ws("/", "cell_id", "chrom").alias("graph"), "y", F.col("logit").alias("score"))
+    n = s.groupBy("graph").agg(F.sum("y").alias("n_pos"), F.sum(1 - F.col("y")).alias("n_neg"))
+    return metrics.auc(s).join(metrics.average_precision(s), "graph").join(n, "graph")
+
+
+@query(f"""with {EDGES}, q as (select cell_id, chrom, cast(floor(count(*) * 0.7::double) as int) as near, count(*) as want, any_value(n_bins) as n_bins from pos join dims using (cell_id, chrom) group by all),
+    r as (select q.*, (n_bins::bigint * (n_bins - 1)) // 2 - want as room from q)
+    select cell_id, chrom, want, least(want, room) as got, least(near, want) as quota from r where room >= 2 * want""")
+def neg_mixed_counts(spark, d):
+    """Mixed negatives of graphs with room: as many as positives, the near share among them, none of them positive or double."""
     m = _matrix(spark, d)
-    g = _graphs(spark, d)
-    s = model.score_pairs(g, _PARAMS, "recon", "full", 5, 40)
-    pos = graphs.canonical_edges(m.select("cell_id", "chrom", F.col("i").alias("src"), F.col("j").alias("dst"))).withColumn("y", F.lit(1))
-    s = s.join(pos, ["cell_id", "chrom", "src", "dst"], "left").select(F.concat_ws("/", "cell_id", "chrom").alias("graph"), F.coalesce("y", F.lit(0)).alias("y"), F.col("logit").alias("score"))
-    return metrics.auc(s).join(metrics.average_precision(s), "graph")
+    pos = graphs.canonical_edges(m.select("cell_id", "chrom", F.col("i").alias("src"), F.col("j").alias("dst")))
+    dims = _dims(spark, d, m)
+    near = graphs.near_negatives(pos, dims, low=5, high=40).groupBy("cell_id", "chrom").agg(F.count(F.lit(1)).alias("quota"))
+    neg = graphs.negatives_for("train", pos, dims, low=5, high=40).join(pos, ["cell_id", "chrom", "src", "dst"], "left_anti").distinct()
+    got = neg.groupBy("cell_id", "chrom").agg(F.count(F.lit(1)).alias("got"))
+    want = pos.groupBy("cell_id", "chrom").agg(F.count(F.lit(1)).alias("want")).join(dims, ["cell_id", "chrom"])
+    n = F.col("n_bins").cast("long")
+    want = want.filter(n * (n - 1) / 2 - F.col("want") >= 2 * F.col("want"))
+    return want.join(got, ["cell_id", "chrom"]).join(near, ["cell_id", "chrom"], "left").select("cell_id", "chrom", "want", "got", F.coalesce("quota", F.lit(0)).alias("quota"))
 
 
 # ---- metrics ----
@@ -380,6 +491,15 @@ def ap(spark, d):
     return r6(metrics.average_precision(view(spark, d, "v_scores")), "ap")
 
 
+@query("""with r as (select *, rank() over (partition by graph order by score) + (count(*) over (partition by graph, score) - 1) / 2.0 as rk from v_scores),
+    a as (select graph, (sum(case when y = 1 then rk else 0 end) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) as auc from r group by 1),
+    c as (select graph, score, count(*) as n, sum(y) as p from v_scores group by all), w as (select *, sum(p) over (partition by graph order by score desc) as tp, sum(n) over (partition by graph order by score desc) as seen from c),
+    b as (select graph, sum(p * tp / seen) / sum(p) as ap from w group by 1) select round(avg(auc), 6) as mean_auc, round(avg(ap), 6) as mean_ap, count(*) as n_graphs from a join b using (graph)""")
+def auc_ap_summary(spark, d):
+    s = view(spark, d, "v_scores")
+    return r6(metrics.mean_summary(metrics.auc(s).join(metrics.average_precision(s), "graph")), "mean_auc", "mean_ap")
+
+
 def _pairs(spark, d):
     return view(spark, d, "v_clusters").select("pred", F.col("true_label").cast("int").alias("true"))
 
@@ -414,6 +534,15 @@ def silhouette(spark, d):
     return r6(metrics.silhouette(e), "silhouette")
 
 
+@query(f"""with {_CONT}, mi as (select sum(c.n / tot.t * ln(c.n * tot.t / (a.n * b.n))) as mi from c join a using (pred) join b on c.t = b.t, tot),
+    hp as (select -sum(n / t * ln(n / t)) as hp from a, tot), ht as (select -sum(n / tot.t * ln(n / tot.t)) as ht from b, tot),
+    k as (select a.n as x, b.n as y, tot.t as n, unnest(range(greatest(1, (a.n + b.n - tot.t)::bigint), least(a.n, b.n)::bigint + 1))::double as k from a, b, tot),
+    e as (select sum(k / n * ln(n * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(n - x - y + k + 1))) as emi from k)
+    select round((mi - emi) / ((hp + ht) / 2 - emi), 6) + 0.0 as ami from mi, hp, ht, e""")
+def ami(spark, d):
+    return r6(spark.createDataFrame([(float(metrics.ami(_pairs(spark, d))),)], "ami double"), "ami")
+
+
 @query()
 def ami_hungarian(spark, d):
     p = _pairs(spark, d)
@@ -432,6 +561,18 @@ def loop_slack_pr(spark, d):
     return r6(loops.evaluate(view(spark, d, "v_pred_loops"), view(spark, d, "v_ref_loops")), "precision", "recall", "f1")
 
 
+@query("""with r as (select distinct chrom1, x1, y1 from v_ref_loops), p as (select distinct cell_id, chrom1, x1, y1 from v_pred_loops where cell_id < 'C3'), o as (select unnest(range(-2, 3)) * 10000 as s),
+    e as (select distinct chrom1, x1 + a.s as x1, y1 + b.s as y1 from r, o a, o b where x1 + a.s >= 0 and y1 + b.s >= 0),
+    h as (select cell_id, count(*) as n_pred, count(e.x1) as hits from p left join e using (chrom1, x1, y1) group by 1),
+    q as (select distinct cell_id, chrom1, x1 + a.s as x1, y1 + b.s as y1 from p, o a, o b where x1 + a.s >= 0 and y1 + b.s >= 0),
+    f as (select cell_id, count(*) as hit_ref from q semi join r using (chrom1, x1, y1) group by 1), c as (select distinct cell_id from v_contacts union select cell_id from p),
+    z as (select cell_id, coalesce(n_pred, 0) as n_pred, (select count(*) from r) as n_ref, coalesce(hits / n_pred, 0) as p, coalesce(hit_ref, 0) / (select count(*) from r) as r from c left join h using (cell_id) left join f using (cell_id))
+    select cell_id, n_pred, n_ref, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as f1 from z""")
+def loop_pr_of_all_cells(spark, d):
+    pred = view(spark, d, "v_pred_loops").filter("cell_id < 'C3'")
+    return r6(loops.evaluate(pred, view(spark, d, "v_ref_loops"), cells=_contacts(spark, d).select("cell_id")), "precision", "recall", "f1")
+
+
 @query("select cell_id, chrom1, x1, y1, count(*) as n from v_pred_loops where abs(y1 // 10000 - x1 // 10000) between 2 and 100 group by all")
 def loops_intra_distance(spark, d):
     return loops.intra_by_distance(view(spark, d, "v_pred_loops"), 10_000).groupBy("cell_id", "chrom1", "x1", "y1").agg(F.count(F.lit(1)).alias("n"))
@@ -599,6 +740,14 @@ def train_step(spark, d):
     return spark.createDataFrame([(h["epoch"], float(h["train"])) for h in t.history], "epoch int, loss double")
 
 
+# ---- streams, as a batch ----
+@query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all")
+def windowed_votes(spark, d):
+    from chromalith.streaming.incremental import windowed_votes as votes
+
+    return votes(table(spark, d, "events")).withColumn("total", F.round("total", 2))
+
+
 # ---- text keys ----
 @query("select distinct cell_id || '_chr' || (length(cell_id) % 3 + 1) || '.pt' as name, cell_id as cell, 'chr' || (length(cell_id) % 3 + 1) as chrom from v_contacts")
 def graph_names(spark, d):

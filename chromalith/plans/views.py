@@ -19,6 +19,7 @@ VIEWS = {
         case when a.l_orderkey % 17 = 0 then 'n/a' else cast(cast(a.l_quantity as bigint) as string) end as cnt
         from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber < b.l_linenumber join orders on o_orderkey = a.l_orderkey""",
     "v_labels": "select concat('C', cast(s_suppkey as string)) as cell_id, r_name as cell_type from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey where s_suppkey < 45",
+    "v_label_lines": "select concat('C', cast(s_suppkey % 30 as string)) as cell_id, r_name as cell_type, s_suppkey as position from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey",
     "v_scores": "select d.lang as graph, d.doc_id as id, l.quality as y, d.n_chars % 500 as score from documents d join labels l on d.doc_id = l.doc_id",
     "v_votes": "select distinct event_type as chrom, concat('u', cast(user_id as string)) as cell_id, (day(ts) - 1) * 24 + hour(ts) as b from events",
     "v_compart": "select concat('u', cast(user_id as string)) as cell_id, event_type as chrom, ((day(ts) - 1) * 24 + hour(ts)) * 1000 as start_bp, value as score from events",

@@ -177,3 +177,92 @@ def test_silhouette_brute_force(spark):
         b = min(d[i, [j for j in range(30) if c[j] == k]].mean() for k in set(c) - {c[i]})
         vals.append((b - a) / max(a, b))
     assert metrics.silhouette(df, block=7).first()[0] == pytest.approx(np.mean(vals))
+
+
+def test_metrics_of_degenerate_groups(spark):
+    none = spark.createDataFrame([("g", 0.9, 0), ("g", 0.8, 0), ("h", 0.5, 1)], "graph string, score double, y int")
+    assert {r.graph: r.ap for r in metrics.average_precision(none).collect()} == {"g": 0.0, "h": 1.0}
+    one = spark.createDataFrame([(1, 1)], "pred int, true int")
+    assert metrics.ari(one).first()["ari"] == 1.0 and metrics.ami(one) == 1.0
+    apart = spark.createDataFrame([(i, 9 - i) for i in range(4)], "pred int, true int")
+    assert metrics.ari(apart).first()["ari"] == 1.0
+    whole = metrics.clustering_metrics(spark.createDataFrame([(i % 2, i % 3) for i in range(12)], "pred int, true int")).first().asDict()
+    assert {"ari", "nmi", "v_measure", "ami", "hungarian_acc", "homogeneity", "completeness"} <= set(whole)
+    got = metrics.mean_summary(spark.createDataFrame([("a", 1.0, 0.5), ("b", float(0), 0.25)], "graph string, auc double, ap double")).first()
+    assert tuple(got) == (0.5, 0.375, 2)
+
+
+def test_expected_information_against_all_overlaps():
+    from math import comb, log
+
+    for x, y, n in ((3, 4, 10), (50, 60, 200), (199, 3, 200), (1, 1, 2), (7, 7, 7)):
+        want = sum(k / n * log(n * k / (x * y)) * comb(y, k) * comb(n - y, x - k) / comb(n, x) for k in range(max(1, x + y - n), min(x, y) + 1))
+        assert metrics.expected_information(x, y, n) == pytest.approx(want, abs=1e-12)
+
+
+def test_loop_figures_of_cells_without_predictions(spark):
+    ref = spark.createDataFrame([("chr1", 100000, 300000)], "chrom1 string, x1 long, y1 long")
+    pred = spark.createDataFrame([("c", "chr1", 100000, 300000)], "cell_id string, chrom1 string, x1 long, y1 long")
+    cells = spark.createDataFrame([("c",), ("d",)], "cell_id string")
+    got = {r.cell_id: tuple(r)[1:] for r in loops.evaluate(pred, ref, cells=cells).collect()}
+    assert got == {"c": (1, 1, 1.0, 1.0, 1.0), "d": (0, 1, 0.0, 0.0, 0.0)}
+
+
+def test_near_share_of_training_negatives():
+    rng = np.random.default_rng(0)
+    for n, want in ((2000, 500), (300, 100)):
+        a, b = training._negatives(rng, n, {(0, 5)}, want)
+        near = int(((b - a >= 5) & (b - a <= 100)).sum())
+        assert len(a) == want and (a < b).all() and len(set(zip(a.tolist(), b.tolist(), strict=True))) == want
+        # uniform pairs are near too where the graph is short
+        assert int(want * 0.7) <= near < want
+    assert len(training._negatives(rng, 3, {(0, 1)}, 9)[0]) == 2
+
+
+def test_checkpoints_go_on_where_they_stopped(spark):
+    cfg = model.ModelConfig(4, 8, 4, target_dim=3, loop_dim=4)
+    p, g = model.init_params(cfg), _tiny_graphs(spark, 2)
+    at = training.TrainConfig(epochs=2, rate=1e-2)
+    whole = training.train(g, p, training.TrainConfig(epochs=4, rate=1e-2))
+    half = training.load_trained(training.dump_trained(training.train(g, p, at)))
+    rest = training.train(g, p, at, resume=half)
+    assert [round(h["train"], 9) for h in rest.history] == [round(h["train"], 9) for h in whole.history]
+    assert all(np.allclose(rest.params[k], whole.params[k]) for k in p)
+    again = {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in model.params_table(spark, p).collect()}
+    assert all(np.array_equal(again[k], p[k]) for k in p) and model.load_params(training.dump_trained(whole)).keys() == p.keys()
+
+
+def test_stored_negatives_in_validation(spark):
+    p = model.init_params(model.ModelConfig(4, 8, 4, target_dim=3, loop_dim=4))
+    g = _tiny_graphs(spark, 2)
+    stored = g.withColumns({"neg_src": F.array(F.lit(0), F.lit(1)), "neg_dst": F.array(F.lit(11), F.lit(99))})
+    losses = {training._pass(d, p, training.TrainConfig(seed=s), 0, False)[0] for s in (1, 2) for d in (stored,)}
+    assert len(losses) == 1 and training._pass(g, p, training.TrainConfig(seed=1), 0, False)[0] not in losses
+    s = model.score_edges(g, p, spark.createDataFrame([("c0", "chr1", 0, 11)], "cell_id string, chrom string, src int, dst int")).collect()
+    assert {r.cell_id for r in s} == {"c0"} and sum(r.y == 0 for r in s) == 1 and sum(r.y for r in s) == len(g.filter("cell_id = 'c0'").first()["src"])
+    weighted = training.weighted_total(F.lit(1.0), F.lit(2.0), F.lit(None).cast("double"), training.FINETUNE)
+    assert spark.range(1).select(weighted).first()[0] == pytest.approx(0.2 + 1.2)
+
+
+def test_small_helpers(spark):
+    from chromalith.functions import columns as C
+    from chromalith.operators import features, graphs
+
+    df = spark.createDataFrame([("c", "chr1", 2, 3, 0.5, 0.0)], "cell_id string, chrom string, src int, dst int, score double, logit double")
+    key = C.edge_key(F.col("src"), F.col("dst"), F.lit(10))
+    assert df.select(key, *C.edge_of_key(key, F.lit(10))).first()[0:3] == (23, 2, 3)
+    assert tuple(loops.as_points(loops.to_bedpe(df.withColumn("logit", F.lit(3.0)), 10, 0.5)).first()) == ("c", "chr1", 20, 30)
+    assert df.select(features.vector(F.col("src"))).first()[0] == [2]
+    dims = spark.createDataFrame([("c", "chr1", 3)], "cell_id string, chrom string, n_bins int")
+    assert graphs.within_nodes(df, dims).count() == 0 and graphs.within_nodes(df, dims.withColumn("n_bins", F.lit(4))).count() == 1
+    split = spark.createDataFrame([("c", "val")], "cell_id string, split string")
+    assert graphs.in_split(df, split, "val").count() == 1 and graphs.in_split(df, split, "train").count() == 0
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 6)], "k string, position int, v int")
+    from chromalith.sources.readers import last_by_position
+
+    assert [r.v for r in last_by_position(rows, "k").collect()] == [6]
+    bins = spark.createDataFrame([("chr1", 1, "ACG"), ("chr1", 2, "")], "chrom string, bin int, sequence string")
+    emb = features.sequence_embedding(bins, lambda: lambda texts: [[len(t), 1] for t in texts], 2)
+    assert sorted((r.bin, list(r.emb)) for r in emb.collect()) == [(1, [3.0, 1.0]), (2, [0.0, 1.0])]
+    with pytest.raises(Exception, match="other than 3"):
+        features.sequence_embedding(bins, lambda: lambda texts: [[1, 1] for _ in texts], 3).collect()

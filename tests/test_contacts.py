@@ -73,12 +73,22 @@ def test_canonical_is_a_filter(spark):
     assert sorted(tuple(r) for r in graphs.normalized_edges(e).collect()) == [(1, 2), (4, 5)]
 
 
-def test_splits():
-    train, val = graphs.split_cells([f"c{i}" for i in range(10)], None, 0.2, 42, stratified=False)
-    assert sorted(val) == ["c5", "c6"] and len(train) == 8
-    cells = [f"a{i}" for i in range(5)] + ["x"]
-    train, val = graphs.split_cells(cells, {c: "A" for c in cells[:5]}, 0.5)
-    assert len(val) == 2 and "x" in train
+def test_split_files(spark):
+    files = spark.createDataFrame([(f"{c}_{k}", c) for c in [f"a{i}" for i in range(5)] + ["x"] for k in "12"], "file string, cell_id string")
+    labels = spark.createDataFrame([(f"a{i}", "A") for i in range(5)], "cell_id string, cell_type string")
+    got = graphs.split_files(files, labels, 0.5).collect()
+    assert len(got) == 12 and {r.split for r in got if r.cell_id == "x"} == {"train"}
+    assert len({r.cell_id for r in got if r.split == "val"}) == 2 and all(len({r.split for r in got if r.cell_id == c}) == 1 for c in ("a0", "a1", "a2"))
+    for some in (None, labels.limit(0)):
+        assert graphs.split_counts(graphs.split_files(files, some, 0.5)).first().asDict() == {"n_total_files": 12, "n_train_files": 6, "n_val_files": 6, "n_total_cells": 6, "n_train_cells": 3, "n_val_cells": 3}
+
+
+def test_stored_negatives_serve_validation(spark):
+    pos = spark.createDataFrame([("c", "chr1", i, i + 1) for i in range(20)], "cell_id string, chrom string, src int, dst int")
+    d = spark.createDataFrame([("c", "chr1", 30)], "cell_id string, chrom string, n_bins int")
+    kept = spark.createDataFrame([("c", "chr1", 1, 9), ("c", "chr1", 2, 30)], "cell_id string, chrom string, src int, dst int")
+    assert [tuple(r)[2:] for r in graphs.negatives_for("val", pos, d, kept).select("cell_id", "chrom", "src", "dst").collect()] == [(1, 9)]
+    assert graphs.negatives_for("train", pos, d, kept).count() == 20 == graphs.negatives_for("val", pos, d).count()
 
 
 def test_loop_groups(spark):
