@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chromalith.llm._store import stored
+
 # the most common words of English, French, German and Spanish
 ANCHORS = (
     "the of and to in a is that it for on was as with be by at this are or from an he not but his her they which you were have had "
@@ -34,9 +36,33 @@ END = "$"
 GLUE = "\x01"
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), the value being found once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _alternatives(words) -> str:
+    """A pattern for any of the words, the longest first, by their common beginnings: few of them are tried at a place."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [c + pattern(node[c]) for c in sorted(node) if c]
+        if "" in node:
+            return f"(?:{'|'.join(ways)})?+" if ways else ""
+        return f"(?:{'|'.join(ways)})" if len(ways) > 1 else ways[0]
+
+    return pattern(tree)
+
+
 def flat_words(text: Column) -> Column:
-    words = F.lower(F.translate(F.coalesce(text, F.lit("")), PUNCTUATION, " " * len(PUNCTUATION)))
-    return F.concat(F.lit(f" {START} "), words, F.lit(" "))
+    """The words behind the mark of the text's start, lower-cased, with one blank before and after each."""
+    gaps = "".join(f"\\x{ord(c):02x}" for c in PUNCTUATION)
+    return F.regexp_replace(F.concat(F.lit(f" {START} "), F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{gaps} ]+", " ")), F.lit(" ")), " +", " ")
 
 
 def signatures(text: Column, anchors: tuple[str, ...] | list[str] = tuple(ANCHORS), chain: int = 2) -> Column:
@@ -46,30 +72,27 @@ def signatures(text: Column, anchors: tuple[str, ...] | list[str] = tuple(ANCHOR
     one run of other characters than the blank; the patterns then need no repeated groups, whose matching would
     recurse in long texts. Runs of blanks are one blank by then, as a pattern must not meet GLUE after a blank.
     """
-    common = "|".join(sorted(set(anchors), key=lambda a: (-len(a), a)))
-    flat = F.regexp_replace(flat_words(text), " +", " ")
-    glued = F.concat(F.lit(" "), F.regexp_replace(flat, f" ({common}|\\^)(?= )", f"{GLUE}$1"))
+    glue = lambda flat: F.concat(F.lit(" "), F.regexp_replace(flat, f" ({_alternatives(anchors)}|\\^)(?= )", f"{GLUE}$1"))
     word = f"[^{GLUE} ]++"
-    # a word, the common words after it and the next content words, or adjacent content words only; the look-ahead
-    # lets chains overlap, and every run of common words is met once, from the word before it
-    after = f"[^{GLUE} ]*+{GLUE}[^ ]++ {word}{f'[^ ]*+ {word}' * (chain - 1)}"
-    pattern = f" (?=({after}|{f'{word} ' * chain}(?!\\{END}){word}))"
-    found = F.regexp_extract_all(F.concat(glued, F.lit(f"{END} " * chain)), F.lit(pattern), F.lit(1))
+    # from one common word to the next: it and the next content words, whatever common words are glued between them; of what
+    # is behind the last one nothing is left
+    ahead = "[^ ]*+ " + "[^ ]*+ ".join([f"({word})"] * chain)
+    anchored = f"[^{GLUE}]*+{GLUE}([^ {GLUE}]++)(?={ahead})|[^{GLUE}]*+\\z"
+    told = GLUE + " ".join(f"${k}" for k in range(1, chain + 2))
+    # content words only, none of which but the last has a common word behind it; the look-ahead lets them overlap
+    plain = f" (?=({f'{word} ' * chain}(?!\\{END}){word}))"
     low = lambda c: F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF))
 
-    def chains(s: Column) -> Column:
-        """The hashed chain of each common word of a run, or of the content words themselves."""
-        run = F.substring_index(s, " ", 1)
-        content = F.regexp_replace(F.substring(s, F.length(run) + 1, F.length(s)), f"{GLUE}[^ ]*", "")
-        parts = F.split(run, GLUE)
-        heads = F.when(F.size(parts) > 1, F.array_distinct(F.slice(parts, 2, F.size(parts)))).otherwise(parts)
-        return F.transform(heads, lambda a: low(F.concat(a, content)))
+    def of(flat: Column, glued: Column) -> Column:
+        far = F.concat(glued, F.lit(f"{END} " * chain))
+        chains = F.filter(F.split(F.regexp_replace(far, anchored, told), GLUE), lambda c: ~c.isin("", " " * chain))
+        hashed = F.transform(F.concat(chains, F.regexp_extract_all(far, F.lit(plain), F.lit(1))), low)
+        few = ~glued.rlike(f" {word}" + f"[^ ]*+ {word}" * (chain - 1))
+        free = ~glued.rlike(f"{GLUE}[^\\^]")
+        whole = F.array(low(flat))
+        return F.sort_array(F.array_distinct(F.when(few, whole).when(free, F.concat(hashed, whole)).otherwise(hashed)))
 
-    whole = F.array(low(flat))
-    hashed = F.flatten(F.transform(found, chains))
-    few = ~glued.rlike(f" {word}" + f"[^ ]*+ {word}" * (chain - 1))
-    free = ~glued.rlike(f"{GLUE}[^\\^]")
-    return F.sort_array(F.array_distinct(F.when(few, whole).when(free, F.concat(hashed, whole)).otherwise(hashed)))
+    return _once(flat_words(text), lambda flat: _once(glue(flat), lambda glued: of(flat, glued)))
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -81,7 +104,7 @@ def likeness(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_block: int = 5000) -> DataFrame:
+def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_block: int = 1000) -> DataFrame:
     """Each document's fingerprint against that of its edited text and of the next document by descending identifier.
 
     Identifiers are cut into blocks of about per_block rows in which the next row is a window's; to every block goes
@@ -96,7 +119,8 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tops = rows.groupBy(block.alias("block")).agg(F.max("id").alias("top"))
     every = W.orderBy("block")
     tops = tops.withColumn("into", F.coalesce(F.lead("block").over(every), F.first("block").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
-    guests = rows.join(F.broadcast(tops), rows["id"].eqNullSafe(tops["top"])).select("id", "text", F.col("into").alias("block"), F.lit(1).alias("guest"))
+    tops = stored(tops, "spot-tops")  # its size is known then, and decides how it is joined
+    guests = rows.join(tops, rows["id"].eqNullSafe(tops["top"])).select("id", "text", F.col("into").alias("block"), F.lit(1).alias("guest"))
     rows = rows.select("id", "text", block.alias("block"), F.lit(0).alias("guest")).unionByName(guests)
     # signatures are found behind the shuffle, which so moves texts only
     rows = rows.repartition("block").withColumn("sigs", signatures(F.col("text")))
