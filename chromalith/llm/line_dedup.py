@@ -19,36 +19,50 @@ rows. Further columns are ignored by `line_report` and kept by `without_lines`.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromalith.llm._store import stored
+from chromalith.llm._store import release, stored
 from chromalith.llm.exact_dedup import located
 from chromalith.llm.ngram_join import row_keys
 
 BUCKETS = 1 << 19
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
+RARE_BLANKS = "\t\x0b\f\r"
 
 
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(line, BLANKS), "")
+def words_of(text: Column) -> Column:
+    """Most texts have no other blanks than the space and the line's end; these are split without a pattern."""
+    odd = reduce(or_, (F.contains(text, F.lit(b)) for b in RARE_BLANKS))
+    return F.array_remove(F.when(odd, F.split(text, BLANKS)).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")), "")
+
+
+def _hash(word: Column) -> Column:
+    return F.xxhash64(word)
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.hash(word), F.lit(BUCKETS))
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def rarity_levels(docs: DataFrame, text_col: str) -> Column:
     """4 * log2 of the number of words in each hash bucket, below 128: a constant of one byte for each bucket."""
     words = docs.select(F.explode(words_of(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
-    counts = words.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts = words.groupBy(_bucket(_hash(F.col("w"))).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    level = F.least(F.lit(127), F.round(4 * F.log2(F.col("n").cast("double"))).cast("int"))
+    # packed on the executors: the driver gets 128 strings of a few KB, whatever the corpus
+    parts = counts.select("b", level.alias("level")).filter("level > 0").groupBy(F.expr("b div 4096").alias("part"))
     table = bytearray(BUCKETS)
-    for b, level in counts.select("b", F.least(F.lit(127), F.round(4 * F.log2(F.col("n").cast("double"))).cast("int"))).toLocalIterator():
-        table[b] = level
+    for _, codes in parts.agg(F.collect_list(F.expr("b * 128 + level"))).collect():
+        for code in codes:
+            table[code >> 7] = code & 127
     return F.lit(table)
 
 
@@ -60,15 +74,16 @@ def lines_at(texts: DataFrame) -> DataFrame:
 
 def line_sets(texts: DataFrame, levels: Column) -> DataFrame:
     """at, n and the ordered codes of the words of every line that has words."""
-    rarity = lambda w: F.ascii(F.substring(levels, _bucket(w) + 1, F.lit(1)).cast("string")).cast("long")
-    code = lambda w: F.shiftleft(rarity(w), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
-    codes = F.sort_array(F.array_distinct(F.transform(words_of(F.col("text")), code)))
-    return lines_at(texts).select("at", codes.alias("codes")).select("at", F.size("codes").alias("n"), "codes").filter("n > 0")
+    rarity = lambda h: F.ascii(F.substring(levels, _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
+    code = lambda h: F.shiftleft(rarity(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    codes = F.sort_array(F.transform(F.array_distinct(F.transform(words_of(F.col("text")), _hash)), code))
+    # exploded from an array of one: else what is derived from the codes would find them anew each time
+    return lines_at(texts).select("at", F.explode(F.array(codes)).alias("codes")).select("at", F.size("codes").alias("n"), "codes").filter("n > 0")
 
 
 def class_rows(sets: DataFrame, percent: int) -> DataFrame:
     """A row for each line: at, n, two hashes of its set, and the prefix of its codes."""
-    prefix = F.expr(f"slice(codes, 1, n - cast(ceil({percent} * n / 100) as int) + 1)")
+    prefix = F.expr(f"slice(codes, 1, n - cast(({percent} * n + 99) div 100 as int) + 1)")
     return sets.select("at", "n", F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit(7), "codes").alias("h2"), prefix.alias("prefix"))
 
 
@@ -107,10 +122,11 @@ def texts_of(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _gone(texts: DataFrame, percent: int) -> DataFrame:
     """id, key, line (from 0) of every line of texts (key, id, text) that goes."""
-    rows = class_rows(line_sets(texts, rarity_levels(texts, "text")), percent)
+    rows = stored(class_rows(line_sets(texts, rarity_levels(texts, "text")), percent), "line-rows")
     # rows of one class in one task are merged there before anything is shuffled
     classes = stored(rows.groupBy("n", "h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("lines"), F.first("prefix").alias("prefix")), "line-classes")
-    post = classes.select("at", "n", F.posexplode("prefix").alias("pos", "code"))
+    # a word of level 0 occurs once in the corpus, so no other line has it
+    post = classes.select("at", "n", F.posexplode("prefix").alias("pos", "code")).filter(F.col("code") >= 1 << 56)
     lists = post.groupBy("code").agg(F.min(F.struct("at", "n", "pos")).alias("low"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     heads = lists.select("code", "low.at", "low.n", "low.pos")
     lists = stored(heads, "line-heads")
@@ -119,6 +135,7 @@ def _gone(texts: DataFrame, percent: int) -> DataFrame:
     shared = post.join(lists.select("code"), "code", "left_semi")
     rest = shared.join(settled, "at", "left_anti")
     second = stored(_bounded(_meet(rest, shared, percent), classes, percent).join(first, ["a", "b"], "left_anti"), "line-pairs")
+    release(first, lists)
     matched = settled.unionByName(_verified(second, texts, percent))
     # of a matched class every line goes, of another all but its first
     heads = classes.select("n", "h1", "h2", F.col("at").alias("head")).join(matched.withColumnRenamed("at", "head").withColumn("gone", F.lit(True)), "head", "left")
