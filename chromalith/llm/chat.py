@@ -38,8 +38,9 @@ def unescape(text: Column) -> Column:
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_col, formatted, mask (array of start, end) for each conversation."""
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    turn = F.struct(F.col(turn_col).alias("turn"), escape(blank(role_col)).alias("role"), escape(blank(text_col)).alias("text"))
+    turn = F.struct(F.col(turn_col).alias("turn"), blank(role_col).alias("role"), blank(text_col).alias("text"))
     chats = turns.groupBy(F.col(conv_col).alias("c")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    chats = chats.select("c", F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"))).alias("turns"))
     # where a run of one role begins, the turn opens a block; inside a run only a separator stands before the text
     opens = F.transform("turns", lambda t, i: F.struct(t["text"].alias("text"), (t["role"] == ASSISTANT).alias("own"),
         F.when((i > 0) & (F.get("turns", i - 1)["role"] == t["role"]), F.lit(NEXT))
