@@ -18,8 +18,9 @@ nothing. Documents link when 100 * intersection >= percent * union.
    like; then the smaller families of a component are searched against all others. A component too large for a
    block is cut into parts by hash, and every two parts meet in a block of their own.
 
-Null texts count as empty. Rows of one identifier are taken together as copies of the smallest; repeated rows give
-repeated results. An empty table gives no rows. Only the identifier and the text are read.
+Null texts count as empty. Rows are known by keys of their own, so identifiers may be of any type, null or repeated; a
+component is named by its smallest identifier, null if all are null. An empty table gives no rows. `ngram_components`
+reads the identifier and the text only, `keep_one` keeps all columns.
 """
 
 from __future__ import annotations
@@ -381,8 +382,8 @@ def blocks_of(parts: DataFrame, sizes: DataFrame) -> DataFrame:
     return small.unionByName(large)
 
 
-def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id for every row; the identifier must be an integer."""
+def row_components(docs: DataFrame, k: int, percent: int, id_col: str = "key", text_col: str = "text") -> DataFrame:
+    """id_col, n_shingles, component_id for every row; the identifier must be an integer of the row's own."""
     bound_batches(docs.sparkSession)
     rarity = word_counts(docs, text_col)
     sets = stored(set_rows(docs, rarity, k, percent, id_col, text_col), "join-sets")
@@ -403,6 +404,16 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
+def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_shingles, component_id for every row, component_id being the smallest identifier of the component, null if it
+    has none."""
+    rows = row_keys(located(docs, [id_col, text_col]))
+    texts = rows.select("key", F.col(f"doc.`{text_col}`").alias("text"))
+    comps = stored(row_components(texts, k, percent), "join-components").join(rows.select("key", F.col(f"doc.`{id_col}`").alias("id")), "key")
+    low = comps.groupBy("component_id").agg(F.min("id").alias("low"))
+    return comps.join(low, "component_id").select(F.col("id").alias(id_col), "n_shingles", F.col("low").alias("component_id"))
+
+
 def row_keys(docs: DataFrame) -> DataFrame:
     """doc (a struct of all columns) and key, a number of the row's own; docs must have file locators. Rows are
     numbered through, file after file."""
@@ -410,7 +421,7 @@ def row_keys(docs: DataFrame) -> DataFrame:
     sizes = rows.groupBy("file").agg((F.max("row") + 1).alias("n"))
     before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
     offsets = stored(sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "join-offsets")
-    return rows.join(F.broadcast(offsets), "file").select("doc", (F.col("before") + F.col("row")).alias("key"))
+    return rows.join(offsets, "file").select("doc", (F.col("before") + F.col("row")).alias("key"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -421,6 +432,6 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     """
     rows = row_keys(located(docs, docs.columns))
     texts = rows.select("key", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").alias("text"))
-    comps = ngram_components(texts.select("key", "text"), k, percent, "key", "text")
+    comps = stored(row_components(texts.select("key", "text"), k, percent), "join-components")
     first = comps.join(texts.select("key", "id"), "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first"))
     return rows.join(first.select("first.key"), "key", "left_semi").select("doc.*")

@@ -258,6 +258,14 @@ def test_ngram_components(spark, monkeypatch, k, percent, lists):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in out} == brute_components(texts, k, percent)
 
 
+def test_ngram_null_and_repeated_identifiers(spark):
+    a, b, c = (words(60, i, 5000) for i in range(3))
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    rows = [("x", " ".join(a)), ("x", " ".join(b)), ("m", near(b)), (None, near(a)), (None, " ".join(c)), (None, near(c)), ("z", None), (None, "")]
+    got = sorted(map(tuple, ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id string, text string")).collect()), key=str)
+    assert got == sorted([("x", 57, "x"), ("x", 57, "m"), ("m", 57, "m"), (None, 57, "x"), (None, 57, None), (None, 57, None), ("z", 0, "z"), (None, 0, None)], key=str)
+
+
 def test_ngram_large_component_is_cut(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_POSTINGS", 400)
     texts = near_corpus(3, 30)
@@ -331,6 +339,24 @@ def test_spotsigs(spark):
     assert spotsigs.edited_pairs(corpus(spark, EDGE).limit(0)).count() == 0
 
 
+def test_spotsigs_likeness_against_plain_python(spark):
+    r = random.Random(9)
+    bits = ["the", "of", "a", *"uvwxyz", "cat", "Dog", ", ", "\n", "é", "\x02", "\x85"]
+    texts = [*SPOTS, *EDGE, *(" ".join(r.choice(bits) for _ in range(r.randrange(40))) for _ in range(60))]
+    texts += texts[-3:]
+    edited = [(t or "")[: len(t or "") - len(t or "") // 2] + (texts[i - 1] or "")[: len(t or "") // 2] for i, t in enumerate(texts)]  # next by descending id
+    code = spot_hashes(spark, set().union(*map(spot_all, [*texts, *edited])))
+    of = lambda t: {code[c] for c in spot_all(t)}
+    like = lambda x, y: len(x & y) / len(x | y)
+    hexes = lambda x: " ".join(f"{v:x}" for v in sorted(x))
+    for x in spotsigs.edited_pairs(corpus(spark, texts), per_block=7).collect():
+        i = x.doc_id
+        mine, other, after = of(texts[i]), of(edited[i]), of(texts[i - 1])
+        assert (x.n_chars, x.edited_sha256) == (len(texts[i] or ""), hashlib.sha256(edited[i].encode()).hexdigest())
+        assert (x.fingerprint, x.edited_fingerprint) == (hexes(mine), hexes(other)), texts[i]
+        assert x.near_edited == pytest.approx(like(mine, other)) and x.near_next == pytest.approx(like(mine, after))
+
+
 SPOTS = ["of cat, the dog", "In of, the  cat -- and, the (dog) house; a bird", "the of " * 50 + "cat, of the dog", "one, two. The three", "cat the", "x  the\ty of\n\nthe z"]
 
 
@@ -398,16 +424,15 @@ def test_chat_round_trip(spark):
         for t in range(r.randrange(1, 8)):
             text = None if r.random() < 0.1 else "".join(r.choice(bits) for _ in range(r.randrange(8)))
             rows.append((c, t, r.choice(["user", "assistant", "system", None, "a[b"]), text, "extra"))
-    rows += [(None, 0, "user", "x", ""), (7, 0, "user", "dup", ""), (7, 0, "user", "dup", ""), (8, None, "assistant", "n", "")]
+    rows += [(None, 0, "user", "x", ""), (7, 0, "user", "dup", ""), (7, 0, "user", "dup", ""), (8, None, "assistant", "n", ""), *((41, 0, "user", x, "") for x in "[<\\az")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string").repartition(4)
     out = {x.conv_id: x for x in chat.digests(chat.format_chats(df)).collect()}
     convs = defaultdict(list)
     for c, t, role, text, _ in rows:
         convs[c].append((t is not None, t or 0, role or "", text or ""))
-    esc = lambda s: s.replace("\\", "\\\\").replace("[", "\\(").replace("<", "\\{")
     assert set(out) == set(convs)
     for c, turns in convs.items():
-        turns.sort(key=lambda x: (x[0], x[1], esc(x[2]), esc(x[3])))
+        turns.sort()
         said = "".join(f"{x[2]}\n{x[3]}\n" for x in turns)
         loss = "".join(x[3] for x in turns if x[2] == "assistant")
         assert out[c].n_turns == len(turns) and out[c].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
