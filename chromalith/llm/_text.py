@@ -7,6 +7,9 @@ passes over its bytes; a finaliser then spreads the bits.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +21,18 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system at a task's end: workers live on, and other operators need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser for 64-bit values."""
     h = h ^ (h >> U(33))
@@ -33,7 +44,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    size = 1 << max(20, int(n).bit_length())
+    size = 1 << max(19, int(n).bit_length())
     if size not in _powers:
         out = []
         for b in (BASE, pow(BASE, -1, 1 << 64)):

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chromalith.llm._text import give_back
+
 #: Texts longer than this share of a sample's bytes aren't drawn, so that no one text fills the sample.
 LONGEST = 0.1
 
@@ -53,6 +55,8 @@ def learn_from(sample: DataFrame, train: Callable[[pa.ChunkedArray, np.ndarray],
         texts = pa.chunked_array([b.column("text") for b in held], pa.string())
         y = np.concatenate([b.column("y").to_numpy() for b in held]).astype(np.int64) if held else np.zeros(0, np.int64)
         found = train(texts, y)
+        del held, texts
+        give_back()
         yield pa.RecordBatch.from_pylist([{n: found[n] for n in names}])
 
     found = sample.repartition(1).sortWithinPartitions("place").select("text", "y").mapInArrow(run, schema).first()

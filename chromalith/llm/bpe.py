@@ -23,10 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from chromalith.llm._text import give_back
+
 #: Within these characters letters and digits are plain ranges, so the standard library's faster matcher does.
 LATIN_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
 BEYOND_LATIN = re.compile(f"[^\\x00-\\x1b!-~ {LATIN_LETTERS}]").search
-CACHE_WORDS = 250_000
+CACHE_WORDS = 80_000
 LONGEST_KEPT = 64
 
 
@@ -202,6 +204,7 @@ def encode_table(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
                     c.append(found[k])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, kinds[k]) for k, c in cols.items())], ["k", *kinds])
         bpe.forget()
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"k {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded

@@ -68,6 +68,8 @@ def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
                 at, n = np.unique(_text.Words(data, offsets).hashes >> U(64 - SKETCH_BITS), return_counts=True)
                 total[at.astype(np.int64)] += n.astype(np.int32)
         yield rows({i: total[i * width : (i + 1) * width] for i in range(parts)})
+        del total
+        _text.give_back()
 
     def add(batches):
         totals = {}
@@ -137,6 +139,7 @@ def set_rows(docs: DataFrame, rarity: np.ndarray, k: int, percent: int, id_col:
             flat = np.concatenate([np.asarray(p, np.int64) for p in prefix]) if len(prefix) else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_out, pa.int64()), pa.array(sig_a), pa.array(sig_b), lists], ["id", "n", "sig_a", "sig_b", "prefix"])
+        _text.give_back()
 
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).mapInArrow(run, f"id {kind}, n bigint, sig_a bigint, sig_b bigint, prefix array<bigint>")
 
@@ -202,6 +205,8 @@ def postings(reps: DataFrame) -> DataFrame:
                 ids, sizes, pre, held = [], [], [], 0
         if held:
             yield from flush()
+        ids, sizes, pre = [], [], []
+        _text.give_back()
 
     return reps.select("id", "n", "prefix").mapInArrow(run, POSTING)
 
@@ -362,6 +367,8 @@ def verified_edges(docs: DataFrame, blocks: DataFrame, k: int, percent: int, id_
             sets += [np.unique(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         _, first = np.unique(ids, return_index=True)  # rows of one identifier are one document
         edges = search_block(ids[first], table["part"].to_numpy()[first], [sets[i] for i in first], percent)
+        del sets
+        _text.give_back()
         return pa.table({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
 
     return texts.groupBy("block").applyInArrow(search, "u bigint, v bigint")

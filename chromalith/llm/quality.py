@@ -150,6 +150,7 @@ def score(docs: DataFrame, model: Folded, text_col: str = "text", keep: list[str
         for batch in batches:
             found = scores_of(batch.column(0), table, bias)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.float64())], [*batch.schema.names[1:], "score"])
+        _text.give_back()
 
     kinds = ", ".join(f"`_{i}` {f.dataType.simpleString()}" for i, f in enumerate(schema))
     out = docs.select(F.col(f"`{text_col}`").alias("_t"), *[F.col(f"`{n}`").alias(f"_{i}") for i, n in enumerate(names)]).mapInArrow(run, f"{kinds}, score double")

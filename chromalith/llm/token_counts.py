@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chromalith.llm._text import give_back
 from chromalith.llm.bpe import byte_symbols, merge_word
 
 # fixed values: the pattern that cuts texts into words before byte-level BPE
@@ -33,7 +34,7 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{LETTER}+| ?{DIGIT}+| ?[^\s{LETTER}{DIGIT
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 BEYOND_LATIN = re.compile(f"[^\\x00-\\x1b!-~ {LATIN}]").search
 #: Characters in the keys of one generation of the memo of words.
-MEMO_CHARS = 3_000_000
+MEMO_CHARS = 1_000_000
 LONGEST_KEPT = 64
 
 
@@ -168,6 +169,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, fields: list[str] | None = No
             flat = np.concatenate(sections) if sections else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))], ["k", "n_tokens", "n_sections", "section_tokens"])
         bpe.memo.forget()
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("k"), *[F.col(f"`{c}`").cast("string").alias(f"f{i}") for i, c in enumerate(names)])

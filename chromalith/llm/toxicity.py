@@ -145,6 +145,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                         mine[d].append({"start": int(a), "end": int(b), "score": float(1 / (1 + np.exp(-z[k])))})
                 spans += mine
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found) if found else [], pa.float64()), pa.array(spans, pa.list_(span))], ["k", "score", "offending"])
+        _text.give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("t")).mapInArrow(run, f"k {kind}, score double, offending array<struct<start: bigint, end: bigint, score: double>>")
