@@ -28,7 +28,7 @@ from chromalith.llm._text import give_back
 #: Within these characters letters and digits are plain ranges, so the standard library's faster matcher does.
 LATIN_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
 BEYOND_LATIN = re.compile(f"[^\\x00-\\x1b!-~ {LATIN_LETTERS}]").search
-CACHE_WORDS = 80_000
+CACHE_WORDS = 160_000
 LONGEST_KEPT = 64
 
 
