@@ -39,45 +39,56 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)]
 
 
-def merge_word(ids: list[int], pairs: dict[int, int], made: list[int]) -> list[int]:
+class Ranks(dict):
+    """The merge rank of a pair, by its left symbol and then its right one: ranks[left].get(right)."""
+
+    NONE: dict[int, int] = {}
+
+    def add(self, left: int, right: int, rank: int) -> None:
+        self.setdefault(left, {})[right] = rank
+
+    def __missing__(self, left):
+        return self.NONE
+
+
+def merge_word(ids: list[int], pairs: Ranks, made: list[int]) -> list[int]:
     """Merge by lowest rank, leftmost first, until no ranked pair is left.
 
-    ids: a symbol id for each position; pairs: (left << 24 | right) to rank; made: rank to the new symbol's id.
+    ids: a symbol id for each position; pairs: ranks of pairs; made: rank to the new symbol's id.
     """
     n = len(ids)
     if n == 1:
         return ids
-    get = pairs.get
     shift = n.bit_length()
-    queue = []
-    for i in range(n - 1):
-        r = get(ids[i] << 24 | ids[i + 1])
-        if r is not None:
-            queue.append(r << shift | i)
+    ranks = [pairs[a].get(b, -1) for a, b in zip(ids, ids[1:], strict=False)]
+    queue = [r << shift | i for i, r in enumerate(ranks) if r >= 0]
     if not queue:
         return ids
     heapq.heapify(queue)
     pop, push, mask = heapq.heappop, heapq.heappush, (1 << shift) - 1
+    ranks.append(-1)  # ranks[i]: of the pair that begins at i now
     after = [*range(1, n), -1]
     before = [*range(-1, n - 1)]
     while queue:
         top = pop(queue)
-        i = top & mask
-        j = after[i]
-        if j < 0 or ids[i] < 0 or get(ids[i] << 24 | ids[j]) != top >> shift:
+        i, r = top & mask, top >> shift
+        if ranks[i] != r:
             continue  # stale: one of the two has merged since
-        new = ids[i] = made[top >> shift]
-        ids[j] = -1
+        j = after[i]
+        new = ids[i] = made[r]
+        ids[j] = ranks[j] = -1
         k = after[i] = after[j]
         if k >= 0:
             before[k] = i
-            r = get(new << 24 | ids[k])
-            if r is not None:
+            r = ranks[i] = pairs[new].get(ids[k], -1)
+            if r >= 0:
                 push(queue, r << shift | i)
+        else:
+            ranks[i] = -1
         p = before[i]
         if p >= 0:
-            r = get(ids[p] << 24 | new)
-            if r is not None:
+            r = ranks[p] = pairs[ids[p]].get(new, -1)
+            if r >= 0:
                 push(queue, r << shift | p)
     return [x for x in ids if x >= 0]
 
@@ -116,10 +127,10 @@ class WordBpe:
         name = lambda s: known.setdefault(s, len(known) + (1 << 20))
         self.byte_ids = [name(s) for s in symbols]
         self.last_ids = [name(s + self.suffix) for s in symbols]
-        self.pairs, self.made = {}, []
+        self.pairs, self.made = Ranks(), []
         for i, m in enumerate(model["merges"]):
             left, right = m if isinstance(m, list) else m.split(" ")
-            self.pairs[name(left) << 24 | name(right)] = i
+            self.pairs.add(name(left), name(right), i)
             self.made.append(name(left + right))
         self.complete = max(*self.byte_ids, *self.last_ids) < 1 << 20
         self.memo, self.old = _Memo(self._word), {}

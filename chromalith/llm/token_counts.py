@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromalith.llm._text import give_back
-from chromalith.llm.bpe import byte_symbols, merge_word
+from chromalith.llm.bpe import Ranks, byte_symbols, merge_word
 
 # fixed values: the pattern that cuts texts into words before byte-level BPE
 LETTER, DIGIT = r"\p{L}", r"\p{N}"
@@ -75,10 +75,10 @@ class ByteBpe:
         vocab = model["vocab"]
         self.bytes_of = {i: len(s) for s, i in vocab.items()}
         self.byte_ids = [vocab[s] for s in byte_symbols()]
-        self.pairs, self.made = {}, []
+        self.pairs, self.made = Ranks(), []
         for i, m in enumerate(model["merges"]):
             left, right = m if isinstance(m, list) else m.split(" ")
-            self.pairs[vocab[left] << 24 | vocab[right]] = i
+            self.pairs.add(vocab[left], vocab[right], i)
             self.made.append(vocab[left + right])
         self.find = regex.compile(PATTERN).findall
         self.find_latin = re.compile(PATTERN.replace(LETTER + DIGIT, f"{LATIN}0-9").replace(LETTER, f"[{LATIN}]").replace(DIGIT, "[0-9]")).findall
