@@ -38,6 +38,25 @@ def words(n, seed=0, vocab=400):
 EDGE = [None, "", " \t\n", "a", "a b", "the", "x" * 5000, "Hé llo", "same text here today", "same text here today", " ".join(words(300))]
 
 
+def test_merges_equal_a_plain_loop():
+    """Lowest rank first, leftmost of equal ones, pairs looked up anew after each merge; few symbols, so many are equal and go stale."""
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        pairs, made, plain = bpe.Ranks(), [], {}
+        for rank in range(int(rng.integers(1, 30))):
+            left, right = (int(x) for x in rng.integers(0, 4 + rank, 2))
+            if (left, right) not in plain:
+                pairs.add(left, right, len(made))
+                plain[left, right] = len(made)
+                made.append(4 + len(made))
+        word = [int(x) for x in rng.integers(0, 4, int(rng.integers(1, 60)))]
+        want = list(word)
+        while ranked := [(plain[p], i) for i, p in enumerate(zip(want, want[1:], strict=False)) if p in plain]:
+            rank, i = min(ranked)
+            want[i : i + 2] = [made[rank]]
+        assert bpe.merge_word(list(word), pairs, made) == want
+
+
 @needs_vocab
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
