@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromalith.llm import bpe, chat, exact_dedup, line_dedup, mixing, ngram_join, quality, spotsigs, token_counts, toxicity
+from chromalith.llm import bpe, chat, exact_dedup, licenses, line_dedup, mixing, ngram_join, quality, spotsigs, token_counts, toxicity
 from chromalith.llm._store import bound_batches
 
 
-
 def vocab(name: str) -> str:
     """The place of a public tokenizer's file."""
     import public_tokenizers
@@ -70,7 +69,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), vocab(BYTE_VOCAB))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_quality, op4_line_dedup, op5_ngram_join, op6_spotsigs, op7_toxicity, op8_chat_format, op9_mix_sources, op10_token_counts)}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labels(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_quality, op4_line_dedup, op5_ngram_join, op6_spotsigs, op7_toxicity, op8_chat_format, op9_mix_sources, op10_token_counts, op11_license_scan)}
 
 _WORD = "[^ \\t\\n\\x0B\\f\\r]"
 _BLANK = "[ \\t\\n\\x0B\\f\\r]"
@@ -106,4 +109,5 @@ ORACLE_SQL = {
                 sum(d.size) over (partition by d.source order by d.k, d.doc_id, d.size rows between unbounded preceding and current row) as upto
             from d join r on d.source is not distinct from r.source)
         select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - (upto - size))))::bigint as taken from u""",
+    "op11_license_scan": licenses.labels_sql(),
 }
