@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromalith.llm import bpe, chat, exact_dedup, licenses, line_dedup, mixing, ngram_join, quality, spotsigs, token_counts, toxicity, vector_codes
+from chromalith.llm import bpe, chat, conversation_trie, exact_dedup, licenses, line_dedup, mixing, ngram_join, quality, spotsigs, token_counts, toxicity, vector_codes
 from chromalith.llm._store import bound_batches
 
 
@@ -77,7 +77,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_table(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_quality, op4_line_dedup, op5_ngram_join, op6_spotsigs, op7_toxicity, op8_chat_format, op9_mix_sources, op10_token_counts, op11_license_scan, op12_vector_codes)}
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.shared_heads(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_quality, op4_line_dedup, op5_ngram_join, op6_spotsigs, op7_toxicity, op8_chat_format, op9_mix_sources, op10_token_counts, op11_license_scan, op12_vector_codes, op13_conversation_trie)}
 
 _WORD = "[^ \\t\\n\\x0B\\f\\r]"
 _BLANK = "[ \\t\\n\\x0B\\f\\r]"
@@ -115,4 +119,5 @@ ORACLE_SQL = {
         select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - (upto - size))))::bigint as taken from u""",
     "op11_license_scan": licenses.labels_sql(),
     "op12_vector_codes": vector_codes.code_table_sql(),
+    "op13_conversation_trie": conversation_trie.shared_heads_sql(),
 }
