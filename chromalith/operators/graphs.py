@@ -75,23 +75,71 @@ def near_negatives(positives: DataFrame, dims: DataFrame, ratio: float = 1.0, sh
     return free.withColumn("_rank", rank).join(quota, list(GRAPH)).filter("_rank <= quota").drop("_rank", "quota")
 
 
-def mixed_negatives(positives: DataFrame, dims: DataFrame, ratio: float = 1.0, share: float = 0.7, low: int = 5, high: int = 100, oversample: int = 3, seed: int = 0) -> DataFrame:
-    """Near negatives, then far ones drawn uniformly from i < j, none of them positive, chosen or repeated; a graph without
-    enough room gets fewer."""
+def _triangle(rows: Column, at: Column) -> tuple[Column, Column]:
+    """The at-th cell (row, column) of a triangle whose rows have rows, rows - 1, ..., 1 cells. Rows are paired, the longest with the
+    shortest, so the pairs are equally long and whole-number division finds the place."""
+    odd = rows % 2
+    width = rows + 1 - odd
+    q, r = F.floor(at / width), at % width
+    first = r < rows - q
+    return F.when(first, q).otherwise(rows - 1 + odd - q), F.when(first, r).otherwise(r - rows + q)
+
+
+def shuffled_place(k: Column, side: Column, *salt: Column, rounds: int = 4) -> Column:
+    """A bijection of 0 .. side**2 - 1 that looks random: each round adds a hash of one digit to the other, modulo side."""
+    x, y = F.floor(k / side), k % side
+    for n in range(rounds):
+        x, y = y, F.pmod(x + F.pmod(F.xxhash64(*salt, y, F.lit(n)), side), side)
+    return x * side + y
+
+
+def drawn_pairs(quota: DataFrame, excluded: DataFrame, low: int = 1, high: int | None = None, seed: int = 0) -> DataFrame:
+    """Draws without replacement: of each graph (cell_id, chrom, n_bins, need) `need` pairs i < j below n_bins at a distance of low..high
+    that are not in excluded (cell_id, chrom, src, dst), or all such pairs if they are fewer.
+
+    The pairs are numbered and the numbers drawn by a bijection, so none comes twice, and no more draws are made than the quota, the
+    excluded pairs in the band, and what the bijection's square has beyond the band: as many as there are positives, not as the
+    band has pairs. The pairs are decoded from their numbers; excluded ones are skipped, and the first `need` are kept.
+    """
     from pyspark.sql import Window as W
 
-    near = near_negatives(positives, dims, ratio, share, low, high, seed)
-    want = positives.groupBy(*GRAPH).agg(F.floor(F.count(F.lit(1)) * ratio).cast("long").alias("want"))
+    key = [*GRAPH, "src", "dst"]
+    out = excluded.select(*[F.col(c) for c in key]).filter("src < dst")
+    band = F.col("dst") - F.col("src")
+    in_band = out.filter(band >= low if high is None else band.between(low, high))
+    taken = in_band.groupBy(*GRAPH).agg(F.count(F.lit(1)).alias("taken"))
+    g = quota.filter("need > 0").join(taken, list(GRAPH), "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("bigint")))
+    n = F.col("n_bins").cast("bigint")
+    top = n - 1 if high is None else F.least(F.lit(high).cast("bigint"), n - 1)
+    g = g.withColumns({"n": n, "wide": F.greatest(top - low + 1, F.lit(0).cast("bigint"))})  # distances there are
+    # bins from which every distance is possible come first, then the triangle at the end
+    g = g.withColumns({"full": (F.col("n") - low - F.col("wide") + 1) * F.col("wide"), "rest": F.col("wide") - 1})
+    g = g.withColumn("room", F.col("full") + F.greatest(F.col("rest"), F.lit(0)) * (F.col("rest") + 1) / 2).withColumn("room", F.col("room").cast("bigint")).filter("wide > 0 and room > 0")
+    g = g.withColumn("side", F.ceil(F.sqrt(F.col("room").cast("double"))).cast("bigint"))
+    square = F.col("side") * F.col("side")
+    g = g.withColumn("draws", F.least(square, F.col("need") + F.col("taken") + square - F.col("room")))
+    draws = g.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("draws") - 1)))
+    draws = draws.withColumn("at", shuffled_place(F.col("k"), F.col("side"), F.col("cell_id"), F.col("chrom"), F.lit(seed))).filter("at < room")
+    row, column = _triangle(F.col("rest"), F.col("at") - F.col("full"))
+    plain = F.col("at") < F.col("full")
+    src = F.when(plain, F.floor(F.col("at") / F.col("wide"))).otherwise(F.floor(F.col("full") / F.col("wide")) + row)
+    step = F.when(plain, F.col("at") % F.col("wide")).otherwise(column)
+    pairs = draws.withColumn("src", src.cast("int")).select(*GRAPH, "need", "k", "src", (F.col("src") + low + step).cast("int").alias("dst"))
+    free = pairs.join(out, key, "left_anti")
+    rank = F.row_number().over(W.partitionBy(*GRAPH).orderBy("k"))
+    return free.withColumn("_rank", rank).filter("_rank <= need").select(*key)
+
+
+def mixed_negatives(positives: DataFrame, dims: DataFrame, ratio: float = 1.0, share: float = 0.7, low: int = 5, high: int = 100, seed: int = 0) -> DataFrame:
+    """Negatives (cell_id, chrom, src, dst), int(positives * ratio) of each graph: int(that * share) drawn at a distance of low..high, the
+    others from all pairs i < j; none of them is positive or comes twice. A graph has fewer only if it has no more free pairs."""
+    want = positives.groupBy(*GRAPH).agg(F.floor(F.count(F.lit(1)) * ratio).cast("long").alias("want")).join(dims.select(*GRAPH, "n_bins"), list(GRAPH))
+    near = drawn_pairs(want.select(*GRAPH, "n_bins", F.floor(F.col("want") * share).cast("long").alias("need")), positives, low, high, seed)
     got = near.groupBy(*GRAPH).agg(F.count(F.lit(1)).alias("got"))
-    need = want.join(got, list(GRAPH), "left").withColumn("need", F.col("want") - F.coalesce("got", F.lit(0))).join(dims, list(GRAPH)).filter("need > 0 and n_bins > 1")
-    draws = need.select(*GRAPH, "n_bins", "need", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("need") * oversample, F.lit(1000)))).alias("k"))
-    pick = lambda s: F.pmod(F.xxhash64(*GRAPH, "k", F.lit(seed + s)), F.col("n_bins").cast("long")).cast("int")
-    draws = draws.withColumns({"a": pick(1), "b": pick(2)}).filter("a != b")
-    draws = draws.select(*GRAPH, F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "k", "need").groupBy(*GRAPH, "src", "dst").agg(F.min("k").alias("k"), F.first("need").alias("need"))
+    need = want.join(got, list(GRAPH), "left").select(*GRAPH, "n_bins", (F.col("want") - F.coalesce("got", F.lit(0))).alias("need"))
     key = [*GRAPH, "src", "dst"]
-    draws = draws.join(positives.select(*key), key, "left_anti").join(near.select(*key), key, "left_anti")
-    far = draws.withColumn("_r", F.row_number().over(W.partitionBy(*GRAPH).orderBy("k"))).filter("_r <= need").select(*key)
-    return near.select(*key).unionByName(far)
+    far = drawn_pairs(need, positives.select(*key).unionByName(near), seed=seed + 1)
+    return near.unionByName(far)
 
 
 def split_by_hash(labels: DataFrame, val_ratio: float = 0.2, seed: int = 42) -> DataFrame:

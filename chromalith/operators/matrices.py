@@ -26,7 +26,11 @@ def scale_to_target(matrix: DataFrame) -> DataFrame:
 
 def sqrt_vc(matrix: DataFrame, symmetric: bool = False) -> DataFrame:
     """E = A + A', then v / sqrt(d_i d_j), sums of 0 as 1. symmetric: A is known to be so and has each entry once, then E is
-    twice A without a sum; else both orientations come from one scan."""
+    twice A without a sum; else both orientations come from one scan.
+
+    E is symmetric, so the sum of column j is that of row j: laid out by matrix, both sums are windows over the same rows, without a
+    join or a further shuffle.
+    """
     v = F.col("v").cast("double")
     if symmetric:
         e = matrix.select(*GRAPH, "i", "j", (2 * v).alias("v"))
@@ -34,9 +38,10 @@ def sqrt_vc(matrix: DataFrame, symmetric: bool = False) -> DataFrame:
         ends = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
         both = matrix.select(*GRAPH, v.alias("v"), F.explode(ends).alias("e")).select(*GRAPH, "e.i", "e.j", "v")
         e = both.groupBy(*GRAPH, "i", "j").agg(F.sum("v").alias("v"))
-    d = e.groupBy(*GRAPH, "i").agg(F.sum("v").alias("d")).withColumn("d", F.when(F.col("d") == 0, 1.0).otherwise(F.col("d")))
-    out = e.join(d, [*GRAPH, "i"]).join(d.select(*GRAPH, F.col("i").alias("j"), F.col("d").alias("dj")), [*GRAPH, "j"])
-    return out.select(*GRAPH, "i", "j", (F.col("v") / F.sqrt(F.col("d") * F.col("dj"))).alias("v"))
+    own = lambda k: F.sum("v").over(W.partitionBy(*GRAPH, k))
+    sums = e.repartition(*GRAPH).withColumns({"di": own("i"), "dj": own("j")})
+    one = lambda c: F.when(F.col(c) == 0, 1.0).otherwise(F.col(c))
+    return sums.select(*GRAPH, "i", "j", (F.col("v") / F.sqrt(one("di") * one("dj"))).alias("v"))
 
 
 def normalized(matrix: DataFrame, scale: bool = True, remove_diagonal: bool = True, vc: bool = True, symmetric: bool = False) -> DataFrame:

@@ -54,23 +54,37 @@ def _bce(pos: Var, neg: Var) -> Var:
     return (-pos).softplus().mean() + neg.softplus().mean()
 
 
+def _free_pairs(n: int, taken: set[tuple[int, int]], low: int, top: int) -> np.ndarray:
+    """All pairs i < j below n at a distance of low..top that are not taken."""
+    steps = np.arange(low, top + 1)
+    a = np.concatenate([np.arange(n - d) for d in steps]) if len(steps) else np.zeros(0, int)
+    b = a + np.repeat(steps, n - steps)
+    hit = np.array([i * n + j for i, j in taken], int)
+    free = ~np.isin(a * n + b, hit)
+    return np.stack([a[free], b[free]], 1)
+
+
 def _negatives(rng, n: int, taken: set[tuple[int, int]], want: int, low: int = 5, high: int = 100, share: float = 0.7) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j that are not taken: int(want * share) at a distance of low..high, then others drawn uniformly; four
-    rounds of each, and fewer pairs if there is no room."""
+    """Pairs i < j that are not taken: int(want * share) at a distance of low..high, then others drawn uniformly; fewer only if no
+    more are free. Pairs are drawn and those that are taken rejected; where taken and wanted ones are over half of a band, it is no
+    larger than twice these, so its free pairs are listed and drawn from."""
     out: set[tuple[int, int]] = set()
-    top = min(high, n - 1)
-    for near, quota in ((True, int(want * share)), (False, want)):
-        if n < 2 or (near and low > top):
+    for a, b, quota in ((low, min(high, n - 1), int(want * share)), (1, n - 1, want)):
+        room = (b - a + 1) * (2 * n - a - b) // 2 if b >= a else 0
+        need = quota - len(out)
+        if room <= 0 or need <= 0:
+            continue
+        if 2 * (need + len(taken) + len(out)) > room:
+            free = _free_pairs(n, taken | out, a, b)
+            out |= set(map(tuple, free[rng.permutation(len(free))[:need]].tolist()))
             continue
-        for _ in range(4):
+        while need > 0:
+            i = rng.integers(0, n, max(3 * need, 200))
+            j = i + rng.integers(a, b + 1, len(i))
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                if y < n and (x, y) not in taken and len(out) < quota:
+                    out.add((x, y))
             need = quota - len(out)
-            if need <= 0:
-                break
-            a = rng.integers(0, n, max(3 * need, 200))
-            b = a + rng.integers(low, top + 1, len(a)) if near else rng.integers(0, n, len(a))
-            for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                if i < j < n and (i, j) not in taken and len(out) < quota:
-                    out.add((i, j))
     pairs = np.array(sorted(out), int).reshape(-1, 2)
     return pairs[:, 0], pairs[:, 1]
 

@@ -424,7 +424,7 @@ def bce_loss(spark, d):
     select cell_id, chrom, bin, {_round('coalesce(sm, 0) / sqrt(dd) + deg / dd', 'x')} from x left join s using (cell_id, chrom, bin)""")
 def gcn_one_hop(spark, d):
     m = _matrix(spark, d)
-    nodes = features.ldp_raw(m, _dims(spark, d, m)).select("cell_id", "chrom", "bin", F.col("deg").alias("x"))
+    nodes = features.all_nodes(_dims(spark, d, m)).join(features.node_degree(m), ["cell_id", "chrom", "bin"], "left").select("cell_id", "chrom", "bin", F.coalesce("deg", F.lit(0.0)).alias("x"))
     return r6(model.gcn_one_hop(nodes, m.select("cell_id", "chrom", F.col("i").alias("src"), F.col("j").alias("dst"))), "x")
 
 
@@ -478,6 +478,29 @@ def neg_mixed_counts(spark, d):
     return want.join(got, ["cell_id", "chrom"]).join(near, ["cell_id", "chrom"], "left").select("cell_id", "chrom", "want", "got", F.coalesce("quota", F.lit(0)).alias("quota"))
 
 
+@query(f"""with {EDGES}, q as (select cell_id, chrom, count(*) as want, any_value(n_bins) as n from pos join dims using (cell_id, chrom) group by all),
+    r as (select q.*, (n::bigint * (n - 1)) // 2 - want as room from q)
+    select cell_id, chrom, want, least(want, room) as got, true as near_share_met, true as clean from r""")
+def neg_mixed_whole(spark, d):
+    """Mixed negatives of every graph, dense ones too: as many as wanted or as there is room for; whether the mix has its near share, and
+    only free pairs, each once."""
+    m = _matrix(spark, d)
+    pos = graphs.canonical_edges(m.select("cell_id", "chrom", F.col("i").alias("src"), F.col("j").alias("dst")))
+    dims = _dims(spark, d, m)
+    key = ["cell_id", "chrom"]
+    near = F.col("dst") - F.col("src")
+    n = F.col("n_bins").cast("bigint")
+    top = F.least(F.lit(40), n - 1)
+    band = F.when(top >= 5, (top - 4) * (2 * n - 5 - top) / 2).otherwise(0).cast("bigint")
+    want = pos.groupBy(*key).agg(F.count(F.lit(1)).alias("want"), F.count(F.when(near.between(5, 40), 1)).alias("taken")).join(dims, key)
+    want = want.select(*key, "want", "n_bins", F.least(F.floor(F.col("want") * 0.7), band - F.col("taken")).alias("share"))
+    neg = graphs.mixed_negatives(pos, dims, low=5, high=40).join(pos.withColumn("hit", F.lit(1)), [*key, "src", "dst"], "left")
+    ok = F.col("hit").isNull() & (F.col("src") >= 0) & (near > 0)
+    got = neg.groupBy(*key).agg(F.count(F.lit(1)).alias("got"), F.count(F.when(near.between(5, 40), 1)).alias("near"), F.count_distinct(F.when(ok, F.struct("src", "dst"))).alias("sound"), F.max("dst").alias("last"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return want.join(got, key, "left").select(*key, "want", zero("got").alias("got"), (zero("near") >= F.col("share")).alias("near_share_met"), ((zero("sound") == zero("got")) & (zero("last") < F.col("n_bins"))).alias("clean"))
+
+
 # ---- metrics ----
 @query("""with r as (select *, rank() over (partition by graph order by score) + (count(*) over (partition by graph, score) - 1) / 2.0 as rk from v_scores)
     select graph, round((sum(case when y = 1 then rk else 0 end) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 6) as auc from r group by 1""")

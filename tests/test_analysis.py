@@ -217,6 +217,12 @@ def test_near_share_of_training_negatives():
         # uniform pairs are near too where the graph is short
         assert int(want * 0.7) <= near < want
     assert len(training._negatives(rng, 3, {(0, 1)}, 9)[0]) == 2
+    pairs = [(i, j) for i in range(60) for j in range(i + 1, 60)]
+    taken = {pairs[k] for k in rng.permutation(len(pairs))[:1000]}
+    for want in (500, 770, 5000):  # of 770 that are free
+        a, b = training._negatives(rng, 60, taken, want)
+        got = set(zip(a.tolist(), b.tolist(), strict=True))
+        assert len(a) == len(got) == min(want, 770) and not got & taken and (a < b).all()
 
 
 def test_checkpoints_go_on_where_they_stopped(spark):

@@ -1,5 +1,6 @@
 """Hand-worked cases for contact lists, matrices and features."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,49 @@ def test_negatives_avoid_positives(spark):
     assert len(neg) == 40 and not neg & {(r.src, r.dst) for r in pos.collect()} and all(0 <= a < b < 50 for a, b in neg)
 
 
+@pytest.mark.parametrize("band", [(1, None), (2, 3), (1, 5), (3, 4), (5, 100), (1, 1)])
+def test_drawn_pairs_are_the_band_without_the_excluded(spark, band):
+    """With a quota beyond the room every free pair comes, once; within it exactly the quota comes."""
+    low, high = band
+    cells = [(f"c{n}", "chr1", n) for n in [0, 1, 2, 3, 4, 5, 6, 7, 8, 11, 16, 23]]
+    dims = spark.createDataFrame(cells, "cell_id string, chrom string, n_bins int")
+    pos = spark.createDataFrame([(c, "chr1", i, (i * 3 + k) % 29) for c, _, n in cells for i in range(n) for k in (1, 2)], "cell_id string, chrom string, src int, dst int")
+    hit = {(r.cell_id, r.src, r.dst) for r in pos.collect()}
+    free = {c: {(i, j) for i in range(n) for j in range(i + low, n if high is None else min(n, i + high + 1)) if (c, i, j) not in hit} for c, _, n in cells}
+    for need in (10_000, 4):
+        got = graphs.drawn_pairs(dims.withColumn("need", F.lit(need)), pos, low, high).collect()
+        assert len(got) == len({(r.cell_id, r.src, r.dst) for r in got})
+        for c in free:
+            own = {(r.src, r.dst) for r in got if r.cell_id == c}
+            assert own <= free[c] and len(own) == min(need, len(free[c]))
+
+
+def test_draws_are_few_and_spread(spark):
+    """A quota in a large band makes no more rows than quota, excluded pairs and the rim of the square; draws are spread."""
+    dims = spark.createDataFrame([("c", "chr1", 20_000, 500)], "cell_id string, chrom string, n_bins int, need long")
+    pos = spark.createDataFrame([("c", "chr1", i, i + 7) for i in range(100)], "cell_id string, chrom string, src int, dst int")
+    got = graphs.drawn_pairs(dims, pos, 5, 100)
+    rows = got.collect()
+    assert len(rows) == 500 and len({r.dst - r.src for r in rows}) > 85 and len({r.src // 2000 for r in rows}) == 10
+    room = 96 * 20_000 - sum(range(5, 101))
+    side = int(np.ceil(room**0.5))
+    assert spark.range(side).select(graphs.shuffled_place(F.col("id") * side + 3, F.lit(side).cast("bigint"), F.lit("c")).alias("p")).distinct().count() == side
+    again = graphs.drawn_pairs(dims, pos, 5, 100, seed=1).collect()
+    assert set(again) != set(rows) and set(graphs.drawn_pairs(dims, pos, 5, 100).collect()) == set(rows)
+
+
+def test_mixed_negatives_of_dense_graphs(spark):
+    rng = np.random.default_rng(0)
+    pairs = [(i, j) for i in range(100) for j in range(i + 1, 100)]
+    pick = [pairs[k] for k in rng.permutation(len(pairs))[:2400]]
+    pos = spark.createDataFrame([("c", "chr1", i, j) for i, j in pick] + [("full", "chr1", i, j) for i in range(6) for j in range(i + 1, 6)], "cell_id string, chrom string, src int, dst int")
+    d = spark.createDataFrame([("c", "chr1", 100), ("full", "chr1", 6)], "cell_id string, chrom string, n_bins int")
+    neg = {(r.cell_id, r.src, r.dst) for r in graphs.mixed_negatives(pos, d).collect()}
+    assert len(neg) == 2400 and not {(i, j) for _, i, j in neg} & set(pick) and {c for c, _, _ in neg} == {"c"}
+    free_near = sum(j - i >= 5 for i, j in pairs) - sum(j - i >= 5 for i, j in pick)
+    assert sum(j - i >= 5 for _, i, j in neg) >= min(int(2400 * 0.7), free_near)
+
+
 def test_canonical_is_a_filter(spark):
     e = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (5, 4)], "src int, dst int")
     assert [tuple(r) for r in graphs.canonical_edges(e).collect()] == [(1, 2)]
