@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +61,23 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def places(docs: DataFrame) -> tuple[Column, Column]:
+    """The file that a row was read from and its number there, whatever columns docs has of its own."""
+    at = docs.metadataColumn("_metadata")
+    return at["file_path"].alias("file"), at["row_index"].alias("row")
+
+
+def located(docs: DataFrame, columns: list[str], name: str = "located") -> DataFrame:
+    """docs itself if its rows have places, else a stored copy of the columns, which has them."""
+    try:
+        docs.select(*places(docs)).schema  # noqa: B018
+        return docs
+    except AnalysisException as e:
+        if "UNRESOLVED" not in (e.getCondition() or ""):
+            raise
+        return stored(docs.select(*[F.col(f"`{c}`") for c in columns]), name)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete stored tables: for when all that was made of them has been written itself."""
     for t in tables:

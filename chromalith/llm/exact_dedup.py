@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromalith.llm._store import delete, scratch_path, settings, stored, write
+from chromalith.llm._store import delete, located, places, scratch_path, settings, stored, write
 
 BLANKS = " \t\n\x0b\x0c\r"
 HOT_PARTS = 1000
@@ -37,22 +37,10 @@ def digest_rows(docs: DataFrame, id_col: str, text_col: str, digest=None) -> Dat
         (digest or (lambda c: F.sha2(c, 256)))(norm).alias("digest"),
         *([F.sha2(norm, 256).alias("text_sha256")] if digest else []),
         F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("long").alias("n_chars"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.row_index").alias("row"),
+        *places(docs),
     )
 
 
-def located(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs itself if its rows have file locators, else a stored copy that has them."""
-    try:
-        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
-        return docs
-    except Exception as e:
-        if "UNRESOLVED" not in str(e) and "cannot resolve" not in str(e).lower():
-            raise
-        return stored(docs.select(*[F.col(f"`{c}`") for c in columns]), "dedup-content")
-
-
 def rank(prefix: str = "") -> Column:
     """Its minimum belongs to the row that stays."""
     return F.struct((-F.col(f"{prefix}n_chars")).alias("less"), F.col(f"{prefix}id").alias("id"), F.col(f"{prefix}file").alias("file"), F.col(f"{prefix}row").alias("row"))
@@ -107,7 +95,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = state.filter("group_size > 1")
     marked = rows.join(state, "digest")
     hit = marked.filter("group_size > 1").select("file", "row", "digest", F.pmod(F.xxhash64("file", "row"), parts(F.col("group_size"))).cast("int").alias("part"))
-    texts = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), normalised(F.col(f"`{text_col}`")).alias("norm"))
+    texts = docs.select(*places(docs), normalised(F.col(f"`{text_col}`")).alias("norm"))
     mine = texts.join(hit, ["file", "row"])
     kept_text = texts.join(groups.select(F.col("keep.file").alias("file"), F.col("keep.row").alias("row"), "digest", parts(F.col("group_size")).alias("parts")), ["file", "row"])
     kept_text = kept_text.select("digest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("norm").alias("kept_norm"))
@@ -132,5 +120,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The documents that stay, with all their columns."""
     docs = located(docs, docs.columns)
     kept = exact_dedup(docs, id_col, text_col).filter("kept").select("file", "row")
-    whole = docs.select(F.struct("*").alias("doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    whole = docs.select(F.struct("*").alias("doc"), *places(docs))
     return whole.join(kept, ["file", "row"], "left_semi").select("doc.*")

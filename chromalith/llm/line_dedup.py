@@ -13,7 +13,7 @@ Lines without words always stay.
 4. What the prefixes of a pair share must leave room for a match; then it is verified on the words themselves.
 
 Null texts count as empty and have one empty line. Identifiers may be null (these come first) or repeated: rows are
-known by keys of their own, and of rows of one identifier the first in the files comes first. Empty tables give no
+known by keys of their own, and of rows of one identifier the one with the least key comes first; in one file, the first. Empty tables give no
 rows. Further columns are ignored by `line_report` and kept by `without_lines`.
 """
 
@@ -25,8 +25,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromalith.llm._store import release, stored
-from chromalith.llm.exact_dedup import located
+from chromalith.llm._store import located, release, stored
 from chromalith.llm.ngram_join import row_keys
 
 BUCKETS = 1 << 19

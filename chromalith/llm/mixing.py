@@ -18,8 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chromalith.llm._store import release, stored
-from chromalith.llm.exact_dedup import located
+from chromalith.llm._store import located, places, release, stored
 
 MAX_EPOCHS = 3
 RANGE_CHARS = 3  # 4,096 ranges of keys for each source
@@ -58,7 +57,7 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 def located_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     """id, source, size, key and the locator (file, row) of every document, with the whole document as doc."""
     read = F.struct("*")
-    rows = docs.select(read.alias("doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = docs.select(read.alias("doc"), *places(docs))
     rows = rows.withColumns({"id": F.col("doc")[id_col], "source": F.col("doc")[source_col], "size": n_words(F.col("doc")[text_col])})
     return rows.withColumn("key", mix_key(F.col("id"), seed))
 

@@ -39,14 +39,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chromalith.llm import _text
-from chromalith.llm._store import bound_batches, release, stored
+from chromalith.llm._store import bound_batches, located, places, release, stored
 from chromalith.llm.components import connected_components
-from chromalith.llm.exact_dedup import located
 
 SKETCH_BITS = 22
 LIST_PAIRS = 64
 BLOCK_POSTINGS = 500_000
 MANY = 2000
+SALTS = 16
 U = np.uint64
 
 
@@ -159,68 +159,67 @@ POSTING = "key bigint, id bigint, n bigint, last bigint, other bigint"
 
 
 def postings(reps: DataFrame) -> DataFrame:
-    """(key, id, n, last) of every prefix shingle, last being its document's last key. Where one map task holds more
-    than LIST_PAIRS postings of a key, only that of the smallest id goes on, with last -1 as the star's centre, and
-    the star's edges are given out beside it as rows with a null key."""
+    """(key, id, n, last) of every prefix shingle, last being its document's last key. A map task sorts its postings by key, on disk if
+    need be, and of a key of which it has more than LIST_PAIRS only that of the smallest id goes on, with last -1 as the star's
+    centre; the star's edges are given out beside it as rows with a null key. So a task gives a key at most LIST_PAIRS rows."""
+    names = ["key", "id", "n", "last", "other"]
+    none = np.zeros(0, np.int64)
+
+    def edges(u, v):
+        pairs = np.unique(np.stack([u, v]), axis=1)
+        pairs = pairs[:, pairs[0] != pairs[1]]
+        nulls = pa.nulls(pairs.shape[1], pa.int64())
+        return pa.RecordBatch.from_arrays([nulls, pa.array(pairs[0]), nulls, nulls, pa.array(pairs[1])], names)
+
+    def posted(rows):
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows), pa.nulls(len(rows[0]), pa.int64())], names)
 
     def run(batches):
-        ids, sizes, pre = [], [], []
-        held = 0
-
-        def flush():
-            of = np.repeat(np.arange(len(ids)), [len(p) for p in pre])
-            key = np.concatenate(pre)
-            last = np.array([p[-1] if len(p) else 0 for p in pre], np.int64)[of]
-            own, n = np.array(ids, np.int64)[of], np.array(sizes, np.int64)[of]
-            order = np.argsort(key, kind="stable")
-            new = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-            stop = np.append(new[1:], len(key))
-            long = stop - new > LIST_PAIRS
-            u, v = _stars(order, new[long], stop[long], own)
+        held, hot = [none] * 4, False  # the rows of the last key so far; hot: it is a star, and its centre alone is held
+        for batch in batches:
+            rows = [np.concatenate((a, batch.column(i).to_numpy())) for i, a in enumerate(held)]
+            key, own, _, last = rows
+            if not len(key):
+                continue
+            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            stop = np.append(begin[1:], len(key))
+            star = stop - begin > LIST_PAIRS
+            star[0] |= hot and len(held[0]) > 0
+            u, v = _stars(np.arange(len(key)), begin[star], stop[star], own)
+            if len(u):
+                yield edges(u, v)
             keep = np.ones(len(key), bool)
-            for a, b in zip(new[long], stop[long], strict=True):
-                run_ = order[a:b]
-                keep[run_] = False
-                low = run_[np.argmin(own[run_])]
+            for a, b in zip(begin[star], stop[star], strict=True):
+                keep[a:b] = False
+                low = a + int(np.argmin(own[a:b]))
                 keep[low], last[low] = True, -1
-            names = ["key", "id", "n", "last", "other"]
-            m = int(keep.sum())
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in (key, own, n, last)), pa.nulls(m, pa.int64())], names)
-            if len(u):
-                pairs = np.unique(np.stack([u, v]), axis=1)
-                pairs = pairs[:, pairs[0] != pairs[1]]
-                none = pa.nulls(pairs.shape[1], pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(pairs[0]), none, none, pa.array(pairs[1])], names)
-
-        for batch in batches:
-            lists = batch.column(2)
-            bounds = np.asarray(lists.offsets)
-            flat = np.asarray(lists.values)
-            ids += batch.column(0).to_pylist()
-            sizes += batch.column(1).to_pylist()
-            pre += [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            held += len(flat)
-            if held > 500_000:  # the memory of a task, whatever its partition
-                yield from flush()
-                ids, sizes, pre, held = [], [], [], 0
-        if held:
-            yield from flush()
-        ids, sizes, pre = [], [], []
+            open_ = np.arange(len(key)) >= begin[-1]
+            held, hot = [x[keep & open_] for x in rows], bool(star[-1])
+            done = keep & ~open_
+            if done.any():
+                yield posted([x[done] for x in rows])
+        if len(held[0]):
+            yield posted(held)
         _text.give_back()
 
-    return reps.select("id", "n", "prefix").mapInArrow(run, POSTING)
+    rows = reps.select(F.explode("prefix").alias("key"), "id", "n", F.element_at("prefix", -1).alias("last"))
+    return rows.sortWithinPartitions("key", "id").mapInArrow(run, POSTING)
 
 
 def candidate_edges(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Edges (u, v) whose components hold every link, and the stored lists that they are read from. Lists are bounded: a map
-    task gives each key LIST_PAIRS rows at most."""
-    rows = postings
-    near = rows.filter("key is not null").select("key", F.struct("n", "id", "last").alias("m"))
-    lists = stored(near.groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("ms")).filter("size(ms) > 1"), "join-lists")
-    star = (F.size("ms") > LIST_PAIRS) | F.exists("ms", lambda m: m["last"] < 0)
-    low = F.array_min(F.transform("ms", lambda m: m["id"]))
-    stars = lists.filter(star).select(low.alias("u"), F.explode(F.transform("ms", lambda m: m["id"])).alias("v"))
-    pair = lists.filter(~star).select("ms", F.posexplode("ms").alias("i", "a"))
+    """Edges (u, v) whose components hold every link, and the stored lists that they are read from. A list of more than LIST_PAIRS
+    rows, or with a star's centre, is a star; its rows are seen through a window, which spills, and no row of the table
+    gathers more than LIST_PAIRS of them."""
+    near = postings.filter("key is not null")
+    by = W.partitionBy("key").orderBy("id")
+    whole = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    seen = near.withColumns({"total": F.count(F.lit(1)).over(whole), "low": F.min("id").over(whole), "star": F.min("last").over(whole) < 0, "nth": F.row_number().over(by)}).filter("total > 1")
+    star = F.col("star") | (F.col("total") > LIST_PAIRS)
+    piece = F.when(star, F.floor((F.col("nth") - 1) / LIST_PAIRS)).otherwise(0)
+    lists = seen.groupBy("key", "low", star.alias("star"), piece.alias("piece")).agg(F.sort_array(F.collect_list(F.struct("n", "id", "last"))).alias("ms"))
+    lists = stored(lists.select("low", "star", "ms"), "join-lists")
+    stars = lists.filter("star").select(F.col("low").alias("u"), F.explode(F.transform("ms", lambda m: m["id"])).alias("v"))
+    pair = lists.filter("not star").select("ms", F.posexplode("ms").alias("i", "a"))
     # members are in the order of size: partners of one end where sizes differ too much
     partners = F.expr(f"filter(slice(ms, i + 2, size(ms)), b -> 100 * a.n >= {percent} * b.n)")
     pair = pair.select("a", F.explode(partners).alias("b"))
@@ -229,7 +228,7 @@ def candidate_edges(postings: DataFrame, percent: int) -> tuple[DataFrame, DataF
     rest = lambda n: f"({percent} * {n} + 99) div 100 - 1"
     bound = f"shared + case when lu < lv then {rest('nu')} when lu > lv then {rest('nv')} else least({rest('nu')}, {rest('nv')}) end"
     pair = pair.filter(f"{bound} >= ({percent} * (nu + nv) + {99 + percent}) div {100 + percent}").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    local = rows.filter("key is null").select(F.col("id").alias("u"), F.col("other").alias("v"))
+    local = postings.filter("key is null").select(F.col("id").alias("u"), F.col("other").alias("v"))
     return stars.unionByName(pair).unionByName(local).filter("u < v").distinct(), lists
 
 
@@ -390,7 +389,7 @@ def blocks_of(parts: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def row_components(docs: DataFrame, k: int, percent: int, id_col: str = "key", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id for every row; the identifier must be an integer of the row's own."""
+    """id_col, n_shingles, component_id for every row, a stored table; the identifier must be an integer of the row's own."""
     bound_batches(docs.sparkSession)
     rarity = word_counts(docs, text_col)
     sets = stored(set_rows(docs, rarity, k, percent, id_col, text_col), "join-sets")
@@ -405,10 +404,13 @@ def row_components(docs: DataFrame, k: int, percent: int, id_col: str = "key", t
     release(parts)
     links = verified_edges(docs, blocks, k, percent, id_col, text_col)
     comps = connected_components(links)
+    release(blocks)
     joined = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     joined = joined.select("n", "sig_a", "sig_b", F.coalesce("component", "rep").alias("component_id"))
     out = meta.join(joined, ["n", "sig_a", "sig_b"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = stored(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")), "join-components")
+    release(sets, classes)
+    return out
 
 
 def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -416,19 +418,25 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     has none."""
     rows = row_keys(located(docs, [id_col, text_col]))
     texts = rows.select("key", F.col(f"doc.`{text_col}`").alias("text"))
-    comps = stored(row_components(texts, k, percent), "join-components").join(rows.select("key", F.col(f"doc.`{id_col}`").alias("id")), "key")
+    comps = row_components(texts, k, percent).join(rows.select("key", F.col(f"doc.`{id_col}`").alias("id")), "key")
     low = comps.groupBy("component_id").agg(F.min("id").alias("low"))
     return comps.join(low, "component_id").select(F.col("id").alias(id_col), "n_shingles", F.col("low").alias("component_id"))
 
 
 def row_keys(docs: DataFrame) -> DataFrame:
-    """doc (a struct of all columns) and key, a number of the row's own; docs must have file locators. Rows are
-    numbered through, file after file."""
-    rows = docs.select(F.struct("*").alias("doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    sizes = rows.groupBy("file").agg((F.max("row") + 1).alias("n"))
-    before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
-    offsets = stored(sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "join-offsets")
-    return rows.join(offsets, "file").select("doc", (F.col("before") + F.col("row")).alias("key"))
+    """doc (a struct of all columns) and key, a number of the row's own; docs must have places. A key is a hash of the row's file
+    and its number there, side by side, so documents are not joined to anything; that no two files have one hash is seen to
+    by a count over the files, and another salt is taken if they have."""
+    rows = docs.select(F.struct("*").alias("doc"), *places(docs))
+    files = stored(rows.groupBy("file").agg(F.max("row").alias("row")), "join-files")
+    n, last = files.agg(F.count(F.lit(1)), F.max("row")).first()
+    low = max(1, int(last or 0).bit_length())
+    high = lambda salt: F.shiftrightunsigned(F.xxhash64(F.lit(salt), "file"), 1 + low)
+    salt = next((s for s in range(SALTS) if files.agg(F.count_distinct(high(s))).first()[0] == n), None)
+    if salt is None:
+        raise RuntimeError(f"{n} files of up to 2**{low} rows: no {SALTS} hashes tell them apart")
+    release(files)
+    return rows.select("doc", F.shiftleft(high(salt), low).bitwiseOR(F.col("row")).alias("key"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -439,6 +447,6 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     """
     rows = row_keys(located(docs, docs.columns))
     texts = rows.select("key", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").alias("text"))
-    comps = stored(row_components(texts.select("key", "text"), k, percent), "join-components")
+    comps = row_components(texts.select("key", "text"), k, percent)
     first = comps.join(texts.select("key", "id"), "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first"))
     return rows.join(first.select("first.key"), "key", "left_semi").select("doc.*")

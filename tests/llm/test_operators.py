@@ -121,11 +121,11 @@ def test_exact_dedup_state_is_small_on_disk(spark, monkeypatch):
     assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", None) is None
 
 
-@pytest.mark.parametrize("clash", ["_file", "_row", "file", "row", "doc", "key", "digest", "id", "text_sha256"])
+@pytest.mark.parametrize("clash", ["_metadata", "_file", "_row", "file", "row", "doc", "key", "digest", "id", "text_sha256"])
 def test_clashing_names_stay(spark, clash):
     docs = spark.createDataFrame([(1, "a b", "x"), (2, "ab", "y"), (3, "c", None)], f"doc_id long, text string, `{clash}` string")
     assert sorted(map(tuple, exact_dedup.keep_first(docs).collect())) == [(1, "a b", "x"), (3, "c", None)]
-    if clash in ("_file", "doc", "key", "id"):
+    if clash in ("_metadata", "_file", "doc", "key", "id"):
         both = mixing.mixed_documents(docs.withColumn("source", F.lit("s")).withColumn("size", F.lit(0)))
         assert both.columns == ["doc_id", "text", clash, "source", "size"] and both.count() == 3
         assert sorted(map(tuple, line_dedup.without_lines(docs).collect())) == [(1, "a b", "x"), (2, "ab", "y"), (3, "c", None)]
@@ -307,6 +307,43 @@ def test_keep_one_null_and_repeated_identifiers(spark, tmp_path):
     assert sorted(map(tuple, ngram_join.keep_one(spark.read.parquet(str(tmp_path / "docs"))).collect()), key=str) == want
 
 
+def test_metadata_as_a_column_of_a_stored_table(spark, tmp_path):
+    """A column named _metadata, also one with the fields of Spark's own, in rows read from files."""
+    docs = spark.createDataFrame([(i, t, "s", (f"f{i}", 7)) for i, t in enumerate(["a b", "ab", None, "c d e f g h", "c d e f g h"])], "doc_id long, text string, source string, _metadata struct<file_path: string, row_index: long>")
+    docs.coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    assert sorted(x.doc_id for x in exact_dedup.keep_first(docs).collect()) == [0, 2, 3]
+    assert sorted(x.doc_id for x in ngram_join.keep_one(docs).collect()) == [0, 1, 2, 3]
+    assert sorted(x.doc_id for x in line_dedup.without_lines(docs).collect()) == [0, 1, 2, 3, 4]
+    assert {x.doc_id: x["_metadata"]["file_path"] for x in mixing.mixed_documents(docs).collect()} == {i: f"f{i}" for i in (0, 1, 3, 4)}
+
+
+def test_postings_of_a_task_are_bounded(spark):
+    """20,000 sets with common shingles in one task give at most LIST_PAIRS rows of a key, and a star beside them."""
+    rows = spark.range(20_000, numPartitions=1).select("id", F.lit(10).cast("long").alias("n"), F.array(F.lit(5).cast("long"), F.col("id") % 300 + 10, F.col("id") + 1000).alias("prefix"))
+    got = ngram_join.postings(rows).collect()
+    by = Counter(x.key for x in got if x.key is not None)
+    assert max(by.values()) <= ngram_join.LIST_PAIRS and by[5] == 1 and by[10] == 1  # of key 10 there are 67
+    assert len([k for k in by if k >= 1000]) == 20_000
+    stars = defaultdict(set)
+    for x in got:
+        if x.key is None:
+            stars[x.id].add(x.other)
+    assert stars[0] >= set(range(1, 20_000)) and {x.last for x in got if x.key in (5, 10)} == {-1}
+    edges, lists = ngram_join.candidate_edges(ngram_join.postings(rows.repartition(7)), 85)
+    assert lists.agg(F.max(F.size("ms"))).first()[0] <= ngram_join.LIST_PAIRS
+    assert {x.component for x in connected_components(edges).collect()} == {0}
+
+
+def test_row_keys_are_their_own(spark, tmp_path):
+    spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).repartition(37).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    keys = ngram_join.row_keys(docs)
+    assert keys.select("key").distinct().count() == 1000 and keys.agg(F.min("key")).first()[0] >= 0
+    assert "Exchange" not in keys._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, keys.select("doc.doc_id", "key").collect())) == sorted(map(tuple, ngram_join.row_keys(docs).select("doc.doc_id", "key").collect()))
+
+
 def test_divide_skip_brute_force():
     r = random.Random(4)
     for _ in range(300):
