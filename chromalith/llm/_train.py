@@ -12,17 +12,15 @@ from pyspark.sql import functions as F
 
 from chromalith.llm._text import give_back
 
-#: Texts longer than this share of a sample's bytes aren't drawn, so that no one text fills the sample.
-LONGEST = 0.1
-
 
 def fold(id_col: Column, folds: int) -> Column:
     """crc32 of the identifier as text, modulo folds; a null identifier is in fold 0."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds, F.lit(0))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_docs: int, max_bytes: int, id_col: str, text_col: str) -> DataFrame:
-    """(place, text, y) of at most max_docs labelled documents and max_bytes of text, whole texts in hash order.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_docs: int, max_bytes: int, id_col: str, text_col: str, max_share: float = 0.1) -> DataFrame:
+    """(place, text, y) of at most max_docs labelled documents and max_bytes of text, whole texts in hash order. Texts longer than
+    max_share of max_bytes aren't drawn, so that no one text fills the sample; 1 draws all that fit.
 
     The identifiers are drawn from the labels alone and the texts by their lengths, so only the sample's texts move. An
     identifier that is labelled both ways isn't learnt from; one labelled twice alike counts once.
@@ -31,7 +29,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     ids = ids.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("y2")).filter("y = y2 and k is not null").select("k", "y")
     ids = ids.orderBy(F.xxhash64("k"), "k").limit(max_docs)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("k"), text.alias("text")).join(F.broadcast(ids), "k").filter(F.octet_length("text") <= int(max_bytes * LONGEST))
+    rows = docs.select(F.col(f"`{id_col}`").alias("k"), text.alias("text")).join(F.broadcast(ids), "k").filter(F.octet_length("text") <= int(max_bytes * max_share))
     place = F.struct(F.xxhash64("k").alias("h"), F.col("k").alias("k"), F.xxhash64("text").alias("t"), F.octet_length("text").cast("long").alias("n"))
     # the places alone, at most max_docs of them, say where the sample ends
     first = rows.select(place.alias("place")).orderBy("place").limit(max_docs)

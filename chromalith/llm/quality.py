@@ -131,9 +131,10 @@ def _fold_in(texts: pa.Array, y: np.ndarray) -> dict:
     return {"scores": table.tobytes(), "bias": bias}
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", max_docs: int = 5000, max_bytes: int = 40_000_000, id_col: str = "doc_id", text_col: str = "text") -> Folded:
-    """Train on at most max_docs labelled documents with at most max_bytes of text that `learn` allows."""
-    found = learn_from(training_sample(docs, labels, label, learn, max_docs, max_bytes, id_col, text_col), _fold_in, "scores binary, bias double")
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", max_docs: int = 5000, max_bytes: int = 40_000_000, id_col: str = "doc_id", text_col: str = "text", max_share: float = 0.1) -> Folded:
+    """Train on at most max_docs labelled documents with at most max_bytes of text that `learn` allows, none of them
+    longer than max_share of these bytes."""
+    found = learn_from(training_sample(docs, labels, label, learn, max_docs, max_bytes, id_col, text_col, max_share), _fold_in, "scores binary, bias double")
     return Folded(np.frombuffer(found["scores"], np.float32), found["bias"])
 
 

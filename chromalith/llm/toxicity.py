@@ -118,9 +118,10 @@ def _weights(texts: pa.Array, y: np.ndarray) -> dict:
     return {"weights": model.weights.tobytes(), "bias": model.bias}
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", max_docs: int = 5000, max_bytes: int = 40_000_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on at most max_docs labelled documents with at most max_bytes of text that `learn` allows."""
-    found = learn_from(training_sample(docs, labels, label, learn, max_docs, max_bytes, id_col, text_col), _weights, "weights binary, bias double")
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", max_docs: int = 5000, max_bytes: int = 40_000_000, id_col: str = "doc_id", text_col: str = "text", max_share: float = 0.1) -> Model:
+    """Train on at most max_docs labelled documents with at most max_bytes of text that `learn` allows, none of them
+    longer than max_share of these bytes."""
+    found = learn_from(training_sample(docs, labels, label, learn, max_docs, max_bytes, id_col, text_col, max_share), _weights, "weights binary, bias double")
     return Model(np.frombuffer(found["weights"], np.float32), found["bias"])
 
 
