@@ -1,4 +1,4 @@
-"""Normalisation and linear algebra over long-form matrices; only tables of cells by cells or of fixed size reach the driver."""
+"""Normalisation and linear algebra over long-form matrices; only tables of a fixed size reach the driver."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chromalith.operators.segments import fixed_sign, moments
+from chromalith.operators.svd import cell_embedding
 
 GRAPH = ("cell_id", "chrom")
 
@@ -77,31 +78,8 @@ def gram(features: DataFrame, per_chrom: bool = True) -> DataFrame:
 
 
 def svd_embedding(features: DataFrame, dim_chrom: int = 50, dim: int = 50) -> DataFrame:
-    """Uncentred SVD of each chromosome's features, left vectors side by side, then SVD of these times its values.
-
-    Cells come from Gram matrices; cells without a chromosome have zeros there.
-    """
-    spark = features.sparkSession
-    cells = sorted(r[0] for r in features.select("cell_id").distinct().collect())
-    place = {c: k for k, c in enumerate(cells)}
-    grams: dict[str, np.ndarray] = {}
-    for r in gram(features).toLocalIterator():
-        g = grams.setdefault(r["chrom"], np.zeros((len(cells), len(cells))))
-        g[place[r["c1"]], place[r["c2"]]] = g[place[r["c2"]], place[r["c1"]]] = r["g"]
-    parts = []
-    for chrom in sorted(grams):
-        values, vectors = np.linalg.eigh(grams[chrom])
-        n = min(dim_chrom, len(cells) - 1)
-        keep = [k for k in range(len(cells) - 1, max(-1, len(cells) - 1 - n), -1) if values[k] > 1e-9 * max(values[-1], 1e-300)]
-        if keep:
-            parts.append(fixed_sign(vectors[:, keep]))
-    if not parts:
-        raise ValueError("no chromosome has usable features")
-    x = np.concatenate(parts, axis=1)
-    u, s, _ = np.linalg.svd(x, full_matrices=False)
-    n = max(1, min(dim, len(cells) - 1, x.shape[1] - 1))
-    z = fixed_sign(u[:, :n]) * s[:n]
-    return spark.createDataFrame([(c, [float(v) for v in z[k]]) for c, k in place.items()], "cell_id string, emb array<double>")
+    """Uncentred SVD of each chromosome's features, left vectors side by side, then SVD of these times its values; see svd."""
+    return cell_embedding(features, dim_chrom, dim)
 
 
 def standard_scaler(rows: DataFrame, columns: list[str]) -> DataFrame:
