@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -763,6 +764,18 @@ def train_step(spark, d):
     return spark.createDataFrame([(h["epoch"], float(h["train"])) for h in t.history], "epoch int, loss double")
 
 
+@query()
+def finetune_loops(spark, d):
+    """From the first parameters on, all graphs with their reference loops and their cell's embedding as target; the encoder is frozen."""
+    g = training.with_loops(_graphs(spark, d), _ref_loops_by_group(spark, d)[1])
+    z = view(spark, d, "v_z").groupBy("cell_id").agg(F.array(*[F.avg(F.element_at("z", k + 1)).cast("double") for k in range(10)]).alias("emb"))
+    cells = g.select("cell_id").distinct().withColumn("of", F.concat(F.lit("E"), (F.substring("cell_id", 2, 9).cast("int") % 5).cast("string")))
+    g = training.with_targets(g, cells.join(z.withColumnRenamed("cell_id", "of"), "of"))
+    t = training.train(g, _PARAMS, replace(training.FINETUNE, frozen=("norm", "gcn")))
+    names = ["train", "train_pos", "train_neg", "train_cosine", "train_loop_pos", "train_loop_neg", "train_loop_coverage"]
+    return spark.createDataFrame([(h["epoch"], *(float(h[n]) for n in names)) for h in t.history], "epoch int, " + ", ".join(f"{n} double" for n in names))
+
+
 # ---- streams, as a batch ----
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all")
 def windowed_votes(spark, d):

@@ -272,3 +272,42 @@ def test_small_helpers(spark):
     assert sorted((r.bin, list(r.emb)) for r in emb.collect()) == [(1, [3.0, 1.0]), (2, [0.0, 1.0])]
     with pytest.raises(Exception, match="other than 3"):
         features.sequence_embedding(bins, lambda: lambda texts: [[1, 1] for _ in texts], 3).collect()
+
+
+def test_reference_loops_on_graph_rows(spark):
+    g = _tiny_graphs(spark, 3)  # 12 bins each
+    refs = spark.createDataFrame([("c0", "chr1", 2, 7), ("c0", "chr1", 7, 2), ("c0", "chr1", 3, 3), ("c0", "chr1", 4, 12), ("c1", "chr1", 0, 11), ("x", "chr1", 0, 1)], "cell_id string, chrom string, i long, j long")
+    neg = spark.createDataFrame([("c0", "chr1", 1, 9), ("c0", "chr1", 5, 40)], "cell_id string, chrom string, src int, dst int")
+    rows = {r.cell_id: r for r in training.with_loops(g, refs, neg).collect()}
+    assert {c: (r.loop_src, r.loop_dst, r.loop_neg_src, r.loop_neg_dst) for c, r in rows.items()} == {"c0": ([2], [7], [1], [9]), "c1": ([0], [11], [], []), "c2": ([], [], [], [])}
+    assert rows["c2"].x == next(r.x for r in g.collect() if r.cell_id == "c2")
+    targets = training.with_targets(g, spark.createDataFrame([("c1", [1.0, 0.0, 2.0])], "cell_id string, emb array<double>"))
+    assert {r.cell_id: r.target for r in targets.collect()} == {"c0": None, "c1": [1.0, 0.0, 2.0], "c2": None}
+
+
+def test_finetuning_lowers_the_loops_loss_and_logs_its_parts(spark):
+    p = model.init_params(model.ModelConfig(4, 8, 4, target_dim=3, loop_dim=4))
+    refs = spark.createDataFrame([(f"c{c}", "chr1", i, i + 4) for c in (0, 1) for i in range(6)], "cell_id string, chrom string, i int, j int")
+    g = training.with_targets(training.with_loops(_tiny_graphs(spark, 3), refs), spark.createDataFrame([("c1", [1.0, 0.0, 2.0])], "cell_id string, emb array<double>"))
+    cfg = training.TrainConfig(epochs=8, rate=2e-2, dropout=0.0, w_recon=0.2, w_cosine=0.6, w_loop=1.5, frozen=("norm", "gcn"), cosine_from=2)
+    t = training.train(g, p, cfg, validation=g)
+    h = t.history
+    assert h[-1]["train_loop_pos"] + h[-1]["train_loop_neg"] < h[0]["train_loop_pos"] + h[0]["train_loop_neg"]
+    assert all(x["train_loop_coverage"] == x["val_loop_coverage"] == pytest.approx(2 / 3) for x in h)
+    assert [x["train_cosine"] > 0 for x in h] == [False] * 2 + [True] * 6
+    for x in h:  # the total is the weighted sum of the means
+        want = 0.2 * (x["train_pos"] + x["train_neg"]) + 0.6 * x["train_cosine"] + 1.5 * x["train_loop_coverage"] * (x["train_loop_pos"] + x["train_loop_neg"])
+        assert x["train"] == pytest.approx(want)
+    assert np.array_equal(t.params["gcn1.w"], p["gcn1.w"]) and not np.array_equal(t.params["loop1.w"], p["loop1.w"])
+    before = [dict(x) for x in t.history]
+    first, second = (training.train(g, p, cfg, resume=t) for _ in range(2))
+    assert t.history == before and first.history == second.history and len(first.history) == 16
+
+
+def test_gradients_do_not_depend_on_partitions(spark):
+    p = model.init_params(model.ModelConfig(4, 8, 4, target_dim=3, loop_dim=4))
+    g = _tiny_graphs(spark, 5)
+    one, many = (training._pass(g.repartition(k), p, training.TrainConfig(), 0, True) for k in (1, 9))
+    assert one[1] == many[1] == 5 and one[0] == pytest.approx(many[0]) and one[2].keys() == p.keys()
+    assert all(np.allclose(one[2][k], many[2][k]) for k in p)
+    assert training._pass(g.filter("false"), p, training.TrainConfig(), 0, True)[1] == 0
