@@ -66,17 +66,21 @@ def first_row(df: DataFrame):
         return df.first()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder named by spark.checkpoint.dir, which cuts lineage; in one process a folder of our own serves if it is unset.
-    dropped() deletes it."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder named by spark.checkpoint.dir; in one process a folder of our own serves if it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="chromalith-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/chromalith/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/chromalith/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, which cuts lineage; dropped() deletes it."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     with _cleaned(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

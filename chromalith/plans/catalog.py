@@ -784,6 +784,19 @@ def windowed_votes(spark, d):
     return votes(table(spark, d, "events")).withColumn("total", F.round("total", 2))
 
 
+@query("""with v as (select distinct date_trunc('hour', ts) as start, event_type as chrom, (floor(value)::bigint % 50)::int as b, user_id from events)
+    select start, chrom, b, count(*) as votes from v where start + interval 1 hour <= (select max(ts) - interval 1 hour from events) group by all""")
+def votes_streamed(spark, d):
+    """Votes by keyed state with timers, over the events as a stream; windows that are over by the watermark."""
+    from chromalith.streaming.votes import votes_so_far
+
+    schema = table(spark, d, "events").schema
+    # a stream reads folders, so a table that is one file is named by a pattern
+    events = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
+    rows = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("chrom"), F.col("user_id").cast("string").alias("cell_id"), (F.floor("value") % 50).cast("int").alias("b"))
+    return votes_so_far(rows).select(F.col("start").cast("timestamp_ntz").alias("start"), "chrom", "b", "votes")
+
+
 # ---- text keys ----
 @query("select distinct cell_id || '_chr' || (length(cell_id) % 3 + 1) || '.pt' as name, cell_id as cell, 'chr' || (length(cell_id) % 3 + 1) as chrom from v_contacts")
 def graph_names(spark, d):
