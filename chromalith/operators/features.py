@@ -120,6 +120,19 @@ def merge_features(features: DataFrame, shared: DataFrame, first_bin: int = 0, s
     return features.join(emb, ["chrom", "bin"]).select("cell_id", "chrom", "bin", F.concat("feat", "_e").alias("feat"))
 
 
+def checked_features(features: DataFrame, shared: DataFrame, first_bin: int = 0) -> DataFrame:
+    """merge_features whose check is a part of the plan: no job of its own and no further scan, and whatever writes the result fails,
+    naming cell and chromosome, where a chromosome has no shared rows or another number of bins, or a bin has none or two."""
+    emb = shared.select("chrom", (F.col("bin") - first_bin).alias("bin"), F.col("emb").alias("_e"))
+    emb = emb.withColumn("_m", F.count(F.lit(1)).over(W.partitionBy("chrom")))
+    own = features.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("cell_id", "chrom")))
+    joined = own.join(emb, ["chrom", "bin"], "left").withColumn("_again", F.count(F.lit(1)).over(W.partitionBy("cell_id", "chrom", "bin")))
+    where = F.concat_ws(" ", F.lit("features of"), "cell_id", "chrom")
+    what = F.when(F.col("_m").isNull(), F.concat(F.lit("no shared row for bin "), F.col("bin").cast("string"))).when(F.col("_m") != F.col("_n"), F.concat(F.col("_n").cast("string"), F.lit(" rows, "), F.col("_m").cast("string"), F.lit(" shared ones"))).when(F.col("_again") > 1, F.concat(F.lit("more than one row of bin "), F.col("bin").cast("string")))
+    feat = F.when(what.isNotNull(), F.raise_error(F.concat(where, F.lit(": "), what)).cast(features.schema["feat"].dataType)).otherwise(F.concat("feat", "_e"))
+    return joined.select("cell_id", "chrom", "bin", feat.alias("feat"))
+
+
 def spread(df: DataFrame, array: str, names: list[str]) -> DataFrame:
     """Elements of an array column as columns."""
     return df.select(*[c for c in df.columns if c != array], *[F.element_at(array, i + 1).alias(n) for i, n in enumerate(names)])

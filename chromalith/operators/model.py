@@ -24,6 +24,8 @@ Params = dict[str, np.ndarray]
 
 @dataclass
 class ModelConfig:
+    """Layer sizes: fixed values."""
+
     in_dim: int
     hidden_dim: int = 128
     z_dim: int = 32
@@ -114,12 +116,34 @@ class Net:
         return self.mlp(g, "proj1", "proj2")
 
 
-def graph_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def graph_rows(nodes: DataFrame, edges: DataFrame, dims: DataFrame | None = None) -> DataFrame:
     """One row for each graph: feats in the order of bins, src and dst of canonical edges. Node and edge counts of a
-    graph are bounded by its chromosome."""
-    n = nodes.groupBy(*GRAPH).agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "feat"))), lambda s: s["feat"]).alias("x"))
+    graph are bounded by its chromosome.
+
+    dims (cell_id, chrom, n_bins): the shapes are checked as the rows are made, without a job or scan of its own: a graph whose bins are not
+    0 .. n_bins - 1, each once, whose feats differ in length, or whose edges lead outside fails whatever reads it, by name.
+    """
+    n = nodes.groupBy(*GRAPH).agg(F.sort_array(F.collect_list(F.struct("bin", "feat"))).alias("rows"))
     e = edges.filter("src < dst").groupBy(*GRAPH).agg(F.sort_array(F.collect_list(F.struct("src", "dst"))).alias("e"))
-    return n.join(e, GRAPH, "left").select(*GRAPH, "x", F.coalesce(F.transform("e", lambda s: s["src"]), F.expr("cast(array() as array<int>)")).alias("src"), F.coalesce(F.transform("e", lambda s: s["dst"]), F.expr("cast(array() as array<int>)")).alias("dst"))
+    none = F.expr("cast(array() as array<int>)")
+    out = n.join(e, GRAPH, "left").select(*GRAPH, "rows", F.transform("rows", lambda s: s["feat"]).alias("x"), *[F.coalesce(F.col("e")[c], none).alias(c) for c in ("src", "dst")])
+    if dims is not None:
+        # a graph of dims without any feature row has none to be told by
+        out = out.join(dims.select(*GRAPH, "n_bins"), GRAPH, "left")
+        size, text = F.size("rows"), lambda c: c.cast("string")
+        out_of_place = F.exists(F.transform("rows", lambda s, i: s["bin"] != i), lambda b: b)
+        uneven = F.size(F.array_distinct(F.transform("x", lambda v: F.coalesce(F.size(v), F.lit(-1))))) > 1
+        what = (
+            F.when(F.col("n_bins").isNull(), F.lit("no number of bins"))
+            .when(size != F.col("n_bins"), F.concat(text(size), F.lit(" feature rows, "), text(F.col("n_bins")), F.lit(" bins")))
+            .when(out_of_place, F.lit("a bin is missing or comes twice"))
+            .when(uneven, F.lit("feature rows of different lengths"))
+            .when((F.coalesce(F.array_max("dst"), F.lit(-1)) >= F.col("n_bins")) | (F.coalesce(F.array_min("src"), F.lit(0)) < 0), F.lit("an edge leads outside"))
+        )
+        name = F.concat_ws(" ", F.lit("graph of"), *GRAPH)
+        kind = out.schema["x"].dataType
+        out = out.withColumn("x", F.when(what.isNotNull(), F.raise_error(F.concat(name, F.lit(": "), what)).cast(kind)).otherwise(F.col("x")))
+    return out.select(*GRAPH, "x", "src", "dst")
 
 
 def _graph(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -432,7 +432,7 @@ def gcn_one_hop(spark, d):
 def _graphs(spark, d):
     m = _matrix(spark, d)
     feat = features.as_features(features.ldp(m, _dims(spark, d, m)))
-    return model.graph_rows(feat, m.select("cell_id", "chrom", F.col("i").alias("src"), F.col("j").alias("dst")))
+    return model.graph_rows(feat, m.select("cell_id", "chrom", F.col("i").alias("src"), F.col("j").alias("dst")), _dims(spark, d, m))
 
 
 _PARAMS = model.init_params(model.ModelConfig(5, 32, 8, target_dim=10, loop_dim=8))

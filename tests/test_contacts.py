@@ -148,6 +148,41 @@ def test_merge_features_checks_bins(spark):
     assert features.merge_features(f, e, 1, strict=False).first()["feat"] == [1.0, 5.0]
 
 
+def test_checks_of_shapes_are_parts_of_the_plan(spark):
+    key = "cell_id string, chrom string, bin int, feat array<double>"
+    shared = spark.createDataFrame([("chr1", b, [5.0 + b]) for b in (1, 2)], "chrom string, bin int, emb array<double>")
+    good = [("c", "chr1", 0, [1.0]), ("c", "chr1", 1, [2.0])]
+    out = features.checked_features(spark.createDataFrame(good, key), shared, 1)
+    assert sorted(tuple(r) for r in out.collect()) == [("c", "chr1", 0, [1.0, 6.0]), ("c", "chr1", 1, [2.0, 7.0])]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 2  # each table is read once
+    bad = {"2 rows, 2": None, "1 rows, 2 shared": [("d", "chr1", 0, [1.0])], "no shared row for bin 7": [("d", "chr1", 0, [1.0]), ("d", "chr1", 7, [1.0])], "no shared row for bin 0": [("d", "chr2", 0, [1.0])]}
+    for text, rows in bad.items():
+        if rows:
+            with pytest.raises(Exception, match=f"features of d chr[12]: {text}"):
+                features.checked_features(spark.createDataFrame(good + rows, key), shared, 1).collect()
+    with pytest.raises(Exception, match="more than one row of bin 0"):
+        features.checked_features(spark.createDataFrame([good[0], good[0]], key), shared, 1).collect()
+
+
+def test_checks_of_graph_assembly(spark):
+    from chromalith.operators import model
+
+    key = "cell_id string, chrom string, bin int, feat array<double>"
+    good = [("c", "chr1", b, [float(b), 1.0]) for b in range(3)]
+    edges = spark.createDataFrame([("c", "chr1", 0, 2), ("c", "chr1", 2, 0)], "cell_id string, chrom string, src int, dst int")
+    dims = spark.createDataFrame([("c", "chr1", 3)], "cell_id string, chrom string, n_bins int")
+    row = model.graph_rows(spark.createDataFrame(good, key), edges, dims).first()
+    assert (row.x, row.src, row.dst) == ([[0.0, 1.0], [1.0, 1.0], [2.0, 1.0]], [0], [2])
+    cases = [(good[:2], "2 feature rows, 3 bins"), ([*good[:2], good[1]], "missing or comes twice"), ([*good[:2], ("c", "chr1", 2, [1.0])], "different lengths"), ([("c", "chr2", 0, [1.0])], "no number of bins")]
+    for rows, text in cases:
+        with pytest.raises(Exception, match=f"graph of c chr[12]: .*{text}"):
+            model.graph_rows(spark.createDataFrame(rows, key), edges, dims).collect()
+    with pytest.raises(Exception, match="an edge leads outside"):
+        model.graph_rows(spark.createDataFrame(good, key), edges.withColumn("dst", F.lit(3)), dims).collect()
+    assert model.graph_rows(spark.createDataFrame(good[:2], key), edges).count() == 1
+
+
 def test_svd_matches_numpy(spark):
     import numpy as np
 
