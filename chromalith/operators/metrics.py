@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chromalith.functions.vectors import numbers
+
 
 def auc(scores: DataFrame, key: str = "graph") -> DataFrame:
     """ROC-AUC of each group with half credit for ties, NaN for a group of one class: scores are first counted by value, so equal scores shuffle once."""
@@ -146,32 +149,77 @@ def hungarian_accuracy(pairs: DataFrame) -> float:
     return sum(int(m[i, j]) for i, j in assignment(-m.astype(float))) / max(1, int(m.sum()))
 
 
-def silhouette(points: DataFrame, block: int = 2000) -> DataFrame:
-    """Mean Euclidean silhouette of (id, cluster, x). Points are cut into blocks; every block meets every block once and
-    sends, for each point, sums of distances by cluster. NaN for fewer than two clusters; a singleton counts 0."""
+def _centres(pts: DataFrame) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Clusters, their means, mean squared distances from these, and sizes."""
+    one = pts.select("cluster", F.posexplode("x").alias("k", "v")).groupBy("cluster", "k").agg(F.avg("v").alias("m"), F.var_pop("v").alias("s"), F.count(F.lit(1)).alias("n"))
+    rows = one.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("k", "m"))).alias("m"), F.sum("s").alias("s"), F.max("n").alias("n")).orderBy("cluster").collect()
+    return [r["cluster"] for r in rows], np.array([[e["m"] for e in r["m"]] for r in rows]), np.array([r["s"] for r in rows]), np.array([r["n"] for r in rows])
+
+
+def silhouette_points(points: DataFrame, block: int = 2000, most_centres: int = 4_000_000) -> DataFrame:
+    """id, cluster, a, b, silhouette, met for points (id, cluster, x): the Euclidean silhouette of every point and the number of points
+    that it was held against. NaN for fewer than two clusters; a singleton counts 0.
+
+    A point's mean distance to a cluster is at least its distance d to the cluster's mean, and at most the root of d**2 and the
+    cluster's variance. Only clusters whose lower bound is not above the least upper bound can be the nearest, so a point meets
+    these and its own alone; sums over them are exact. Points and clusters are dealt in blocks of `block` points. Means are sent
+    with the tasks if they have at most most_centres numbers; beyond that nothing is passed over.
+    """
     pts = points.select("id", "cluster", "x")
-    n = max(1, math.ceil(pts.count() / block))
-    part = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = pts.select("id", "cluster", "x", part.alias("p"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("q"))
-    right = pts.select("cluster", "x", part.alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("p"))
-
-    def distances(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "cluster": [], "other": [], "s": []})
-        x, y = np.stack(a["x"].to_numpy()).astype(float), np.stack(b["x"].to_numpy()).astype(float)
-        d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
-        out = [pd.DataFrame({"id": a["id"], "cluster": a["cluster"], "other": k, "s": d[:, (b["cluster"] == k).to_numpy()].sum(1)}) for k in b["cluster"].unique()]
-        return pd.concat(out)
+    names, means, spread, sizes = _centres(pts)
+    parts = [max(1, math.ceil(n / block)) for n in sizes]
+    bounded = means.size <= most_centres
+
+    def candidates(batches):
+        own = {c: k for k, c in enumerate(names)}
+        for b in batches:
+            x = numbers(b.column("x"))
+            if not len(x):
+                continue
+            at = np.array([own[c] for c in b.column("cluster").to_pylist()])
+            wanted = np.ones((len(x), len(names)), bool)
+            if bounded:
+                low = np.empty(wanted.shape)
+                for k, m in enumerate(means):
+                    low[:, k] = np.sqrt(((x - m) ** 2).sum(1))
+                high = np.sqrt(low * low + spread)
+                high[np.arange(len(x)), at] = np.inf
+                wanted = low <= high.min(1, keepdims=True) * (1 + 1e-9) + 1e-12
+            wanted[np.arange(len(x)), at] = True
+            i, k = np.nonzero(wanted)
+            yield pa.RecordBatch.from_arrays([b.column(n).take(pa.array(i)) for n in ("id", "cluster", "x")] + [pa.array(k, pa.int32())], ["id", "cluster", "x", "k"])
 
     kind = dict(pts.dtypes)
-    sums = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(distances, f"id {kind['id']}, cluster {kind['cluster']}, other {kind['cluster']}, s double")
-    sums = sums.groupBy("id", "cluster", "other").agg(F.sum("s").alias("s"))
-    sizes = pts.groupBy(F.col("cluster").alias("other")).agg(F.count(F.lit(1)).alias("m"))
-    rows = sums.join(F.broadcast(sizes), "other")
-    own = F.col("other") == F.col("cluster")
-    per = rows.groupBy("id").agg(F.max(F.when(own, F.col("s") / F.greatest(F.col("m") - 1, F.lit(1)))).alias("a"), F.max(F.when(own, F.col("m"))).alias("m"), F.min(F.when(~own, F.col("s") / F.col("m"))).alias("b"))
-    value = F.when(F.col("b").isNull(), F.lit(float("nan"))).when(F.col("m") == 1, F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return per.agg(F.avg(value).alias("silhouette"))
+    x = pts.withColumn("x", F.col("x").cast("array<double>"))
+    left = x.mapInArrow(candidates, f"id {kind['id']}, cluster {kind['cluster']}, x array<double>, k int")
+    many = left.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("p")).collect()
+    rows = {r["k"]: r["p"] for r in many}
+    count = lambda of: F.element_at(F.array(*[F.lit(int(of(k))) for k in range(len(names))] or [F.lit(1)]), F.col("k") + 1)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    p_of, q_of = count(lambda k: rows.get(k, 1)), count(lambda k: parts[k])
+    left = left.select("*", F.pmod(F.xxhash64("id"), p_of).cast("int").alias("p"), every(q_of).alias("q"))
+    number = F.element_at(F.map_from_arrays(F.array(*[F.lit(c) for c in names]), F.sequence(F.lit(0), F.lit(len(names) - 1))), F.col("cluster")) if names else F.lit(0)
+    right = x.withColumn("k", number).select("k", "x", F.pmod(F.xxhash64("id"), q_of).cast("int").alias("q"), every(p_of).alias("p"))
+
+    def distances(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return a.select(["id", "cluster", "k"]).slice(0, 0).append_column("s", pa.array([], pa.float64())).append_column("m", pa.array([], pa.int64()))
+        x, y = numbers(a["x"]), numbers(b["x"])
+        d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
+        return a.select(["id", "cluster", "k"]).append_column("s", pa.array(d.sum(1))).append_column("m", pa.array(np.full(len(x), len(y))))
+
+    keys = ("k", "q", "p")
+    sums = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: distances(a, b), f"id {kind['id']}, cluster {kind['cluster']}, k int, s double, m bigint")
+    sums = sums.groupBy("id", "cluster", "k").agg(F.sum("s").alias("s"), F.sum("m").alias("m"))
+    own = F.col("k") == number
+    per = sums.groupBy("id", "cluster").agg(F.max(F.when(own, F.col("s") / F.greatest(F.col("m") - 1, F.lit(1)))).alias("a"), F.max(F.when(own, F.col("m"))).alias("n"), F.min(F.when(~own, F.col("s") / F.col("m"))).alias("b"), F.sum("m").alias("met"))
+    value = F.when(F.col("b").isNull(), F.lit(float("nan"))).when(F.col("n") == 1, F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return per.select("id", "cluster", "a", "b", value.alias("silhouette"), "met")
+
+
+def silhouette(points: DataFrame, block: int = 2000) -> DataFrame:
+    """The mean silhouette of (id, cluster, x), see silhouette_points."""
+    return silhouette_points(points, block).agg(F.avg("silhouette").alias("silhouette"))
 
 
 def clustering_metrics(pairs: DataFrame, points: DataFrame | None = None) -> DataFrame:

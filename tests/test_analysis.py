@@ -179,6 +179,29 @@ def test_silhouette_brute_force(spark):
     assert metrics.silhouette(df, block=7).first()[0] == pytest.approx(np.mean(vals))
 
 
+def test_silhouette_passes_over_far_clusters(spark):
+    """Far clusters are settled by the distances of their means; the values are those of all pairs."""
+    rng = np.random.default_rng(3)
+    n, k = 240, 12
+    c = rng.integers(0, k, n)
+    x = rng.normal(size=(k, 3))[c] * 20 + rng.normal(size=(n, 3))
+    df = spark.createDataFrame([(i, f"k{c[i]}", x[i].tolist()) for i in range(n)], "id long, cluster string, x array<double>").repartition(3)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    means = np.array([[d[i, c == g].sum() / max(1, (c == g).sum() - (g == c[i])) for g in range(k)] for i in range(n)])
+    a = means[np.arange(n), c]
+    means[np.arange(n), c] = np.inf
+    b = means.min(1)
+    got = {r.id: r for r in metrics.silhouette_points(df, block=17).collect()}
+    assert len(got) == n
+    for i in range(n):
+        assert (got[i].a, got[i].b, got[i].silhouette) == pytest.approx((a[i], b[i], (b[i] - a[i]) / max(a[i], b[i])))
+    met = sum(r.met for r in got.values())
+    assert met < n * n / 3
+    assert sum(r.met for r in metrics.silhouette_points(df, most_centres=1).collect()) == n * n
+    one = spark.createDataFrame([(1, 1, [0.0]), (2, 1, [1.0])], "id long, cluster int, x array<double>")
+    assert np.isnan(metrics.silhouette(one).first()[0]) and metrics.silhouette(one.filter("false")).first()[0] is None
+
+
 def test_metrics_of_degenerate_groups(spark):
     none = spark.createDataFrame([("g", 0.9, 0), ("g", 0.8, 0), ("h", 0.5, 1)], "graph string, score double, y int")
     assert {r.graph: r.ap for r in metrics.average_precision(none).collect()} == {"g": 0.0, "h": 1.0}
