@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from chromalith import schemas
 from chromalith.functions.columns import cell_name, with_chr
 from chromalith.operators.contacts import label_index
+from chromalith.sources.archives import entries
 
 PATH = "_metadata.file_path"
 
@@ -107,7 +108,7 @@ def labels(spark: SparkSession, path: str, cell_col: str = "cell_id") -> DataFra
     lost = {cell_col, "cell_type"} - set(df.columns)
     if lost:
         raise ValueError(f"label table without {sorted(lost)}")
-    return label_index(df.select(F.col(cell_col).alias("cell_id"), "cell_type", F.monotonically_increasing_id().alias("position")))
+    return label_index(df.select(F.col(cell_col).alias("cell_id"), "cell_type", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("position")))
 
 
 def _split_lines(spark: SparkSession, path: str, pattern: str = r"\s+|,") -> DataFrame:
@@ -196,25 +197,16 @@ def target_embeddings(spark: SparkSession, names_path: str, array_path: str) ->
 
 
 def matrices_npz(spark: SparkSession, path: str) -> DataFrame:
-    """Long-form entries from npz archives, decoded without pickles: dense 2-D arrays, or the four CSR parts
-    `<chrom>__data`, `__indices`, `__indptr`, `__shape`."""
+    """Long-form entries from npz archives, read whole and decoded without pickles; see archives for the encodings, and for a source that
+    opens single matrices."""
 
     def run(batches):
         for pdf in batches:
             for _, r in pdf.iterrows():
                 cell = r["path"].rsplit("/", 1)[-1].removesuffix(".npz")
                 with np.load(io.BytesIO(r["content"]), allow_pickle=False) as z:
-                    for key in z.files:
-                        if key.endswith("__data"):
-                            chrom = key[: -len("__data")]
-                            ptr = z[f"{chrom}__indptr"]
-                            i, j, v = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr)), z[f"{chrom}__indices"], z[key]
-                        elif "__" not in key and z[key].ndim == 2:
-                            chrom, a = key, z[key]
-                            i, j = np.nonzero(a)
-                            v = a[i, j]
-                        else:
-                            continue
+                    for chrom in sorted({k.partition("__")[0] for k in z.files}):
+                        i, j, v = entries({k: z[k] for k in z.files if k.partition("__")[0] == chrom}, chrom)
                         yield pd.DataFrame({"cell_id": cell, "chrom": chrom, "i": i.astype("int32"), "j": j.astype("int32"), "v": v.astype(float)})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schemas.MATRIX)

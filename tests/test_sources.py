@@ -157,3 +157,75 @@ def test_table_writers(spark, tmp_path):
     assert [r.start for r in spark.read.csv(str(tmp_path / "t"), sep="\t", header=True).collect()] == ["0", "10", "0"]
     writers.write_config(spark, str(tmp_path / "cfg"), binsize=10, vote=0.5)
     assert spark.read.json(str(tmp_path / "cfg")).first().asDict() == {"binsize": 10, "vote": 0.5}
+
+
+def test_fasta_blocks_give_the_bins_of_whole_sequences(spark, tmp_path):
+    """Records over many splits, lines of any length, `>` inside a header, blanks, an empty record, small letters, two files."""
+    import random
+
+    from chromalith.operators.features import dna_bins
+    from chromalith.sources import blocks
+
+    r = random.Random(2)
+    texts: dict[str, str] = {}
+    for f in range(2):
+        out = []
+        for c in range(4):
+            seq = "".join(r.choice("acgtN") for _ in range([0, 900, 2503, 77][c]))
+            texts[f"chr{f}{c}"] = seq.upper()
+            out.append(f">{'chr' if c % 2 else ''}{f}{c} some > text\n")
+            at = 0
+            while at < len(seq):
+                n = r.choice([1, 7, 60, 500])
+                out.append(seq[at : at + n] + r.choice(["\n", " \n", "\n\n"]))
+                at += n
+        (tmp_path / f"g{f}.fa").write_text("".join(out))
+    want = sorted(tuple(x) for x in dna_bins(spark.createDataFrame(list(texts.items()), "chrom string, sequence string"), 64).collect())
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("200b", held):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            pieces = blocks.fasta_blocks(spark, str(tmp_path / "g*.fa"), block=40)
+            assert pieces.agg(F.max(F.length("sequence"))).first()[0] == 40
+            got = blocks.bins_of_blocks(pieces, 64)
+            assert sorted(tuple(x) for x in got.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "none.fa").write_text("ACGT\n>x\n")
+    assert blocks.fasta_blocks(spark, str(tmp_path / "none.fa")).count() == 0  # letters before any header belong to no record
+
+
+def test_archives_open_only_what_is_asked_for(spark, tmp_path):
+    from chromalith.sources import archives
+
+    rng = np.random.default_rng(0)
+    a = np.where(rng.random((9, 9)) < 0.3, rng.integers(1, 9, (9, 9)), 0).astype(float)
+    i, j = np.nonzero(a)
+    ptr = lambda of, n: np.concatenate(([0], np.cumsum(np.bincount(of, minlength=n))))
+    t = np.lexsort((i, j))
+    for cell in ("c1", "c2"):
+        np.savez(
+            tmp_path / f"{cell}.npz", chr1=a,
+            chr2__data=a[i, j], chr2__indices=j, chr2__indptr=ptr(i, 9), chr2__shape=[9, 9],
+            chr3__data=a[i, j][t], chr3__indices=i[t], chr3__indptr=ptr(j, 9), chr3__format=np.array("csc"),
+            chr4__data=a[i, j], chr4__row=i, chr4__col=j, chr4__format=np.array("coo"), chr4__shape=[9, 9],
+            bad=np.array([{}], object),
+        )
+    archives.register(spark)
+    want = sorted(zip(i.tolist(), j.tolist(), a[i, j].tolist(), strict=True))
+    load = lambda **o: spark.read.format("contact_npz").options(**o).load(str(tmp_path))
+    good = load(chroms="chr1,chr2,chr3,chr4")
+    got = {}
+    for r in good.collect():
+        got.setdefault((r.cell_id, r.chrom), []).append((r.i, r.j, r.v))
+    assert {k: sorted(v) for k, v in got.items()} == {(c, f"chr{k}"): want for c in ("c1", "c2") for k in (1, 2, 3, 4)}
+    assert good.rdd.getNumPartitions() == 8 and load(cells="c2", chroms="chr3").rdd.getNumPartitions() == 1
+    some = load().filter("chrom = 'chr4' and cell_id in ('c1', 'x') and v > 2")
+    assert some.rdd.getNumPartitions() == 1 and sorted((r.i, r.j, r.v) for r in some.collect()) == [x for x in want if x[2] > 2]
+    with pytest.raises(Exception, match="Object arrays|allow_pickle"):
+        load(chroms="bad").collect()
+    assert load(chroms="chr9").count() == 0
+    with pytest.raises(ValueError, match="no known encoding"):
+        archives.entries({"x__data": np.ones(2)}, "x")
