@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning.
 
-A sentence's probability is a logistic function of its hashed words and character n-grams (4 and 5 bytes); a document's is the noisy-or of its
+A sentence's probability is a logistic function of its hashed words and character n-grams (4, 5 and 6 bytes); a document's is the noisy-or of its
 sentences, 1 - prod(1 - p). Only document labels are learnt from, by numpy gradient steps on a bounded sample
 (parameters max_docs and max_bytes); sentences at or above `sentence_threshold` are then the offending ones.
 
@@ -23,6 +23,8 @@ from chromalith.llm import _text
 from chromalith.llm._train import fold, learn_from, training_sample
 
 BITS = 18
+#: Lengths of n-grams in bytes, chosen by cross-validation within the learning folds.
+SIZES = (4, 5, 6)
 NARROW, WIDE = 14, 40  # bits of a sentence's number beside a bucket
 GAPS = _text.SPACE.copy()
 GAPS[[b for b in range(128) if not chr(b).isalnum()]] = True
@@ -41,7 +43,7 @@ class Sentences:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         bounds = np.unique(np.concatenate((offsets, np.flatnonzero(ENDS[data]) + 1)))
-        self.features = list(_text.features(data, offsets, _text.LOWER, GAPS, (4, 5), BITS))
+        self.features = list(_text.features(data, offsets, _text.LOWER, GAPS, SIZES, BITS))
         has = np.diff(np.searchsorted(self.features[0][0], bounds)) > 0
         self.begin, self.end = bounds[:-1][has], bounds[1:][has]
         self.first = np.searchsorted(self.begin, offsets)
