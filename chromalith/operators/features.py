@@ -105,6 +105,49 @@ def sequence_embedding(bins: DataFrame, make_model, dim: int) -> DataFrame:
     return bins.select("chrom", F.col("bin").cast("int").alias("bin"), "sequence").mapInArrow(run, "chrom string, bin int, emb array<float>")
 
 
+def token_embedding(bins: DataFrame, make_model, dim: int, pool: str = "last", max_tokens: int = 1 << 16) -> DataFrame:
+    """Embeds bins by a model over tokens and takes the vector of the first or last token.
+
+    make_model() is called once for a task and gives two functions: from a list of sequences to lists of token numbers, and from an
+    array of token numbers (sequences x longest, filled with 0) and their lengths to vectors (sequences x longest x dim). Sequences are dealt
+    out by length and then by hash, so that a task's are alike; of a task's batch the shortest go first, as many at once as have
+    max_tokens tokens with their filling (one sequence may have more). What a sequence's vector is doesn't depend on its
+    neighbours, if the model keeps filling apart. A sequence without tokens has zeros.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    if pool not in ("first", "last"):
+        raise ValueError(f"pool is {pool!r}, neither 'first' nor 'last'")
+
+    def run(batches):
+        tokenize, forward = make_model()
+        for b in batches:
+            tokens = [list(t) for t in tokenize(b.column(2).to_pylist())]
+            lengths = np.array([len(t) for t in tokens], int)
+            out = np.zeros((len(tokens), dim), np.float32)
+            order = np.argsort(lengths, kind="stable")
+            order = order[lengths[order] > 0]
+            while len(order):
+                # sorted by length, so the last of a batch says how wide it is
+                wide = lengths[order] * np.arange(1, len(order) + 1)
+                n = max(1, int(np.searchsorted(wide, max_tokens, "right")))
+                some, order = order[:n], order[n:]
+                ids = np.zeros((n, lengths[some[-1]]), np.int64)
+                for row, i in enumerate(some):
+                    ids[row, : lengths[i]] = tokens[i]
+                vectors = np.asarray(forward(ids, lengths[some]))
+                if vectors.shape != (*ids.shape, dim):
+                    raise ValueError(f"the model gives {vectors.shape} for {ids.shape} tokens, not {dim} numbers for each")
+                out[some] = vectors[np.arange(n), 0 if pool == "first" else lengths[some] - 1]
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * dim), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), rows], ["chrom", "bin", "emb"])
+
+    rows = bins.select("chrom", F.col("bin").cast("int").alias("bin"), F.coalesce("sequence", F.lit("")).alias("sequence"))
+    rows = rows.repartitionByRange(F.length("sequence"), F.xxhash64("chrom", "bin"))
+    return rows.mapInArrow(run, "chrom string, bin int, emb array<float>")
+
+
 def merge_features(features: DataFrame, shared: DataFrame, first_bin: int = 0, strict: bool = True) -> DataFrame:
     """[feat, emb] for every node: features by (cell_id, chrom, bin), shared rows by (chrom, bin) for all cells.
 

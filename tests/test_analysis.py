@@ -334,3 +334,31 @@ def test_gradients_do_not_depend_on_partitions(spark):
     assert one[1] == many[1] == 5 and one[0] == pytest.approx(many[0]) and one[2].keys() == p.keys()
     assert all(np.allclose(one[2][k], many[2][k]) for k in p)
     assert training._pass(g.filter("false"), p, training.TrainConfig(), 0, True)[1] == 0
+
+
+def test_token_pooling_in_batches_by_length(spark):
+    from chromalith.operators import features
+
+    code = {"A": 1, "C": 2, "G": 3, "T": 4}
+
+    def make_model():
+        def forward(ids, lengths):
+            assert (ids != 0).sum(1).tolist() == lengths.tolist() and (ids.size <= 40 or len(ids) == 1)
+            return np.stack([np.cumsum(ids, 1), ids], 2)  # a vector knows what came before it
+
+        return lambda texts: [[code[c] for c in t] for t in texts], forward
+
+    rng = np.random.default_rng(0)
+    texts = ["".join(rng.choice(list("ACGT"), n)) for n in [1, 2, 3, 5, 8, 13, 21, 60, 0, 3, 3, 7, 7, 7]]
+    bins = spark.createDataFrame([("chr1", k, t) for k, t in enumerate(texts)] + [("chr1", 99, None)], "chrom string, bin long, sequence string")
+    for pool, at in (("first", 0), ("last", -1)):
+        for parts in (1, 5):
+            got = {r.bin: list(r.emb) for r in features.token_embedding(bins.repartition(parts), make_model, 2, pool, max_tokens=40).collect()}
+            assert got.pop(99) == [0.0, 0.0] and len(got) == len(texts)
+            for k, t in enumerate(texts):
+                ids = [code[c] for c in t]
+                assert got[k] == ([float(np.cumsum(ids)[at]), float(ids[at])] if ids else [0.0, 0.0])
+    with pytest.raises(ValueError, match="neither"):
+        features.token_embedding(bins, make_model, 2, "mean")
+    with pytest.raises(Exception, match="not 3 numbers"):
+        features.token_embedding(bins, make_model, 3, max_tokens=40).collect()
