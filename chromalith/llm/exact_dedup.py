@@ -56,7 +56,14 @@ def stream_state(rows: DataFrame, batch_bytes: int) -> tuple[DataFrame, DataFram
     source = scratch_path(spark, "dedup-rows")
     write(rows, source)
     target, at = scratch_path(spark, "dedup-state"), scratch_path(spark, "dedup-stream")
-    state_store = {"spark__sql__streaming__stateStore__providerClass": ROCKSDB, "spark__sql__streaming__stateStore__rocksdb__allowFAllocate": "false"}
+    state_store = {
+        "spark__sql__streaming__stateStore__providerClass": ROCKSDB,
+        "spark__sql__streaming__stateStore__rocksdb__allowFAllocate": "false",
+        # an executor holds many partitions' states: their buffers share one bound, and each is closed when its task has committed
+        "spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage": "true",
+        "spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB": "128",
+        "spark__sql__streaming__stateStore__unloadOnCommit": "true",
+    }
     with settings(spark, **state_store):
         stream = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", batch_bytes).parquet(source)
         state = stream.groupBy("digest").agg(F.min(rank()).alias("keep"), F.count(F.lit(1)).alias("group_size"))
