@@ -44,8 +44,10 @@ def tree_sum(vectors: DataFrame, fan: int = FAN) -> DataFrame:
             yield pa.RecordBatch.from_arrays([lists(total[None])], [name])
 
     kind = f"{name} array<double>"
-    own = vectors.mapInArrow(add, kind).withColumn("_part", F.spark_partition_id() % fan)
-    return own.repartition(fan, "_part").select(name).mapInArrow(add, kind).repartition(1).mapInArrow(add, kind)
+    # in the order of the tasks, so that sums of a table dealt out alike are alike to the last bit
+    own = vectors.mapInArrow(add, kind).withColumn("_task", F.spark_partition_id())
+    some = own.repartition(fan, F.col("_task") % fan).sortWithinPartitions("_task").select(name).mapInArrow(add, kind).withColumn("_task", F.spark_partition_id())
+    return some.repartition(1).sortWithinPartitions("_task").select(name).mapInArrow(add, kind)
 
 
 @contextmanager
