@@ -6,13 +6,20 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_matrices(matrix: DataFrame, path: str, overwrite: bool = True) -> None:
-    """Long-form matrices by cell; without overwrite an existing table is an error, and so is an empty matrix."""
-    if matrix.isEmpty():
+    """Long-form matrices by cell. Rows without an index or a value are left out; indices that aren't whole numbers or values that aren't
+    numbers are an error, and so is a matrix without rows, or an existing table if overwrite is off."""
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    for name, kinds in (("i", whole), ("j", whole), ("v", T.NumericType)):
+        if not isinstance(kind := matrix.schema[name].dataType, kinds):
+            raise TypeError(f"{name} is {kind.simpleString()}")
+    rows = matrix.dropna(subset=["i", "j", "v"])
+    if rows.isEmpty():
         raise ValueError("no matrix to write")
-    matrix.repartition("cell_id").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("cell_id").parquet(path)
+    rows.repartition("cell_id").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("cell_id").parquet(path)
 
 
 def write_by_cell(df: DataFrame, path: str) -> None:

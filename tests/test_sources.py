@@ -229,3 +229,15 @@ def test_archives_open_only_what_is_asked_for(spark, tmp_path):
     assert load(chroms="chr9").count() == 0
     with pytest.raises(ValueError, match="no known encoding"):
         archives.entries({"x__data": np.ones(2)}, "x")
+
+
+def test_matrix_writer_skips_nulls_and_refuses_types(spark, tmp_path):
+    kind = "cell_id string, chrom string, i int, j int, v double"
+    m = spark.createDataFrame([("c", "chr1", 0, 1, 2.0), ("c", "chr1", 0, 2, None), ("c", "chr1", None, 2, 1.0)], kind)
+    writers.write_matrices(m, str(tmp_path / "m"))
+    assert [(r.i, r.j, r.v) for r in spark.read.parquet(str(tmp_path / "m")).collect()] == [(0, 1, 2.0)]
+    for name, wrong in (("i", "string"), ("j", "double"), ("v", "string")):
+        with pytest.raises(TypeError, match=f"{name} is {wrong}"):
+            writers.write_matrices(m.withColumn(name, F.col(name).cast(wrong)), str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="no matrix"):
+        writers.write_matrices(m.filter("v is null"), str(tmp_path / "t"))
