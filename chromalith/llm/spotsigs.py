@@ -12,7 +12,8 @@ and prunes by prefix and position before it computes a Jaccard coefficient.
 
 Null texts count as empty; equal texts have equal fingerprints; two empty texts are alike (1.0). In `edited_pairs`
 rows of equal identifiers follow each other by text, descending; null identifiers come last; a single row is its own
-next. An empty table gives no rows. Only the identifier and the text are read.
+next. Its identifiers must be whole numbers or null, as blocks are cut by their differences. An empty table gives no
+rows. Only the identifier and the text are read.
 """
 
 from __future__ import annotations
