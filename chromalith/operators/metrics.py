@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from chromalith.functions.vectors import numbers
 
 
+TILE = 1 << 22
+
+
 def auc(scores: DataFrame, key: str = "graph") -> DataFrame:
     """ROC-AUC of each group with half credit for ties, NaN for a group of one class: scores are first counted by value, so equal scores shuffle once."""
     c = scores.groupBy(key, "score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("p"))
@@ -156,7 +159,7 @@ def _centres(pts: DataFrame) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
     return [r["cluster"] for r in rows], np.array([[e["m"] for e in r["m"]] for r in rows]), np.array([r["s"] for r in rows]), np.array([r["n"] for r in rows])
 
 
-def silhouette_points(points: DataFrame, block: int = 2000, most_centres: int = 4_000_000) -> DataFrame:
+def silhouette_points(points: DataFrame, block: int = 20_000, most_centres: int = 4_000_000) -> DataFrame:
     """id, cluster, a, b, silhouette, met for points (id, cluster, x): the Euclidean silhouette of every point and the number of points
     that it was held against. NaN for fewer than two clusters; a singleton counts 0.
 
@@ -205,8 +208,10 @@ def silhouette_points(points: DataFrame, block: int = 2000, most_centres: int =
         if not a.num_rows or not b.num_rows:
             return a.select(["id", "cluster", "k"]).slice(0, 0).append_column("s", pa.array([], pa.float64())).append_column("m", pa.array([], pa.int64()))
         x, y = numbers(a["x"]), numbers(b["x"])
-        d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
-        return a.select(["id", "cluster", "k"]).append_column("s", pa.array(d.sum(1))).append_column("m", pa.array(np.full(len(x), len(y))))
+        xx, yy = (x * x).sum(1), (y * y).sum(1)
+        rows = max(1, TILE // len(y))  # at once: a block's distances are never held together
+        s = [np.sqrt(np.maximum(0, xx[i : i + rows, None] + yy[None] - 2 * x[i : i + rows] @ y.T)).sum(1) for i in range(0, len(x), rows)]
+        return a.select(["id", "cluster", "k"]).append_column("s", pa.array(np.concatenate(s))).append_column("m", pa.array(np.full(len(x), len(y))))
 
     keys = ("k", "q", "p")
     sums = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: distances(a, b), f"id {kind['id']}, cluster {kind['cluster']}, k int, s double, m bigint")
@@ -217,7 +222,7 @@ def silhouette_points(points: DataFrame, block: int = 2000, most_centres: int =
     return per.select("id", "cluster", "a", "b", value.alias("silhouette"), "met")
 
 
-def silhouette(points: DataFrame, block: int = 2000) -> DataFrame:
+def silhouette(points: DataFrame, block: int = 20_000) -> DataFrame:
     """The mean silhouette of (id, cluster, x), see silhouette_points."""
     return silhouette_points(points, block).agg(F.avg("silhouette").alias("silhouette"))
 
