@@ -28,10 +28,10 @@ def lists(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(rows, float).ravel()))
 
 
-def tree_sum(vectors: DataFrame, fan: int = FAN) -> DataFrame:
+def tree_sum(vectors: DataFrame, fan: int = FAN, tasks: int | None = None) -> DataFrame:
     """The sum of the one column of vectors (array<double>, all equally long, none null), as one row; none of an empty table. Every task
     sums its own rows, then `fan` tasks each sum what a part of the tasks gave, then one sums these: no task reads more than fan rows or the
-    share of its part."""
+    share of its part. tasks: the number of tasks of vectors, each of which has one row at most; up to fan of them go to the last task at once."""
     name = vectors.columns[0]
 
     def add(batches):
@@ -45,7 +45,9 @@ def tree_sum(vectors: DataFrame, fan: int = FAN) -> DataFrame:
 
     kind = f"{name} array<double>"
     # in the order of the tasks, so that sums of a table dealt out alike are alike to the last bit
-    own = vectors.mapInArrow(add, kind).withColumn("_task", F.spark_partition_id())
+    own = (vectors if tasks else vectors.mapInArrow(add, kind)).withColumn("_task", F.spark_partition_id())
+    if tasks and tasks <= fan:
+        return own.repartition(1).sortWithinPartitions("_task").select(name).mapInArrow(add, kind)
     some = own.repartition(fan, F.col("_task") % fan).sortWithinPartitions("_task").select(name).mapInArrow(add, kind).withColumn("_task", F.spark_partition_id())
     return some.repartition(1).sortWithinPartitions("_task").select(name).mapInArrow(add, kind)
 

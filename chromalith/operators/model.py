@@ -88,8 +88,8 @@ class Net:
         n = len(x)
         src, dst = np.concatenate((src, np.arange(n))), np.concatenate((dst, np.arange(n)))
         root = np.bincount(dst, minlength=n) ** -0.5
-        weight = (root[src] * root[dst])[:, None]
-        conv = lambda h, name: (h @ self.p[f"{name}.w"]).rows(src).__mul__(weight).segment_sum(dst, n) + self.p[f"{name}.b"]
+        weight = root[src] * root[dst]
+        conv = lambda h, name: (h @ self.p[f"{name}.w"]).spread(src, dst, weight) + self.p[f"{name}.b"]
         c = x - x.mean(1, keepdims=True)
         h = Var(c / np.sqrt((c * c).mean(1, keepdims=True) + 1e-5)) * self.p["norm.w"] + self.p["norm.b"]
         h = conv(h, "gcn1").relu()

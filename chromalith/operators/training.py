@@ -52,39 +52,40 @@ def weighted_total(recon: Column, cosine: Column, loop: Column, cfg: TrainConfig
     return cfg.w_recon * recon + cfg.w_cosine * cosine + (cfg.w_loop * F.coalesce(loop, F.lit(0.0)) if cfg.w_loop > 0 else F.lit(0.0))
 
 
-def _free_pairs(n: int, taken: set[tuple[int, int]], low: int, top: int) -> np.ndarray:
-    """All pairs i < j below n at a distance of low..top that are not taken."""
+def _free_pairs(n: int, taken: np.ndarray, low: int, top: int) -> np.ndarray:
+    """All pairs i < j below n at a distance of low..top whose numbers i * n + j are not taken."""
     steps = np.arange(low, top + 1)
     a = np.concatenate([np.arange(n - d) for d in steps]) if len(steps) else np.zeros(0, int)
     b = a + np.repeat(steps, n - steps)
-    hit = np.array([i * n + j for i, j in taken], int)
-    free = ~np.isin(a * n + b, hit)
-    return np.stack([a[free], b[free]], 1)
+    pairs = a * n + b
+    return pairs[~np.isin(pairs, taken)]
 
 
-def _negatives(rng, n: int, taken: set[tuple[int, int]], want: int, low: int = 5, high: int = 100, share: float = 0.7) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j that are not taken: int(want * share) at a distance of low..high, then others drawn uniformly; fewer only if no
-    more are free. Pairs are drawn and those that are taken rejected; where taken and wanted ones are over half of a band, it is no
-    larger than twice these, so its free pairs are listed and drawn from."""
-    out: set[tuple[int, int]] = set()
+def _negatives(rng, n: int, taken: set[tuple[int, int]] | np.ndarray, want: int, low: int = 5, high: int = 100, share: float = 0.7) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j that are not taken (a set of pairs, or an array of rows): int(want * share) at a distance of low..high, then others drawn uniformly;
+    fewer only if no more are free. Pairs are drawn and those that are taken rejected; where taken and wanted ones are over half of a
+    band, it is no larger than twice these, so its free pairs are listed and drawn from."""
+    i, j = np.array(sorted(taken) if isinstance(taken, set) else taken, int).reshape(-1, 2).T
+    taken, out = np.unique((i * n + j)[(j >= 0) & (j < n)]), np.zeros(0, int)
     for a, b, quota in ((low, min(high, n - 1), int(want * share)), (1, n - 1, want)):
         room = (b - a + 1) * (2 * n - a - b) // 2 if b >= a else 0
         need = quota - len(out)
         if room <= 0 or need <= 0:
             continue
         if 2 * (need + len(taken) + len(out)) > room:
-            free = _free_pairs(n, taken | out, a, b)
-            out |= set(map(tuple, free[rng.permutation(len(free))[:need]].tolist()))
+            free = _free_pairs(n, np.concatenate((taken, out)), a, b)
+            out = np.concatenate((out, free[rng.permutation(len(free))[:need]]))
             continue
         while need > 0:
             i = rng.integers(0, n, max(3 * need, 200))
             j = i + rng.integers(a, b + 1, len(i))
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                if y < n and (x, y) not in taken and len(out) < quota:
-                    out.add((x, y))
+            drawn = (i * n + j)[j < n]
+            _, first = np.unique(drawn, return_index=True)
+            drawn = drawn[np.sort(first)]  # each pair once, in the order of drawing
+            out = np.concatenate((out, drawn[~np.isin(drawn, taken) & ~np.isin(drawn, out)][:need]))
             need = quota - len(out)
-    pairs = np.array(sorted(out), int).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+    out = np.sort(out)
+    return out // n, out % n
 
 
 def _drawn(row, name: str, learn: bool, rng, n: int, src: np.ndarray, dst: np.ndarray, cfg: TrainConfig) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +95,7 @@ def _drawn(row, name: str, learn: bool, rng, n: int, src: np.ndarray, dst: np.nd
         a, b = np.asarray(row[f"{name}_src"], int), np.asarray(row[f"{name}_dst"], int)
         ok = (a < n) & (b < n)
         return a[ok], b[ok]
-    return _negatives(rng, n, set(zip(src.tolist(), dst.tolist(), strict=True)), int(len(src) * cfg.neg_ratio))
+    return _negatives(rng, n, np.stack([src, dst], 1), int(len(src) * cfg.neg_ratio))
 
 
 #: What a pass sums beside the loss: the parts of the loss, and the number of graphs that have each.
@@ -183,9 +184,9 @@ def load_trained(text: str) -> Trained:
     return Trained(full(d["model_state"]), full(d["best"]), d["history"], tuple(full(m) for m in d["moments"]) if d["moments"] else None)
 
 
-def _pass(graphs: DataFrame, params: Params, cfg: TrainConfig, epoch: int, learn: bool) -> tuple[float, int, Params, dict[str, float]]:
+def _pass(graphs: DataFrame, params: Params, cfg: TrainConfig, epoch: int, learn: bool, tasks: int | None = None) -> tuple[float, int, Params, dict[str, float]]:
     """Sum of the losses, number of graphs, mean gradient and sums of PARTS. A task gives one vector: its sums and, in learning, its
-    gradient laid end to end; vectors are summed in a tree, and one comes to the driver."""
+    gradient laid end to end; vectors are summed in a tree, and one comes to the driver. tasks: the number of partitions of graphs, if known."""
     names = sorted(params) if learn else []
 
     def run(batches):
@@ -205,7 +206,7 @@ def _pass(graphs: DataFrame, params: Params, cfg: TrainConfig, epoch: int, learn
         if total[1]:
             yield pd.DataFrame({"v": [total.tolist()]})
 
-    found = first_row(tree_sum(graphs.mapInPandas(run, "v array<double>")))
+    found = first_row(tree_sum(graphs.mapInPandas(run, "v array<double>"), tasks=tasks))
     v = np.array(found["v"]) if found else np.zeros(2 + len(PARTS) + sum(params[k].size for k in names))
     n, at, grads = int(v[1]), 2 + len(PARTS), {}
     for k in names:
@@ -230,10 +231,12 @@ def train(graphs: DataFrame, params: Params, cfg: TrainConfig, validation: DataF
     m, v = dict(m), dict(v)
     out = Trained(resume.params, resume.best, [dict(h) for h in resume.history]) if resume else Trained(params, params)
     lowest = min([h.get("val", h["train"]) for h in out.history], default=np.inf)
-    graphs = graphs.persist()
+    # graphs are small and their passes long: they are dealt to all cores, whatever their bytes
+    tasks = graphs.sparkSession.sparkContext.defaultParallelism
+    graphs = graphs.repartition(tasks).persist()
     first = len(out.history)
     for epoch in range(first, first + cfg.epochs):
-        loss, n, grads, parts = _pass(graphs, params, cfg, epoch, True)
+        loss, n, grads, parts = _pass(graphs, params, cfg, epoch, True, tasks)
         t = epoch + 1
         for k, g in grads.items():
             if any(k.startswith(f) for f in cfg.frozen):

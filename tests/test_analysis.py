@@ -363,3 +363,33 @@ def test_token_pooling_in_batches_by_length(spark):
         features.token_embedding(bins, make_model, 2, "mean")
     with pytest.raises(Exception, match="not 3 numbers"):
         features.token_embedding(bins, make_model, 3, max_tokens=40).collect()
+
+
+def test_messages_by_matrix_or_by_sums():
+    """A dense graph's messages are one product, a sparse one's are summed by their end; both as the plain sum has them, gradients too."""
+    rng = np.random.default_rng(3)
+    for n, m in ((6, 30), (60, 20)):
+        src, dst, w, at, up = rng.integers(0, n, m), rng.integers(0, n, m), rng.random(m), rng.normal(size=(n, 2)), rng.normal(size=(n, 2))
+        out, back = np.zeros((n, 2)), np.zeros((n, 2))
+        np.add.at(out, dst, w[:, None] * at[src])
+        np.add.at(back, src, w[:, None] * up[dst])
+        x = Var(at)
+        got = x.spread(src, dst, w)
+        gradients((got * up).sum())
+        assert np.allclose(got.value, out) and np.allclose(x.grad, back)
+
+
+def test_few_tasks_are_summed_in_one_shuffle(spark):
+    from chromalith.functions.vectors import tree_sum
+
+    v = spark.createDataFrame([([1.0, float(k)],) for k in range(8)], "v array<double>").repartition(8)
+    count = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("Exchange")
+    assert tree_sum(v.repartitionByRange(8, F.col("v")), tasks=8).first()["v"] == [8.0, 28.0]
+    assert count(tree_sum(v, tasks=8)) < count(tree_sum(v, tasks=17)) == count(tree_sum(v))
+
+
+def test_negatives_of_a_graph_given_as_rows():
+    """What is taken may be an array of rows; the draw is that of the set of pairs."""
+    taken = {(i, i + 5) for i in range(30)} | {(i, i + 1) for i in range(30)}
+    draws = [training._negatives(np.random.default_rng(2), 90, t, 60) for t in (taken, np.array(sorted(taken)))]
+    assert all((a == b).all() for a, b in zip(*draws, strict=True)) and len(draws[0][0]) == 60
