@@ -787,7 +787,7 @@ def windowed_votes(spark, d):
 @query("""with v as (select distinct date_trunc('hour', ts) as start, event_type as chrom, (floor(value)::bigint % 50)::int as b, user_id from events)
     select start, chrom, b, count(*) as votes from v where start + interval 1 hour <= (select max(ts) - interval 1 hour from events) group by all""")
 def votes_streamed(spark, d):
-    """Votes by keyed state with timers, over the events as a stream; windows that are over by the watermark."""
+    """Votes by state that the watermark clears, over the events as a stream; windows that are over by the watermark."""
     from chromalith.streaming.votes import votes_so_far
 
     schema = table(spark, d, "events").schema

@@ -1,8 +1,9 @@
-"""Boundary votes of a stream, each cell once for each bin and window, in keyed state with timers.
+"""Boundary votes of a stream, each cell once for each bin and window, in state on disk that the watermark clears.
 
-State is kept for each (window, chrom, bin): the cells that have voted, one entry each on disk, and their number. Once the watermark has passed a
-window's end its timer gives out the number and clears the state. Rows that come after that are late and count no more.
-A query that is started again from its checkpoint goes on with the state and the timers that it had.
+Repeated votes are dropped in one state, with an entry for each cell of a (window, chrom, bin); the rest are counted in another, with a
+number for each (window, chrom, bin). Once the watermark has passed a window's end its numbers are given out and both states are
+cleared. Rows that come after that are late and count no more. A query that is started again from its checkpoint goes on with the
+state that it had.
 """
 
 from __future__ import annotations
@@ -10,10 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from chromalith.functions.vectors import shared_path
 
@@ -21,46 +20,21 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 OUT = "start timestamp, end timestamp, chrom string, b int, votes long"
 
 
-class VoteOnce(StatefulProcessor):
-    """Key: (start in ms, end in ms, chrom, b)."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.cells = handle.getMapState("cells", "cell_id string", "seen boolean")
-        self.count = handle.getValueState("count", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n = self.count.get()[0] if self.count.exists() else 0
-        if not n:
-            self.handle.registerTimer(int(key[1]))
-        for pdf in rows:
-            for cell in pdf["cell_id"].unique():
-                if not self.cells.containsKey((cell,)):
-                    self.cells.updateValue((cell,), (True,))
-                    n += 1
-        self.count.update((n,))
-        yield pd.DataFrame(columns=["start", "end", "chrom", "b", "votes"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n = self.count.get()[0]
-        self.cells.clear()
-        self.count.clear()
-        yield pd.DataFrame({"start": [pd.Timestamp(int(key[0]), unit="ms")], "end": [pd.Timestamp(int(key[1]), unit="ms")], "chrom": [key[2]], "b": [int(key[3])], "votes": [int(n)]})
-
-    def close(self) -> None:
-        pass
+def timed(votes: DataFrame, window: str = "1 hour") -> DataFrame:
+    """The window w of each of votes (ts timestamp, chrom, cell_id, b), rows without one of these left out."""
+    whole = votes.filter("ts is not null and chrom is not null and cell_id is not null and b is not null")
+    return whole.select(F.window("ts", window).alias("w"), "chrom", F.col("b").cast("int").alias("b"), "cell_id")
 
 
 def windowed(votes: DataFrame, window: str = "1 hour") -> DataFrame:
-    """votes (ts timestamp, chrom, cell_id, b) with the window of each, rows without one of these left out."""
-    w = F.window("ts", window)
-    return votes.filter("ts is not null and chrom is not null and cell_id is not null and b is not null").select("ts", "chrom", "cell_id", F.col("b").cast("int").alias("b"), w.alias("w")).select("ts", F.unix_millis("w.start").alias("start"), F.unix_millis("w.end").alias("end"), "chrom", "b", "cell_id")
+    """The same with the window's start and end in ms."""
+    return timed(votes, window).select(F.unix_millis("w.start").alias("start"), F.unix_millis("w.end").alias("end"), "chrom", "b", "cell_id")
 
 
 def vote_stream(votes: DataFrame, window: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
     """start, end, chrom, b, votes of every window of a stream, once it is over; to be written in append mode, under rocksdb()."""
-    rows = windowed(votes.withWatermark("ts", lateness), window)
-    return rows.groupBy("start", "end", "chrom", "b").transformWithStateInPandas(VoteOnce(), OUT, "Append", "EventTime")
+    rows = timed(votes.withWatermark("ts", lateness), window).dropDuplicates(["w", "chrom", "b", "cell_id"])
+    return rows.groupBy("w", "chrom", "b").agg(F.count(F.lit(1)).alias("votes")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "chrom", "b", "votes")
 
 
 def votes_so_far(votes: DataFrame, window: str = "1 hour", lateness: str = "1 hour") -> DataFrame:

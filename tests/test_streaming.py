@@ -54,3 +54,17 @@ def test_votes_of_a_stream_equal_the_batch(spark, tmp_path):
 def test_votes_without_rows_or_with_nulls(spark):
     df = spark.createDataFrame([(None, "chr1", "c", 1), (_at(1), None, "c", 1), (_at(1), "chr1", None, 1), (_at(1), "chr1", "c", None)], SCHEMA)
     assert votes.vote_batch(df).count() == 0
+
+
+def test_a_vote_behind_the_watermark_counts_while_its_window_is_open(spark, tmp_path):
+    """Votes are dropped and counted by Spark's own state, without a call of Python for each key; what is late is told by the window."""
+    source, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    names = []
+    for rows in ([(50, "chr1", "c1", 3)], [(51, "chr1", "c1", 3)], [(20, "chr1", "c2", 3), (20, "chr1", "c2", 3)], [(500, "chr1", "c1", 3)]):
+        spark.createDataFrame([(_at(m), *rest) for m, *rest in rows], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        with votes.rocksdb(spark):
+            q = votes.vote_stream(spark.readStream.schema(SCHEMA).parquet(source), "1 hour", "10 minutes").writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
+            q.awaitTermination()
+        names = [s["operatorName"] for s in q.lastProgress["stateOperators"]]
+    assert [(r.b, r.votes) for r in spark.read.parquet(out).collect()] == [(3, 2)]
+    assert sorted(names) == ["dedupe", "stateStoreSave"]
