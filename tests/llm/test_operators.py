@@ -5,9 +5,11 @@ import os
 import random
 import re
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromalith.llm import bpe, chat, exact_dedup, line_dedup, mixing, ngram_join, quality, spotsigs, token_counts, toxicity
@@ -588,3 +590,18 @@ def test_token_counts(spark, monkeypatch):
     # a token of four characters, three of them in the second section; a tie goes to the first
     assert token_counts.attribute(np.array([[0, 4], [4, 6]]), np.array([0, 1, 5, 9])).tolist() == [0, 2, 0]
     assert token_counts.count_tokens(docs.limit(0), BYTE, fields=["a"]).count() == 0
+
+
+def test_slices_of_the_keys_have_the_edges_of_the_whole(spark):
+    """Every posting is met in one slice, and lists and stars of all slices give the edges of the postings at once; no slice holds most of them."""
+    rng = random.Random(8)
+    rows = [(i, 10, i, i, sorted(rng.sample(range(60), 7)) if i % 9 else []) for i in range(400)]
+    sets = spark.createDataFrame(rows, "id long, n long, sig_a long, sig_b long, prefix array<long>").coalesce(2)
+    classes = sets.filter("size(prefix) > 0").select("n", "sig_a", "sig_b", F.col("id").alias("rep"))
+    lists, local = ngram_join.sliced_lists(sets, classes)
+    whole, _ = ngram_join.candidate_edges(ngram_join.postings(sets.filter("size(prefix) > 0")), 30)
+    parts = ngram_join.list_edges(reduce(DataFrame.unionByName, lists), reduce(DataFrame.unionByName, local), 30)
+    assert len(lists) == ngram_join.SLICES > 1
+    assert {tuple(r) for r in parts.collect()} == {tuple(r) for r in whole.collect()} != set()
+    n = [x.agg(F.sum(F.size("ms"))).first()[0] for x in lists]
+    assert max(n) < 0.5 * sum(n)
