@@ -4,13 +4,16 @@ A line's set holds its distinct words (runs of [^\\x20\\x09-\\x0D]). Lines are o
 a line goes if an earlier line's set has a Jaccard coefficient of at least the threshold with its own.
 Lines without words always stay.
 
-1. Words are ordered by rarity: by counts in 524,288 hash buckets over the whole corpus, then by hash. Any one order
+1. Words are ordered by rarity: by counts in 2,097,152 hash buckets over the whole corpus, then by hash. Any one order
    for all lines gives the same links, so buckets shared by several words cost nothing but time.
-2. Lines with equal sets are one class, known by its first line; the others of it go.
-3. Classes meet by the words of their prefixes, under length and positional filters. First each meets the earliest
-   class of each list only, which settles groups of near copies in linear time; what has no match yet then
-   meets all earlier members of its lists.
-4. What the prefixes of a pair share must leave room for a match; then it is verified on the words themselves.
+2. Lines with equal sets are one class, known by its first line; the others of it go. Classes are numbered in the order
+   of their first lines.
+3. Classes meet by the words of their prefixes. A pair is made only if the sizes and the parities of 128 classes of
+   words leave room for a match: a word that one set has and the other has not changes one parity, so the parities that
+   differ are no more than such words. First each meets the earliest class of each long list only, which settles groups
+   of near copies in linear time; what has no match yet then meets all earlier members of its lists, a slice of the
+   words at a time.
+4. Pairs are verified on the words themselves.
 
 Null texts count as empty and have one empty line. Identifiers may be null (these come first) or repeated: rows are
 known by keys of their own, and of rows of one identifier the one with the least key comes first; in one file, the first. Empty tables give no
@@ -22,13 +25,16 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromalith.llm._store import located, release, stored
 from chromalith.llm.ngram_join import row_keys
 
-BUCKETS = 1 << 19
+BUCKETS = 1 << 21
+LONG = 12  # level of words whose lists are long: some 64 lines or more
+SLICES = 4
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 RARE_BLANKS = "\t\x0b\f\r"
 
@@ -52,67 +58,73 @@ def _bucket(h: Column) -> Column:
 
 
 def rarity_levels(docs: DataFrame, text_col: str) -> Column:
-    """4 * log2 of the number of words in each hash bucket, below 128: a constant of one byte for each bucket."""
+    """2 * log2 of the number of words in each hash bucket, below 64: a constant of one byte for each bucket."""
     words = docs.select(F.explode(words_of(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
     counts = words.groupBy(_bucket(_hash(F.col("w"))).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    level = F.least(F.lit(127), F.round(4 * F.log2(F.col("n").cast("double"))).cast("int"))
-    # packed on the executors: the driver gets 128 strings of a few KB, whatever the corpus
-    parts = counts.select("b", level.alias("level")).filter("level > 0").groupBy(F.expr("b div 4096").alias("part"))
-    table = bytearray(BUCKETS)
-    for _, codes in parts.agg(F.collect_list(F.expr("b * 128 + level"))).collect():
-        for code in codes:
-            table[code >> 7] = code & 127
-    return F.lit(table)
-
-
-def lines_at(texts: DataFrame) -> DataFrame:
-    """at (identifier, key of the row and line number, in the order of lines) and text of every line of texts (key, id, text)."""
+    level = F.least(F.lit(63), F.round(2 * F.log2(F.col("n").cast("double"))).cast("int"))
+    # one int for each bucket reaches the driver, whatever the corpus
+    codes = counts.select((F.col("b") + BUCKETS * level).cast("int").alias("code"))
+    table = np.zeros(BUCKETS, np.uint8)
+    for code in codes.toArrow()["code"].chunks:
+        x = code.to_numpy(zero_copy_only=False)
+        table[x % BUCKETS] = x // BUCKETS
+    return F.lit(bytearray(table.tobytes()))
+
+
+def level_code(level: int) -> int:
+    """The least code of a word of this level."""
+    return (level - 32) << 26
+
+
+def line_sets(texts: DataFrame, levels: Column, percent: int) -> DataFrame:
+    """A row for each line that has words: at (identifier, key of the row and line number, in the order of lines),
+    n words, h1, the hash of its ordered codes, h2, its words' hashes as one by exclusive or, the ordered codes of its
+    prefix's words, and parities: p2 those of 64 classes of words, p1 those of one half of each class.
+
+    A code is a word's level and 26 bits of its hash; words that share one make a pair a candidate, no more.
+    """
+    level = lambda h: F.ascii(F.substring(levels, _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
+    code = lambda h: (F.shiftleft(level(h) - 32, 26).bitwiseOR(F.shiftrightunsigned(h, 38))).cast("int")
+    # exploded from an array of one: else what is derived from an array would find it anew each time
+    once = lambda df, name, col, *more: df.select(*more, F.explode(F.array(col)).alias(name))
     lines = texts.select("id", "key", F.posexplode(lines_of(F.col("text"))).alias("line", "text"))
-    return lines.select(F.struct("id", "key", "line").alias("at"), "text")
+    sets = once(lines, "h", F.array_distinct(F.transform(words_of(F.col("text")), _hash)), F.struct("id", "key", "line").alias("at")).filter("size(h) > 0")
+    sets = once(sets, "codes", F.sort_array(F.transform("h", code)), "at", "h").withColumn("n", F.size("h"))
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    flip = lambda bit: lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", bit(c), c))
+    p1 = F.reduce("codes", none, flip(lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(1)).cast("long")))
+    p2 = F.reduce("codes", none, flip(lambda c: one))
+    prefix = F.array_distinct(F.expr(f"slice(codes, 1, n - cast(({percent} * n + 99) div 100 as int) + 1)"))
+    h2 = F.reduce("h", none, lambda acc, h: acc.bitwiseXOR(h))
+    return sets.select("at", "n", F.xxhash64("codes").alias("h1"), h2.alias("h2"), p1.alias("p1"), p2.alias("p2"), prefix.alias("prefix"))
 
 
-def line_sets(texts: DataFrame, levels: Column) -> DataFrame:
-    """at, n and the ordered codes of the words of every line that has words."""
-    rarity = lambda h: F.ascii(F.substring(levels, _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
-    code = lambda h: F.shiftleft(rarity(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    codes = F.sort_array(F.transform(F.array_distinct(F.transform(words_of(F.col("text")), _hash)), code))
-    # exploded from an array of one: else what is derived from the codes would find them anew each time
-    return lines_at(texts).select("at", F.explode(F.array(codes)).alias("codes")).select("at", F.size("codes").alias("n"), "codes").filter("n > 0")
-
-
-def class_rows(sets: DataFrame, percent: int) -> DataFrame:
-    """A row for each line: at, n, two hashes of its set, and the prefix of its codes."""
-    prefix = F.expr(f"slice(codes, 1, n - cast(({percent} * n + 99) div 100 as int) + 1)")
-    return sets.select("at", "n", F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit(7), "codes").alias("h2"), prefix.alias("prefix"))
+def _candidate(percent: int) -> Column:
+    """Whether the sizes and parities of a and b, of which a is the earlier, leave room for a match."""
+    both = "cast(a.n as long) + b.n"
+    apart = f"bit_count(a.p1 ^ b.p1) + bit_count(a.p1 ^ b.p1 ^ a.p2 ^ b.p2) <= {both} - 2 * (({percent} * ({both}) + {99 + percent}) div {100 + percent})"
+    return F.expr(f"a.cid < b.cid and {apart} and 100L * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)")
 
 
 def _meet(later: DataFrame, earlier: DataFrame, percent: int) -> DataFrame:
-    """(b, a): classes of `later` and of `earlier` that share a prefix word and pass the filters."""
+    """(b, a): classes of `later` and of `earlier` that share a prefix word and may match."""
     a, b = earlier.alias("a"), later.alias("b")
-    size = F.expr(f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)")
-    position = F.expr(f"1 + least(a.n - a.pos, b.n - b.pos) - 1 >= ceil({percent} * (a.n + b.n) / {100 + percent})")
-    return b.join(a, (F.col("a.code") == F.col("b.code")) & (F.col("a.at") < F.col("b.at")) & size & position).select(F.col("b.at").alias("b"), F.col("a.at").alias("a")).distinct()
-
-
-def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose shared prefix words leave room for a match: beyond the prefix that ends first, a set can add no more
-    than its rest."""
-    p = classes.select("at", "n", "prefix")
-    x = pairs.join(p.select(F.col("at").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a").join(p.select(F.col("at").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
-    rest = lambda n: f"({percent} * {n} + 99) div 100 - 1"
-    last = "element_at(pa, -1) {} element_at(pb, -1)"
-    room = f"case when {last.format('<')} then {rest('na')} when {last.format('>')} then {rest('nb')} else least({rest('na')}, {rest('nb')}) end"
-    return x.filter(f"size(array_intersect(pa, pb)) + {room} >= ({percent} * (na + nb) + {99 + percent}) div {100 + percent}").select("a", "b")
+    return b.join(a, (F.col("a.code") == F.col("b.code")) & _candidate(percent)).select(F.col("b.cid").alias("b"), F.col("a.cid").alias("a")).distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The classes b that match an a, by the words of their first lines."""
-    need = pairs.select(F.col("b").alias("at")).unionByName(pairs.select(F.col("a").alias("at"))).distinct()
-    lines = lines_at(texts).join(need, "at", "left_semi")
-    words = stored(lines.select("at", F.array_distinct(words_of(F.col("text"))).alias("w")), "line-words")
-    x = pairs.join(words.select(F.col("at").alias("b"), F.col("w").alias("wb")), "b").join(words.select(F.col("at").alias("a"), F.col("w").alias("wa")), "a")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "at"), "cid")
+    need = need.groupBy("at.key").agg(F.collect_list(F.struct("cid", "at.line")).alias("lines"))
+    # texts are split where they are needed only, once for all of their lines
+    split = texts.select("key", "text").join(need, "key").select("lines", F.explode(F.array(lines_of(F.col("text")))).alias("text"))
+    lines = split.select(F.explode("lines").alias("x"), "text").select("x.cid", F.get("text", F.col("x.line")).alias("text"))
+    words = stored(lines.select("cid", F.array_distinct(words_of(F.col("text"))).alias("w")), "line-words")
+    x = pairs.join(words.select(F.col("cid").alias("b"), F.col("w").alias("wb")), "b").join(words.select(F.col("cid").alias("a"), F.col("w").alias("wa")), "a")
     both = F.size(F.array_intersect("wa", "wb"))
-    return x.filter(100 * both >= percent * (F.size("wa") + F.size("wb") - both)).select(F.col("b").alias("at")).distinct()
+    out = stored(x.filter(100 * both >= percent * (F.size("wa") + F.size("wb") - both)).select(F.col("b").alias("cid")).distinct(), "line-matched")
+    release(words)
+    return out
 
 
 def texts_of(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -121,25 +133,30 @@ def texts_of(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _gone(texts: DataFrame, percent: int) -> DataFrame:
     """id, key, line (from 0) of every line of texts (key, id, text) that goes."""
-    rows = stored(class_rows(line_sets(texts, rarity_levels(texts, "text")), percent), "line-rows")
+    rows = stored(line_sets(texts, rarity_levels(texts, "text"), percent), "line-rows")
     # rows of one class in one task are merged there before anything is shuffled
-    classes = stored(rows.groupBy("n", "h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("lines"), F.first("prefix").alias("prefix")), "line-classes")
-    # a word of level 0 occurs once in the corpus, so no other line has it
-    post = classes.select("at", "n", F.posexplode("prefix").alias("pos", "code")).filter(F.col("code") >= 1 << 56)
-    lists = post.groupBy("code").agg(F.min(F.struct("at", "n", "pos")).alias("low"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    heads = lists.select("code", "low.at", "low.n", "low.pos")
-    lists = stored(heads, "line-heads")
-    first = stored(_bounded(_meet(post, lists, percent), classes, percent), "line-pairs")
-    settled = stored(_verified(first, texts, percent), "line-settled")
-    shared = post.join(lists.select("code"), "code", "left_semi")
-    rest = shared.join(settled, "at", "left_anti")
-    second = stored(_bounded(_meet(rest, shared, percent), classes, percent).join(first, ["a", "b"], "left_anti"), "line-pairs")
-    release(first, lists)
-    matched = settled.unionByName(_verified(second, texts, percent))
+    one = lambda c: F.first(c).alias(c)
+    merged = rows.groupBy("n", "h1", "h2").agg(F.min("at").alias("at"), one("p1"), one("p2"), one("prefix"))
+    classes = stored(merged.orderBy("at").withColumn("cid", F.monotonically_increasing_id()), "line-classes")
+    lists = lambda of: of.select(F.explode("prefix").alias("code"), "cid", "n", "p1", "p2")
+    post = lists(classes).filter(F.col("code") >= level_code(LONG))
+    heads = post.groupBy("code").agg(F.min(F.struct("cid", "n", "p1", "p2")).alias("low"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    first = stored(_meet(post, heads.select("code", "low.*"), percent), "line-pairs")
+    settled = _verified(first, classes, texts, percent)
+    rest = classes.join(settled, "cid", "left_anti")
+    second = []
+    for k in range(SLICES):
+        # a word of level 0 occurs once in the corpus, so no other line has it
+        share = (F.col("code") >= level_code(1)) & (F.col("code").bitwiseAND(F.lit(SLICES - 1)) == k)
+        second.append(stored(_meet(lists(rest).filter(share), lists(classes).filter(share), percent), "line-pairs"))
+    pairs = stored(reduce(DataFrame.unionByName, second).distinct().join(first, ["a", "b"], "left_anti"), "line-pairs")
+    release(first, *second)
+    matched = settled.unionByName(_verified(pairs, classes, texts, percent))
     # of a matched class every line goes, of another all but its first
-    heads = classes.select("n", "h1", "h2", F.col("at").alias("head")).join(matched.withColumnRenamed("at", "head").withColumn("gone", F.lit(True)), "head", "left")
+    heads = classes.select("cid", "n", "h1", "h2", F.col("at").alias("head")).join(matched.withColumn("gone", F.lit(True)), "cid", "left")
     heads = stored(heads.select("n", "h1", "h2", "head", F.coalesce("gone", F.lit(False)).alias("gone")), "line-verdicts")
-    out = rows.drop("prefix").join(heads, ["n", "h1", "h2"]).filter("gone or at != head")
+    release(classes, pairs)
+    out = rows.select("at", "n", "h1", "h2").join(heads, ["n", "h1", "h2"]).filter("gone or at != head")
     return out.select("at.id", "at.key", "at.line")
 
 

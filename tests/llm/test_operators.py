@@ -235,6 +235,25 @@ def test_line_dedup_long_texts_and_any_identifiers(spark):
     assert texts == {(5, long), (6, "own line here\nanother clean line"), (2**43 + 5, "kept"), (None, "nulls come first\nagain"), (None, "more"), (9, "nine"), (9, "ten")}
 
 
+def test_line_dedup_makes_few_pairs(spark, monkeypatch):
+    """Lines over few words share prefix words with many others; only pairs that may match are made, and no link is lost.
+    Equal sets of words are one class in any order."""
+    base = [words(30 + 3 * (i % 20), i, 500) for i in range(600)]
+    near = [[*w[:-1], "x"] for w in base[:40]]
+    texts = [" ".join(w) for w in [*base, *near]] + ["\n".join(" ".join(w[::-1]) for w in base[50:60])]
+    made, meet = [], line_dedup._meet
+
+    def counted(*args):
+        pairs = meet(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(line_dedup, "_meet", counted)
+    out = {x.doc_id: x.removed for x in line_dedup.line_report(corpus(spark, texts)).collect() if x.removed}
+    assert out == dict(brute_lines(texts)) and len(out) == 41 and len(out[640]) == 10
+    assert 40 <= sum(made) < 1000
+
+
 def brute_components(texts, k, percent):
     sets = []
     for t in texts:
