@@ -10,9 +10,9 @@ Lines without words always stay.
    of their first lines.
 3. Classes meet by the words of their prefixes. A pair is made only if the sizes and the parities of 128 classes of
    words leave room for a match: a word that one set has and the other has not changes one parity, so the parities that
-   differ are no more than such words. First each meets the earliest class of each long list only, which settles groups
-   of near copies in linear time; what has no match yet then meets all earlier members of its lists, a slice of the
-   words at a time.
+   differ are no more than such words. First each meets the eight earliest classes of each long list only, which
+   settles most of a group of near copies in linear time; what has no match yet then meets all earlier members of its
+   lists, a slice of the words at a time.
 4. Pairs are verified on the words themselves.
 
 Null texts count as empty and have one empty line. Identifiers may be null (these come first) or repeated: rows are
@@ -26,7 +26,7 @@ from functools import reduce
 from operator import or_
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromalith.llm._store import located, release, stored
@@ -34,6 +34,7 @@ from chromalith.llm.ngram_join import row_keys
 
 BUCKETS = 1 << 21
 LONG = 12  # level of words whose lists are long: some 64 lines or more
+HEADS = 8  # classes of a long list that are met first
 SLICES = 4
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 RARE_BLANKS = "\t\x0b\f\r"
@@ -140,8 +141,8 @@ def _gone(texts: DataFrame, percent: int) -> DataFrame:
     classes = stored(merged.orderBy("at").withColumn("cid", F.monotonically_increasing_id()), "line-classes")
     lists = lambda of: of.select(F.explode("prefix").alias("code"), "cid", "n", "p1", "p2")
     post = lists(classes).filter(F.col("code") >= level_code(LONG))
-    heads = post.groupBy("code").agg(F.min(F.struct("cid", "n", "p1", "p2")).alias("low"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    first = stored(_meet(post, heads.select("code", "low.*"), percent), "line-pairs")
+    heads = post.withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy("cid"))).filter(F.col("rank") <= HEADS).drop("rank")
+    first = stored(_meet(post, heads, percent), "line-pairs")
     settled = _verified(first, classes, texts, percent)
     rest = classes.join(settled, "cid", "left_anti")
     second = []
