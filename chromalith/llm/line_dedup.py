@@ -28,14 +28,17 @@ from operator import or_
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from chromalith.llm._store import located, release, stored
 from chromalith.llm.ngram_join import row_keys
 
-BUCKETS = 1 << 21
-LONG = 12  # level of words whose lists are long: some 64 lines or more
+SIXTEENS = 47  # a word's hash, shifted by this, is the number of its sixteen buckets
+WIDE = 64
+LONG = 4  # level of words whose lists are long: some 64 lines or more
 HEADS = 8  # classes of a long list that are met first
-SLICES = 4
+SLICES = 2
+DOC_BITS, LINE_BITS = 32, 31
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 RARE_BLANKS = "\t\x0b\f\r"
 
@@ -54,57 +57,87 @@ def _hash(word: Column) -> Column:
     return F.xxhash64(word)
 
 
-def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-
-
-def rarity_levels(docs: DataFrame, text_col: str) -> Column:
-    """2 * log2 of the number of words in each hash bucket, below 64: a constant of one byte for each bucket."""
-    words = docs.select(F.explode(words_of(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
-    counts = words.groupBy(_bucket(_hash(F.col("w"))).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    level = F.least(F.lit(63), F.round(2 * F.log2(F.col("n").cast("double"))).cast("int"))
-    # one int for each bucket reaches the driver, whatever the corpus
-    codes = counts.select((F.col("b") + BUCKETS * level).cast("int").alias("code"))
-    table = np.zeros(BUCKETS, np.uint8)
-    for code in codes.toArrow()["code"].chunks:
-        x = code.to_numpy(zero_copy_only=False)
-        table[x % BUCKETS] = x // BUCKETS
-    return F.lit(bytearray(table.tobytes()))
+def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, bool]:
+    """doc (a struct of all columns) and no, a number of the row's own below 2**32 in the order of identifiers, then rows; docs must have
+    places. Whole numbers that differ and lie near enough to each other number their rows themselves: True; others are sorted."""
+    rows = docs.select(F.struct("*").alias("doc"))
+    own = F.col(f"doc.`{id_col}`")
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        n, known, low, high = rows.agg(F.count(F.lit(1)), F.count_distinct(own), F.min(own), F.max(own)).first()
+        if n == known and (not n or high - low < 1 << DOC_BITS):
+            return rows.select("doc", (own.cast("long") - F.lit(low or 0).cast("long")).alias("no")), True
+    rows = row_keys(docs)
+    order = stored(rows.select(own.alias("id"), "key").orderBy("id", "key").select("key", F.monotonically_increasing_id().alias("m")), "line-order")
+    # a number is a partition's and a place in it: as few bits as there are of either
+    part, place = F.shiftright("m", 33), F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
+    parts, places = order.agg(F.max(part), F.max(place)).first()
+    bits = int(places or 0).bit_length()
+    if bits + int(parts or 0).bit_length() > DOC_BITS:
+        raise RuntimeError(f"rows in more than 2**{DOC_BITS} places")
+    return rows.join(order.select("key", F.shiftleft(part, bits).bitwiseOR(place).alias("no")), "key").select("doc", "no"), False
+
+
+def line_words(texts: DataFrame) -> DataFrame:
+    """A row for each line that has words: at, the row's and the line's number side by side, and h, the hash of each distinct word."""
+    lines = texts.select("no", F.posexplode(lines_of(F.col("text"))).alias("line", "text"))
+    at = F.shiftleft("no", LINE_BITS).bitwiseOR(F.col("line").cast("long")).alias("at")
+    return once(lines, "h", F.array_distinct(F.transform(words_of(F.col("text")), _hash)), at).filter("size(h) > 0")
+
+
+def once(df: DataFrame, name: str, col: Column, *more: Column | str) -> DataFrame:
+    """df's columns `more` and col, exploded from an array of one: else what is derived from an array would find it anew each time."""
+    return df.select(*more, F.explode(F.array(col)).alias(name))
+
+
+def rarity_levels(words: DataFrame) -> Column:
+    """For each hash bucket a level of four bits, 0 for one word, else 1 more than half of log2 of the number of words in it;
+    sixteen buckets to a number, so that a constant of 131,072 numbers reaches the driver, whatever the corpus."""
+    h, last = F.col("h"), F.lit(15)
+    bucket = F.shiftleft(F.shiftrightunsigned(h, SIXTEENS), 4).bitwiseOR(F.shiftright(h, 2).bitwiseAND(last)).cast("int")
+    counts = words.select(F.explode("h").alias("h")).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    level = F.when(F.col("n") <= 1, 0).otherwise(F.least(last, 1 + F.floor(F.log2(F.col("n").cast("double")) / 2))).cast("long")
+    packed = F.bit_or(F.call_function("shiftleft", level, 4 * F.col("b").bitwiseAND(last)))
+    sums = counts.groupBy(F.shiftright("b", 4).alias("b")).agg(packed.alias("levels")).toArrow()
+    table = np.zeros(1 << (64 - SIXTEENS), np.int64)
+    table[sums["b"].to_numpy()] = sums["levels"].to_numpy()
+    table ^= np.int64(-0x7777777777777778)  # the highest bit of each level is turned, so that levels of codes, whose sign it is, are in order
+    # read as an array once, when the plan is made
+    return F.split(F.lit(",".join(map(str, table.tolist()))), ",").cast("array<bigint>")
 
 
 def level_code(level: int) -> int:
     """The least code of a word of this level."""
-    return (level - 32) << 26
+    return (level - 8) << 28
 
 
-def line_sets(texts: DataFrame, levels: Column, percent: int) -> DataFrame:
-    """A row for each line that has words: at (identifier, key of the row and line number, in the order of lines),
-    n words, h1, the hash of its ordered codes, h2, its words' hashes as one by exclusive or, the ordered codes of its
-    prefix's words, and parities: p2 those of 64 classes of words, p1 those of one half of each class.
+def line_sets(words: DataFrame, levels: Column, percent: int) -> DataFrame:
+    """Of each row of `words`: at, n words, h1 and h2, hashes of its ordered codes, the ordered codes of its prefix's words, halved, and
+    parities: p2 those of 64 classes of words, p1, of sets of more than WIDE words, those of one half of each class.
 
-    A code is a word's level and 26 bits of its hash; words that share one make a pair a candidate, no more.
+    A code is a word's level and 60 bits of its hash, 28 of them in the half; words that share one make a pair a candidate, no more.
     """
-    level = lambda h: F.ascii(F.substring(levels, _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
-    code = lambda h: (F.shiftleft(level(h) - 32, 26).bitwiseOR(F.shiftrightunsigned(h, 38))).cast("int")
-    # exploded from an array of one: else what is derived from an array would find it anew each time
-    once = lambda df, name, col, *more: df.select(*more, F.explode(F.array(col)).alias(name))
-    lines = texts.select("id", "key", F.posexplode(lines_of(F.col("text"))).alias("line", "text"))
-    sets = once(lines, "h", F.array_distinct(F.transform(words_of(F.col("text")), _hash)), F.struct("id", "key", "line").alias("at")).filter("size(h) > 0")
-    sets = once(sets, "codes", F.sort_array(F.transform("h", code)), "at", "h").withColumn("n", F.size("h"))
+
+    def code(h: Column) -> Column:  # of as few steps as can be: they are taken for each word
+        sixteen = F.get(levels, F.shiftrightunsigned(h, SIXTEENS))
+        level = F.call_function("shiftrightunsigned", sixteen, h.bitwiseAND(F.lit(60)).cast("int"))
+        return F.shiftleft(level, 60).bitwiseOR(F.shiftrightunsigned(h, 4))
+
+    sets = once(words, "codes", F.sort_array(F.transform("h", code)), "at").withColumn("n", F.size("codes"))
     none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    flip = lambda bit: lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", bit(c), c))
-    p1 = F.reduce("codes", none, flip(lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(1)).cast("long")))
+    flip = lambda bit: lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", bit(c), c.bitwiseAND(F.lit(63)).cast("int")))
+    p1 = F.when(F.col("n") > WIDE, F.reduce("codes", none, flip(lambda c: F.shiftright(c, 6).bitwiseAND(one)))).otherwise(none)
     p2 = F.reduce("codes", none, flip(lambda c: one))
-    prefix = F.array_distinct(F.expr(f"slice(codes, 1, n - cast(({percent} * n + 99) div 100 as int) + 1)"))
-    h2 = F.reduce("h", none, lambda acc, h: acc.bitwiseXOR(h))
-    return sets.select("at", "n", F.xxhash64("codes").alias("h1"), h2.alias("h2"), p1.alias("p1"), p2.alias("p2"), prefix.alias("prefix"))
+    prefix = F.expr(f"slice(codes, 1, n - cast(({percent} * n + 99) div 100 as int) + 1)")
+    prefix = F.array_distinct(F.transform(prefix, lambda c: F.shiftright(c, 32).cast("int")))
+    return sets.select("at", "n", F.xxhash64("codes").alias("h1"), F.xxhash64(one, "codes").alias("h2"), p1.alias("p1"), p2.alias("p2"), prefix.alias("prefix"))
 
 
 def _candidate(percent: int) -> Column:
-    """Whether the sizes and parities of a and b, of which a is the earlier, leave room for a match."""
-    both = "cast(a.n as long) + b.n"
-    apart = f"bit_count(a.p1 ^ b.p1) + bit_count(a.p1 ^ b.p1 ^ a.p2 ^ b.p2) <= {both} - 2 * (({percent} * ({both}) + {99 + percent}) div {100 + percent})"
-    return F.expr(f"a.cid < b.cid and {apart} and 100L * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)")
+    """Whether the sizes and parities of a and b, of which a is the earlier, leave room for a match. A b whose n is negative is settled.
+    No part looks at one side alone: so where a table meets itself, both sides are one shuffle."""
+    both = "abs(a.n) + cast(b.n as long)"
+    apart = f"if(least(abs(a.n), b.n) > {WIDE}, bit_count(a.p1 ^ b.p1) + bit_count(a.p1 ^ b.p1 ^ a.p2 ^ b.p2), bit_count(a.p2 ^ b.p2)) <= {both} - 2 * (({percent} * ({both}) + {99 + percent}) div {100 + percent})"
+    return F.expr(f"a.cid < if(b.n > 0, b.cid, -1L) and {apart} and 100L * least(abs(a.n), b.n) >= {percent} * greatest(abs(a.n), b.n)")
 
 
 def _meet(later: DataFrame, earlier: DataFrame, percent: int) -> DataFrame:
@@ -113,12 +146,16 @@ def _meet(later: DataFrame, earlier: DataFrame, percent: int) -> DataFrame:
     return b.join(a, (F.col("a.code") == F.col("b.code")) & _candidate(percent)).select(F.col("b.cid").alias("b"), F.col("a.cid").alias("a")).distinct()
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _place(at: str) -> tuple[Column, Column]:
+    return F.shiftright(at, LINE_BITS).alias("no"), F.col(at).bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int").alias("line")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The classes b that match an a, by the words of their first lines."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "at"), "cid")
-    need = need.groupBy("at.key").agg(F.collect_list(F.struct("cid", "at.line")).alias("lines"))
+    need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().select("cid", *_place("cid"))
+    need = need.groupBy("no").agg(F.collect_list(F.struct("cid", "line")).alias("lines"))
     # texts are split where they are needed only, once for all of their lines
-    split = texts.select("key", "text").join(need, "key").select("lines", F.explode(F.array(lines_of(F.col("text")))).alias("text"))
+    split = texts.select("no", "text").join(need, "no").select("lines", F.explode(F.array(lines_of(F.col("text")))).alias("text"))
     lines = split.select(F.explode("lines").alias("x"), "text").select("x.cid", F.get("text", F.col("x.line")).alias("text"))
     words = stored(lines.select("cid", F.array_distinct(words_of(F.col("text"))).alias("w")), "line-words")
     x = pairs.join(words.select(F.col("cid").alias("b"), F.col("w").alias("wb")), "b").join(words.select(F.col("cid").alias("a"), F.col("w").alias("wa")), "a")
@@ -128,59 +165,65 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
     return out
 
 
-def texts_of(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return rows.select("key", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").alias("text"))
+def texts_of(rows: DataFrame, own: bool, id_col: str, text_col: str) -> DataFrame:
+    """no, id and text of numbered rows; stored where their numbers come from a join, which would else move the texts each time."""
+    texts = rows.select("no", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").alias("text"))
+    return texts if own else stored(texts, "line-texts")
 
 
 def _gone(texts: DataFrame, percent: int) -> DataFrame:
-    """id, key, line (from 0) of every line of texts (key, id, text) that goes."""
-    rows = stored(line_sets(texts, rarity_levels(texts, "text"), percent), "line-rows")
-    # rows of one class in one task are merged there before anything is shuffled
-    one = lambda c: F.first(c).alias(c)
-    merged = rows.groupBy("n", "h1", "h2").agg(F.min("at").alias("at"), one("p1"), one("p2"), one("prefix"))
-    classes = stored(merged.orderBy("at").withColumn("cid", F.monotonically_increasing_id()), "line-classes")
+    """no, line (from 0) of every line of texts (no, text) that goes."""
+    words = stored(line_words(texts), "line-hashes")
+    rows = stored(line_sets(words, rarity_levels(words), percent), "line-rows")
+    release(words)
+    # the first line of a class stands for it, the others go
+    first = rows.groupBy("h1", "h2").agg(F.min("at").alias("first"))
+    lead = F.col("at") == F.col("first")
+    marked = rows.join(first.hint("shuffle_hash"), ["h1", "h2"]).select(F.col("at").alias("cid"), "n", "p1", "p2", F.when(lead, F.col("prefix")).alias("prefix"))
+    marked = stored(marked, "line-classes")
+    release(rows)
+    classes = marked.filter("prefix is not null and cid is not null and n is not null and p1 is not null and p2 is not null")
     lists = lambda of: of.select(F.explode("prefix").alias("code"), "cid", "n", "p1", "p2")
     post = lists(classes).filter(F.col("code") >= level_code(LONG))
     heads = post.withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy("cid"))).filter(F.col("rank") <= HEADS).drop("rank")
-    first = stored(_meet(post, heads, percent), "line-pairs")
-    settled = _verified(first, classes, texts, percent)
-    rest = classes.join(settled, "cid", "left_anti")
+    met = stored(_meet(post, heads, percent), "line-pairs")
+    settled = _verified(met, texts, percent)
+    n = F.when(F.col("settled"), -F.col("n")).otherwise(F.col("n")).alias("n")
+    rest = classes.join(settled.withColumn("settled", F.lit(True)), "cid", "left").select("cid", n, "p1", "p2", "prefix")
     second = []
     for k in range(SLICES):
         # a word of level 0 occurs once in the corpus, so no other line has it
         share = (F.col("code") >= level_code(1)) & (F.col("code").bitwiseAND(F.lit(SLICES - 1)) == k)
-        second.append(stored(_meet(lists(rest).filter(share), lists(classes).filter(share), percent), "line-pairs"))
-    pairs = stored(reduce(DataFrame.unionByName, second).distinct().join(first, ["a", "b"], "left_anti"), "line-pairs")
-    release(first, *second)
-    matched = settled.unionByName(_verified(pairs, classes, texts, percent))
-    # of a matched class every line goes, of another all but its first
-    heads = classes.select("cid", "n", "h1", "h2", F.col("at").alias("head")).join(matched.withColumn("gone", F.lit(True)), "cid", "left")
-    heads = stored(heads.select("n", "h1", "h2", "head", F.coalesce("gone", F.lit(False)).alias("gone")), "line-verdicts")
-    release(classes, pairs)
-    out = rows.select("at", "n", "h1", "h2").join(heads, ["n", "h1", "h2"]).filter("gone or at != head")
-    return out.select("at.id", "at.key", "at.line")
+        own = lists(rest).filter(share)
+        second.append(stored(_meet(own, own, percent), "line-pairs"))
+    pairs = stored(reduce(DataFrame.unionByName, second).distinct().join(met, ["a", "b"], "left_anti"), "line-pairs")
+    release(met, *second)
+    matched = _verified(pairs, texts, percent)
+    release(pairs)
+    gone = marked.filter("prefix is null").select("cid").unionByName(settled).unionByName(matched)
+    return gone.select(*_place("cid"))
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, line (from 0) of every line that goes."""
-    rows = row_keys(located(docs, [id_col, text_col]))
-    return _gone(texts_of(rows, id_col, text_col), percent).select(F.col("id").alias(id_col), "line")
+    texts = texts_of(*numbered(located(docs, [id_col, text_col]), id_col), id_col, text_col)
+    return _gone(texts, percent).join(texts.select("no", "id"), "no").select(F.col("id").alias(id_col), "line")
 
 
 def line_report(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_lines, n_removed and the numbers of the removed lines for every document."""
-    texts = texts_of(row_keys(located(docs, [id_col, text_col])), id_col, text_col)
-    gone = _gone(texts, percent).groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-    out = texts.select("key", F.col("id").alias(id_col), F.size(lines_of(F.col("text"))).cast("long").alias("n_lines")).join(gone, "key", "left")
+    texts = texts_of(*numbered(located(docs, [id_col, text_col]), id_col), id_col, text_col)
+    gone = _gone(texts, percent).groupBy("no").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    out = texts.select("no", F.col("id").alias(id_col), F.size(lines_of(F.col("text"))).cast("long").alias("n_lines")).join(gone, "no", "left")
     none = F.expr("cast(array() as array<int>)")
     return out.select(id_col, "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"))
 
 
 def without_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all columns, their texts without the lines that go."""
-    rows = row_keys(located(docs, docs.columns))
-    gone = _gone(texts_of(rows, id_col, text_col), percent).groupBy("key").agg(F.collect_set("line").alias("gone"))
-    out = rows.join(gone, "key", "left")
+    rows, own = numbered(located(docs, docs.columns), id_col)
+    gone = _gone(texts_of(rows, own, id_col, text_col), percent).groupBy("no").agg(F.collect_set("line").alias("gone"))
+    out = rows.join(gone, "no", "left")
     old = F.col(f"doc.`{text_col}`")
     kept = F.array_join(F.filter(lines_of(old), lambda x, i: ~F.array_contains("gone", i)), "\n")
     text = F.when(F.col("gone").isNull(), old).otherwise(kept)

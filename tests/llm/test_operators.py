@@ -254,6 +254,25 @@ def test_line_dedup_makes_few_pairs(spark, monkeypatch):
     assert 40 <= sum(made) < 1000
 
 
+def test_line_dedup_hashes_texts_once_and_meets_by_one_shuffle(spark, monkeypatch):
+    """Words are counted from the stored hashes, so texts are split once for counts and sets; the constant of levels is 131,072 numbers; all
+    but the first meeting is of a table with itself. Identifiers are whole numbers out of order, negative ones among them, or strings."""
+    base = [words(20 + i % 9, i, 300) for i in range(80)]
+    texts = [" ".join(w) for w in base] + ["\n".join(" ".join([*w[:-1], "x"]) for w in base[:30]), None, "a a b\na b"]
+    seen, met, split = [], [], []
+    levels, meet, count = line_dedup.rarity_levels, line_dedup._meet, line_dedup.words_of
+    monkeypatch.setattr(line_dedup, "rarity_levels", lambda words: seen.append((words.columns, levels(words))) or seen[-1][1])
+    monkeypatch.setattr(line_dedup, "_meet", lambda later, earlier, percent: met.append(later is earlier) or meet(later, earlier, percent))
+    monkeypatch.setattr(line_dedup, "words_of", lambda text: split.append(1) or count(text))
+    docs = corpus(spark, texts).withColumn("doc_id", (F.col("doc_id") - 40).cast("int")).orderBy(F.desc("doc_id"))
+    out = {x.doc_id + 40: x.removed for x in line_dedup.line_report(docs).collect() if x.removed}
+    assert out == dict(brute_lines(texts)) and len(out) == 2
+    assert len(split) == 3 and met == [False] + [True] * line_dedup.SLICES  # hashes, and words for the two verifications
+    assert seen[0][0] == ["at", "h"] and spark.range(1).select(F.size(seen[0][1])).first()[0] == 1 << 17
+    named = corpus(spark, texts).withColumn("doc_id", F.format_string("%04d", "doc_id"))
+    assert {int(x.doc_id): x.removed for x in line_dedup.line_report(named).collect() if x.removed} == out
+
+
 def brute_components(texts, k, percent):
     sets = []
     for t in texts:
