@@ -5,9 +5,10 @@ a line goes if an earlier line's set has a Jaccard coefficient of at least the t
 Lines without words always stay.
 
 1. Words are ordered by rarity: by counts in 2,097,152 hash buckets over the whole corpus, then by hash. Any one order
-   for all lines gives the same links, so buckets shared by several words cost nothing but time.
-2. Lines with equal sets are one class, known by its first line; the others of it go. Classes are numbered in the order
-   of their first lines.
+   for all lines gives the same links, so buckets shared by several words cost nothing but time. Texts are split once for
+   this and for the sets.
+2. Lines with equal sets are one class, known by the number of its first line; the others of it go. Numbers are in the
+   order of lines.
 3. Classes meet by the words of their prefixes. A pair is made only if the sizes and the parities of 128 classes of
    words leave room for a match: a word that one set has and the other has not changes one parity, so the parities that
    differ are no more than such words. First each meets the eight earliest classes of each long list only, which
